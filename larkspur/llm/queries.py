@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import bpe
+from larkspur.llm import bpe, licenses, lines
 from larkspur.llm.common import read
 
 
@@ -22,9 +22,17 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, word_vocabulary(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe}
+    return {"op1_bpe": op1_bpe, "op7_licenses": op7_licenses, "op9_lines": op9_lines}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_lines": lines.ORACLE}
