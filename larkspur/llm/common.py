@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -30,10 +31,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def same(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
-
-
 def output_schema(df: DataFrame, drop: tuple[str, ...], added: str) -> str:
     """DDL of df's columns without those in drop, followed by added."""
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in drop]
@@ -49,8 +46,6 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
 
     Only one run is held at a time, so callers see to it that runs are bounded.
     """
-    import numpy as np
-
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
@@ -72,39 +67,81 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def number_rows(df: DataFrame, *order: str) -> DataFrame:
+    """df sorted by order, written, with part (its partition) and seq: consecutive numbers from 0 in that order."""
+    at = F.monotonically_increasing_id()
+    placed = checkpoint(df.orderBy(*order).withColumn("_at", at)).withColumn("part", F.shiftright("_at", 33)).withColumn("_within", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select("part", (F.sum("_n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_offset"))
+    return placed.join(offsets, "part").withColumn("seq", F.col("_offset") + F.col("_within")).drop("_at", "_within", "_offset")
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that edges (a, b) lead to, for each node of an edge.
 
-    Rounds of large-star and small-star joins: each moves links towards the smallest neighbour, and the
-    number of rounds grows with the logarithm of the longest path. Links stay in tables; a round writes a
-    checkpoint. A node with very many links is a skewed join key, which adaptive execution splits.
+    Each round points every node to its smallest neighbour, follows these pointers to their ends by doubling, and
+    contracts the edges to those ends, which leaves at most half of the nodes. Everything stays in tables that are
+    written as checkpoints; a node with very many edges is a skewed key of a join, which adaptive execution splits,
+    or of a sum with partial sums before the shuffle.
+    """
+    pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    e = checkpoint(edges.filter(F.col("a") != F.col("b")).select(*pair).distinct())
+    labels = None
+    while labels is None or not e.isEmpty():
+        both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = checkpoint(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up")))
+        while True:
+            ends = up.select(F.col("node").alias("up"), F.col("up").alias("end"))
+            up = checkpoint(up.select("node", "up").join(ends, "up").select("node", F.col("end").alias("up"), (F.col("end") != F.col("up")).alias("moved")))
+            if up.filter("moved").isEmpty():
+                break
+        up = up.select("node", "up")
+        if labels is None:
+            labels = up
+        else:
+            labels = checkpoint(labels.join(up.select(F.col("node").alias("up"), F.col("up").alias("end")), "up", "left").select("node", F.coalesce("end", "up").alias("up")))
+        first = e.join(up.select(F.col("node").alias("a"), F.col("up").alias("x")), "a").select("x", "b")
+        both = first.join(up.select(F.col("node").alias("b"), F.col("up").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        e = checkpoint(both.filter(F.col("a") != F.col("b")).select(*pair).distinct())
+    return labels.select("node", F.col("up").alias("component"))
+
+
+def summarise_links(linked: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray, copies_a: np.ndarray, copies_b: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a matrix of links tells of each linked member: its id, the copies that it is linked to, and the id of one
+    member that its links lead to. Rows and columns of ``same`` blocks are the same members; a member isn't linked to itself.
+
+    However many links there are, there is a row for each member at most, and those rows connect what the links connect.
     """
-    e = checkpoint(
-        edges.filter(F.col("a") != F.col("b"))
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
-    )
-    before = None
-    for _ in range(max_rounds):
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        kept = both.join(least, "u").filter((F.col("v") < F.col("u"))).select("u", F.col("m").alias("v"))
-        large = large.union(kept).filter(F.col("u") != F.col("v")).distinct()
-        # small-star: the smaller neighbours of u, and u itself, go to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = checkpoint(small.union(low.select("u", F.col("m").alias("v"))).filter(F.col("u") != F.col("v")).distinct())
-        sums = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if sums == before:
+    if same:
+        linked = linked.copy()
+        np.fill_diagonal(linked, False)
+    sums_a = linked @ copies_b.astype(np.float64)
+    sums_b = sums_a[:0] if same else linked.T @ copies_a.astype(np.float64)
+    rows, cols = np.nonzero(linked)
+    n = len(ids_a)
+    ids = ids_a if same else np.concatenate([ids_a, ids_b])
+    label = np.arange(len(ids))
+    cols = cols if same else cols + n
+    while rows.size:
+        low = np.minimum(label[rows], label[cols])
+        new = label.copy()
+        np.minimum.at(new, rows, low)
+        np.minimum.at(new, cols, low)
+        new = new[new]
+        if (new == label).all():
             break
-        before = sums
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-        e.select(F.col("v").alias("node"), F.col("v").alias("component"))
-    ).distinct()
-
-
-def mapped(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+        label = new
+    sums = np.concatenate([sums_a, sums_b])
+    hit = np.flatnonzero(sums)
+    return ids[hit], sums[hit].astype(np.int64), ids[label[hit]]
+
+
+def linked_members(reps: DataFrame, links: DataFrame) -> DataFrame:
+    """(rep, n_links, component) of representatives (rep, copies) with at least one link or copy, from links (rep, links, root)."""
+    links = checkpoint(links)
+    found = links.groupBy("rep").agg(F.sum("links").alias("links"))
+    components = connected_components(links.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
+    return checkpoint(
+        reps.select("rep", "copies").join(found, "rep", "left").join(components, "rep", "left")
+        .select("rep", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    )
