@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, licenses, lines
+from larkspur.llm import audio, bpe, chat, licenses, lines, ngrams, quality, vectors
 from larkspur.llm.common import read
 
 
@@ -22,17 +23,44 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, word_vocabulary(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = r"\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id bigint, turn bigint, role string, text string")
+    return chat.digests(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionAll(own))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = quality.fit(docs, labels.filter(~quality.held_out("doc_id")))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outputs = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return audio.media_columns(read(spark, sf_dir, "documents").select("doc_id", "text"), outputs=outputs)
+
+
+def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_dedup(read(spark, sf_dir, "embeddings"))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.jaccard_join(read(spark, sf_dir, "documents"))
+
+
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op7_licenses": op7_licenses, "op9_lines": op9_lines}
+    own = (op1_bpe, op2_chat, op3_quality, op4_media, op5_vectors, op7_licenses, op8_ngrams, op9_lines)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_lines": lines.ORACLE}
+    return {"op2_chat": chat.ORACLE, "op5_vectors": vectors.ORACLE, "op9_lines": lines.ORACLE}
