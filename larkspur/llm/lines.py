@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.common import checkpoint
+
 #: Lines of a window.
 WINDOW = 3
 
@@ -47,6 +49,7 @@ def later_windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     windows = own.select("_id", "_text_hash", F.explode(_windows("_own")).alias("w")).select("_id", "_text_hash", "w.*")
     place = F.struct("_id", "_text_hash", "first")
     repeated = windows.groupBy("h1", "h2").agg(F.min(place).alias("earliest"), F.count(F.lit(1)).alias("places")).filter("places > 1").drop("places")
+    repeated = checkpoint(repeated)  # so that adaptive execution can split the places of a very common window
     later = windows.join(repeated, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("earliest")))
     return later.groupBy("_id", "_text_hash").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import functions as F
 
-from larkspur.llm import audio, bpe, chat, licenses, lines, ngrams, quality, vectors
+from larkspur.llm import audio, bpe, chat, licenses, lines, mixing, ngrams, quality, secrets, vectors
 from larkspur.llm.common import read
 
 
@@ -45,6 +46,23 @@ def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_dedup(read(spark, sf_dir, "embeddings"))
 
 
+#: Target shares of tokens by language, the domain of the documents' mix.
+TARGETS = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}
+
+
+def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(domain, text) of the documents that the labels table knows; the others' domain is predicted."""
+    known = labels.select("doc_id").filter("doc_id is not null").distinct()
+    return docs.join(known, "doc_id", "left_semi").select(docs["lang"].alias("domain"), "text")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    mixed = mixing.mix(docs.select("doc_id", "text"), labelled_domains(docs, read(spark, sf_dir, "labels")), TARGETS)
+    posteriors = [F.round(F.try_element_at("domain_posteriors", F.lit(d)), 9).alias(f"p_{d}") for d in TARGETS]
+    return mixed.select("doc_id", "n_tokens", *posteriors, F.round("rate", 9).alias("rate"))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -57,8 +75,14 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text", "source"), secrets.fit(secrets.made_findings(spark)))
+    places = F.array_join(F.transform("secrets", lambda s: F.concat_ws(":", s["first"].cast("string"), s["last"].cast("string"), s["kind"])), ",")
+    return found.select("doc_id", "n_candidates", "n_secrets", places.alias("secrets"), F.array_max("secrets.score").alias("score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_bpe, op2_chat, op3_quality, op4_media, op5_vectors, op7_licenses, op8_ngrams, op9_lines)
+    own = (op1_bpe, op2_chat, op3_quality, op4_media, op5_vectors, op6_mixing, op7_licenses, op8_ngrams, op9_lines, op10_secrets)
     return {f.__name__: f for f in own}
 
 
