@@ -1,8 +1,71 @@
-"""The corpus pipeline: placeholders until its stages are built."""
+"""The corpus pipeline: quality filter, line dedup, near-dedup, mixing and encoding, one after another.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and is written and read again
+before the next one. All but the last return the columns of documents.
+"""
+
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from larkspur.llm import bpe, lines, mixing, ngrams, quality
+from larkspur.llm.common import read
+from larkspur.llm.queries import TARGETS, labelled_domains, word_vocabulary
+
+
+def keep_quality(spark, docs, sf_dir):
+    """Documents that the compression classifier accepts."""
+    labels = read(spark, sf_dir, "labels").select("doc_id", "quality")
+    return quality.keep_good(docs, quality.fit(docs, labels.filter(~quality.held_out("doc_id"))))
+
+
+def drop_repeated_lines(spark, docs, sf_dir):
+    """Later repeats of three consecutive lines go; n_chars follows the text."""
+    return lines.line_dedup(docs).drop("lines_removed").withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
+
+
+def drop_near_copies(spark, docs, sf_dir):
+    """One document of each class of near copies stays: the one of smallest id."""
+    return ngrams.first_of_each(docs)
+
+
+def mix_domains(spark, docs, sf_dir):
+    """Documents of scarce languages are repeated until the languages' tokens have the target shares; none goes."""
+    rated = mixing.rates(docs, labelled_domains(docs, read(spark, sf_dir, "labels")), TARGETS, least=1.0)
+    return mixing.apply_rates(docs, rated)
+
+
+def encode(spark, docs, sf_dir):
+    """Ids and digests instead of the text."""
+    return bpe.encode_decode(docs, word_vocabulary(), outputs=("ids", "n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("lines", drop_repeated_lines),
+    ("near copies", drop_near_copies),
+    ("mixing", mix_domains),
+    ("encoding", encode),
+]
+
+#: No SQL packs texts with a dictionary, so tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    raise NotImplementedError
+    """The rows of the last stage; what the others return is written to the shared folder of checkpoints."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-pipeline-", dir=os.environ.get("TMPDIR"))
+    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs = read(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{i}")
+            docs = spark.read.parquet(f"{folder}/{i}")
+    return docs
