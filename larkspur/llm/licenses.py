@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 #: What separates words, and the base phrases with their labels.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+NOT_WORD_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
@@ -133,26 +133,41 @@ USES = [
     (r"(?:{n})", None, 4, 0.7),
 ]
 
-#: A text without any of these has no detection: every rule and every base phrase needs one of them.
-GATE = (
-    r"(?i)licen[cs]|spdx|public|rights|copying|warranty|confidential|permission|redistribution|free software|cc0|creative|"
-    r"neither|unencumbered|reproduced|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by"
-)
+#: A lower-cased text without any of these has no detection: every rule and every base phrase needs one of them.
+GATE = ("licen", "spdx", "public", "rights", "copying", "warranty", "confidential", "permission", "redistribution", "software", "cc0", "creative", "neither", "unencumbered", "reproduced")
+#: The short names of Creative Commons licenses have no such word.
+CC_GATE = r"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by"
 
 
-def rules() -> list[tuple[str, str, str, int, float]]:
-    """(keyword, expression, label, priority, weight) of every rule, in order of priority."""
-    out = list(NOTICES)
+def passes(text: Column) -> Column:
+    low = F.lower(text)
+    found = F.contains(low, F.lit("cc")) & low.rlike(CC_GATE)
+    for word in reversed(GATE):
+        found = F.contains(low, F.lit(word)) | found
+    return found
+
+
+def rules() -> list[tuple[str, str, str, str, int, float]]:
+    """(keyword, second keyword, expression, label, priority, weight) of every rule, in order of priority."""
+    out = [(keyword, "", *rest) for keyword, *rest in NOTICES]
     for label, keyword, names, ident in NAMES:
         for form, own, priority, weight in USES:
-            out.append((own or keyword, form.format(n=names, i=ident), label, priority, weight))
-    return sorted(out, key=lambda r: r[3])
+            # a form of its own keyword names the license by its identifier
+            words = (ident.split(" ")[0], own) if own else (keyword, "")
+            out.append((*words, form.format(n=names, i=ident), label, priority, weight))
+    return sorted(out, key=lambda r: r[4])
 
 
 _PRIORITIES = 5
 _OPEN, _CLOSE = "\x01", "\x02"
 
 
+def _count_words(text: Column) -> Column:
+    """Parts between separators, without the empty ones at either end."""
+    parts = F.split(text, NOT_WORD_ANY_CASE)
+    return F.greatest(F.lit(0), F.size(parts) - (F.get(parts, F.lit(0)) == "").cast("int") - (F.element_at(parts, -1) == "").cast("int"))
+
+
 def _places(words: Column, phrase: str) -> Column:
     """All places where the phrase's words stand consecutively, as (start, label)."""
     first, *rest = phrase.split(" ")
@@ -188,17 +203,17 @@ def _resolve(found: Column) -> Column:
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without the text, with n_words, n_base, first_word, last_word, base_labels, labels and score."""
-    table = F.array(*(F.struct(F.lit(k).alias("keyword"), F.lit(e).alias("expression"), F.lit(label).alias("label"), F.lit(p).alias("priority"), F.lit(w).alias("weight")) for k, e, label, p, w in rules()))
+    table = F.array(*(F.struct(F.lit(k).alias("keyword"), F.lit(k2).alias("also"), F.lit(e).alias("expression"), F.lit(label).alias("label"), F.lit(p).alias("priority"), F.lit(w).alias("weight")) for k, k2, e, label, p, w in rules()))
     added = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     kept = [c for c in docs.columns if c != text and c not in added]
     whole = F.coalesce(F.col(text), F.lit(""))
-    gated = docs.select(*kept, whole.alias("_text")).withColumn("_pass", F.col("_text").rlike(GATE))
+    gated = docs.select(*kept, whole.alias("_text")).withColumn("_pass", passes(F.col("_text")))
     lowered = F.translate("_text", UPPER, LOWER)
     words = gated.withColumn("_joined", F.when(F.col("_pass"), F.concat(F.lit(" "), F.trim(F.regexp_replace(lowered, NOT_WORD, " ")), F.lit(" ")))).select(
         *kept, F.when(F.col("_joined").isNull() | (F.col("_joined") == "  "), F.array().cast("array<string>")).otherwise(F.split(F.trim("_joined"), " ")).alias("_words"), "_joined",
-        F.when(~F.col("_pass"), F.size(F.regexp_extract_all("_text", F.lit(WORD_ANY_CASE), F.lit(0)))).alias("_count"),
+        F.when(~F.col("_pass"), _count_words(F.col("_text"))).alias("_count"),
     )
-    gate = F.filter(table, lambda r: F.contains(F.col("_joined"), r["keyword"]))
+    gate = F.filter(table, lambda r: F.contains(F.col("_joined"), r["keyword"]) & F.contains(F.col("_joined"), r["also"]))
     found = F.array_sort(F.flatten(F.transform(gate, lambda r: _detections(F.col("_joined"), r))))
     base = F.concat(*(_places(F.col("_words"), phrase) for phrase in BASE))
     scanned = words.select(*kept, F.coalesce("_count", F.size("_words")).cast("bigint").alias("n_words"), base.alias("_base"), F.when(F.col("_joined").isNotNull(), _resolve(found)).alias("_found"))
