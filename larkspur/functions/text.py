@@ -95,7 +95,7 @@ def decoded_size(encoded: Column) -> Column:
 
 def split_list(text: Column, separator: str) -> Column:
     """Parts between separators, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(text, separator), F.trim), lambda x: F.length(x) > 0)
+    return F.filter(F.transform(F.split(text, separator), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
 
 
 def mask(text: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larkspur.functions.text import input_handle, output_handle
 
 #: Input types that are form fields and not connections.
-FORM_TYPES = ["asyncOptions", "asyncMultiOptions", "options", "multiOptions", "datagrid", "string", "number", "boolean", "password", "json", "code", "date", "file", "folder", "tabs", "conditionFunction"]
+FORM_TYPES = ["string", "number", "boolean", "options", "multiOptions", "asyncOptions", "asyncMultiOptions", "json", "code", "datagrid", "file", "folder", "password", "tabs", "array", "credential"]
 
 
 def duplicate_nodes(nodes: DataFrame, key: str = "id") -> DataFrame:

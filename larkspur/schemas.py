@@ -2,16 +2,22 @@
 
 from pyspark.sql import types as T
 
-ITEM = T.StructType.fromDDL(
-    "externalId string, externalSource string, externalType string, externalUpdatedAt string, name string, description string, salePriceKopecks bigint, "
-    "categoryPath string, isVisible boolean, rangForApp int, imageUrls array<string>, groupImageKeys array<string>, "
-    "relatedServices array<struct<id:string,name:string,kind:string>>, relatedComponents array<struct<id:string,name:string>>, "
-    "contentForEmbedding string, contentHash string, attributes map<string,string>"
-)
-SNAPSHOT = T.StructType([T.StructField("syncMode", T.StringType()), T.StructField("sourceSystem", T.StringType()), T.StructField("syncedAt", T.StringType()), T.StructField("items", T.ArrayType(ITEM))])
-CHUNK = T.StructType.fromDDL("id string, doc_id string, store_id string, chunk_no int, page_content string, metadata string, embedding array<float>")
-SOURCE = T.StructType.fromDDL(
-    "id string, user_id string, source_type string, status string, progress int, title string, storage_key string, source_url string, raw_text string, extracted_text string, "
-    "metadata string, error string, created_at timestamp, updated_at timestamp, started_at timestamp, completed_at timestamp"
-)
-MESSAGE = T.StructType.fromDDL("id string, role string, chatflowid string, chat_id string, content string, chat_type string, session_id string, created_date timestamp")
+_S, _L, _I, _B, _TS = T.StringType(), T.LongType(), T.IntegerType(), T.BooleanType(), T.TimestampType()
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
+ITEM = _struct(
+    externalId=_S, externalSource=_S, externalType=_S, externalUpdatedAt=_S, name=_S, description=_S, salePriceKopecks=_L, categoryPath=_S, isVisible=_B, rangForApp=_I,
+    imageUrls=T.ArrayType(_S), groupImageKeys=T.ArrayType(_S), relatedServices=T.ArrayType(_struct(id=_S, name=_S, kind=_S)), relatedComponents=T.ArrayType(_struct(id=_S, name=_S)),
+    contentForEmbedding=_S, contentHash=_S, attributes=T.MapType(_S, _S),
+)
+SNAPSHOT = _struct(syncMode=_S, sourceSystem=_S, syncedAt=_S, items=T.ArrayType(ITEM))
+CHUNK = _struct(id=_S, doc_id=_S, store_id=_S, chunk_no=_I, page_content=_S, metadata=_S, embedding=T.ArrayType(T.FloatType()))
+SOURCE = _struct(
+    id=_S, user_id=_S, source_type=_S, status=_S, progress=_I, title=_S, storage_key=_S, source_url=_S, raw_text=_S, extracted_text=_S, metadata=_S, error=_S,
+    created_at=_TS, updated_at=_TS, started_at=_TS, completed_at=_TS,
+)
+MESSAGE = _struct(id=_S, role=_S, chatflowid=_S, chat_id=_S, content=_S, chat_type=_S, session_id=_S, created_date=_TS)
