@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import output_schema
+from larkspur.llm.common import checkpoint, output_schema
 
 #: Documented bounds of the sample: documents of each class, and characters of a text that is learned from.
 SAMPLE = 1000
@@ -90,10 +90,13 @@ class Model:
 def learning_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> DataFrame:
     """(text, label, fold) of the sample that is learned from; labels holds only rows that may be."""
     clear = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias("label"), F.max(label).alias("_other")).filter("label = _other")
-    fit = docs.filter(F.length(text).between(1, LONGEST)).select(key, F.col(text).alias("text"))
+    # ids are chosen by hash, without their texts; those of the chosen ones, a bounded number, are looked up afterwards
+    fit = docs.filter(F.length(text).between(1, LONGEST)).select(key).distinct()
     known = fit.join(clear.select(key, "label"), key).withColumn("_order", F.xxhash64(key, F.lit(17)))
-    parts = [known.filter(F.col("label") == v).orderBy("_order", key, "text").limit(sample) for v in (0, 1)]
-    return parts[0].unionAll(parts[1]).select("text", "label", (F.pmod("_order", F.lit(2)) == 0).alias("fold"))
+    parts = [known.filter(F.col("label") == v).orderBy("_order", key).limit(sample) for v in (0, 1)]
+    chosen = checkpoint(parts[0].unionAll(parts[1]))
+    texts = docs.filter(F.length(text).between(1, LONGEST)).join(F.broadcast(chosen), key)
+    return texts.select(F.col(text).alias("text"), "label", (F.pmod("_order", F.lit(2)) == 0).alias("fold"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
