@@ -136,8 +136,8 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key: st
 def apply_rates(docs: DataFrame, rated: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs, each row as many times as its rate says; the hash of its id and text decides the fraction."""
     share = F.pmod(F.xxhash64(key, text, F.lit(6)), F.lit(1 << 20)) / float(1 << 20)
-    keyed = docs.withColumn("_own", _key(key, text)).join(rated, F.col("_own").eqNullSafe(F.col("_key")), "left")
-    copies = F.floor(F.coalesce("rate", F.lit(1.0)) + share).cast("int")
+    keyed = docs.withColumn("_own", _key(key, text)).join(rated.select("_key", F.col("rate").alias("_rate")), F.col("_own").eqNullSafe(F.col("_key")), "left")
+    copies = F.floor(F.coalesce("_rate", F.lit(1.0)) + share).cast("int")
     return keyed.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*(docs[c] for c in docs.columns))
 
 
