@@ -14,7 +14,7 @@ The template writes a turn as ``### role: text </turn>`` and a line feed. A back
 ``###`` and ``</turn>`` inside a text; roles have ``%``, ``#``, ``:`` and ``<`` percent-encoded. Both are reversible.
 
 Defined cases: null roles and texts count as empty; rows of a conversation with equal turn numbers go by role and
-text, repeated rows are repeated turns, null turn numbers come first; rows with a null conversation id form one
+digest of the text, repeated rows are repeated turns, null turn numbers come first; rows with a null conversation id form one
 conversation; other columns are not used; an empty table gives empty tables.
 """
 
@@ -58,51 +58,60 @@ def segment(role: Column, text: Column) -> Column:
     return F.concat(F.lit(BEGIN), escape_role(role), F.lit(AFTER_ROLE), escape(text), F.lit(END))
 
 
-def conversation_paths(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv_id, depth, role, text, path): one row per turn; path holds the prefix digests down to it."""
-    rows = turns.select(F.col(conv).alias("conv_id"), F.struct(F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text")).alias("row"))
+def conversation_paths(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", with_text: bool = True) -> DataFrame:
+    """(conv_id, depth, role, text, path): one row per turn; path holds the prefix digests (128 bits each) down to it.
+
+    Without text only digests are shuffled.
+    """
+    whole_text = F.coalesce(text, F.lit(""))
+    rows = turns.select(F.col(conv).alias("conv_id"), F.struct(F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), _digest(whole_text).alias("digest"), *([whole_text.alias("text")] if with_text else [])).alias("row"))
     whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("row")).alias("rows"))
-    empty = F.array().cast("array<string>")
-    chain = F.aggregate(
-        "rows", empty,
-        lambda acc, r: F.array_append(acc, F.sha2(F.concat(F.coalesce(F.element_at(F.concat(F.array(F.lit("")), acc), -1), F.lit("")), F.sha2(r["role"], 256), r["text"]), 256)),
-    )
-    chained = whole.withColumn("chain", chain)
+    step = lambda acc, r: F.array_append(acc, _digest(F.concat(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(b"")), _digest(r["role"]), r["digest"])))
+    chained = whole.withColumn("chain", F.aggregate("rows", F.array().cast("array<binary>"), step))
     return chained.select("conv_id", "chain", F.posexplode("rows").alias("pos", "row")).select(
-        "conv_id", (F.col("pos") + 1).alias("depth"), F.col("row.role").alias("role"), F.col("row.text").alias("text"), F.slice("chain", 1, F.col("pos") + 1).alias("path")
+        "conv_id", (F.col("pos") + 1).alias("depth"), F.col("row.role").alias("role"), *([F.col("row.text").alias("text")] if with_text else []), F.slice("chain", 1, F.col("pos") + 1).alias("path")
     )
 
 
-def forest(paths: DataFrame) -> DataFrame:
-    """One row per node of the prefix forest, with its place in the depth-first stream.
+def _digest(x: Column) -> Column:
+    return F.unhex(F.substring(F.sha2(x, 256), 1, 32))
+
+
+def stored_nodes(paths: DataFrame) -> DataFrame:
+    """The nodes with their segments, sorted depth-first and written; all that forest() adds follows from these."""
+    nodes = paths.groupBy("path").agg(F.first("depth").alias("depth"), F.first("role").alias("role"), F.first("text").alias("text"), F.count(F.lit(1)).alias("n_conversations"))
+    head = F.length(F.concat(F.lit(BEGIN), escape_role(F.col("role")), F.lit(AFTER_ROLE)))
+    shaped = nodes.select("path", "depth", "n_conversations", segment(F.col("role"), F.col("text")).alias("segment"), F.when(F.col("role") == LEARNED, head).alias("head"))
+    # written once, so that the partition numbers below are the same in every use
+    at = F.monotonically_increasing_id()
+    return checkpoint(shaped.orderBy("path").withColumn("at", at)).withColumns({"part": F.shiftright("at", 33), "node": F.element_at("path", -1), "units": F.length("segment").cast("bigint")})
+
+
+def forest(placed: DataFrame) -> DataFrame:
+    """One row per stored node, with its place in the depth-first stream.
 
     node, path, depth, segment (formatted text), start and end (interval in the stream), position (of its
     first unit in its conversations), ancestors (their intervals, root first), loss_start and loss_end (what of the stream
     is learned: the text of an assistant's turn, else null), n_conversations (that pass through it).
     """
-    nodes = paths.groupBy("path").agg(F.first("depth").alias("depth"), F.first("role").alias("role"), F.first("text").alias("text"), F.count(F.lit(1)).alias("n_conversations"))
-    nodes = nodes.withColumn("segment", segment(F.col("role"), F.col("text"))).withColumn("units", F.length("segment").cast("bigint"))
-    # written once, so that the partition numbers below are the same in every use
-    placed = checkpoint(nodes.orderBy("path").withColumn("part", F.spark_partition_id()).withColumn("within", F.monotonically_increasing_id()))
     totals = placed.groupBy("part").agg(F.sum("units").alias("total"))
     offsets = totals.select("part", (F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")).alias("offset"))
-    running = F.sum("units").over(Window.partitionBy("part").orderBy("within").rowsBetween(Window.unboundedPreceding, 0))
-    laid = placed.withColumn("running", running).join(offsets, "part").withColumn("end", F.col("offset") + F.col("running")).withColumn("start", F.col("end") - F.col("units"))
-    laid = laid.withColumn("node", F.element_at("path", -1))
+    running = F.sum("units").over(Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    # segments stay where they are: only lengths and digests are shuffled
+    laid = placed.select("node", "path", "depth", "part", "at", "units").withColumn("running", running).join(offsets, "part").withColumn("end", F.col("offset") + F.col("running")).withColumn("start", F.col("end") - F.col("units"))
+    laid = checkpoint(laid.select("node", "path", "depth", "start", "end"))
     # ancestors: each node asks for the intervals of the prefixes on its path
     places = laid.select(F.col("node").alias("up"), F.struct("depth", "start", "end").alias("span"))
     asked = laid.filter("depth > 1").select("node", F.explode(F.slice("path", 1, F.col("depth") - 1)).alias("up"))
     above = asked.join(places, "up").groupBy("node").agg(F.sort_array(F.collect_list("span")).alias("spans"))
-    joined = laid.join(above, "node", "left")
+    joined = laid.join(above, "node", "left").join(placed.select("node", "segment", "head", "n_conversations"), "node")
     spans = F.coalesce("spans", F.array().cast("array<struct<depth:int,start:bigint,end:bigint>>"))
-    learned = F.col("role") == LEARNED
-    head = F.length(F.concat(F.lit(BEGIN), escape_role(F.col("role")), F.lit(AFTER_ROLE)))
     return joined.select(
         "node", "path", "depth", "segment", "start", "end",
         F.aggregate(spans, F.lit(0).cast("bigint"), lambda acc, s: acc + s["end"] - s["start"]).alias("position"),
         F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("ancestors"),
-        F.when(learned, F.col("start") + head).alias("loss_start"),
-        F.when(learned, F.col("end") - len(END)).alias("loss_end"),
+        (F.col("start") + F.col("head")).alias("loss_start"),
+        F.when(F.col("head").isNotNull(), F.col("end") - len(END)).alias("loss_end"),
         "n_conversations",
     )
 
@@ -120,10 +129,9 @@ def read_back(nodes: DataFrame, members: DataFrame) -> DataFrame:
 
 def digests(turns: DataFrame) -> DataFrame:
     """Per conversation, from the stored forest: number of turns, digest of the turns and of what is learned, and lengths."""
-    paths = conversation_paths(turns)
-    kept = checkpoint(paths)
-    nodes = checkpoint(forest(kept))
-    back = read_back(nodes, kept.select("conv_id", F.element_at("path", -1).alias("node")))
+    nodes = forest(stored_nodes(conversation_paths(turns)))
+    members = conversation_paths(turns, with_text=False).select("conv_id", F.element_at("path", -1).alias("node"))
+    back = read_back(nodes, members)
     rows = F.sort_array(F.collect_list(F.struct("depth", "role", "text", "learned", "units")))
     whole = back.groupBy("conv_id").agg(rows.alias("rows"))
     joined = F.array_join(F.transform("rows", lambda r: F.concat(r["role"], F.lit("\n"), r["text"], F.lit("\n"))), "")
@@ -145,9 +153,9 @@ f AS (
          regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g') AS e
   FROM t
 )
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, sha256(text))) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, sha256(text)) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(15 + length(r) + length(e)) AS BIGINT) AS formatted_chars
 FROM f GROUP BY conv_id
 """

@@ -45,16 +45,16 @@ def test_chat_reads_back(spark):
     turns = [(1, 0, "user", "a\\ ### </turn> b"), (1, 1, "assistant", "yes"), (2, 0, "user", "a\\ ### </turn> b"), (2, 1, "assistant", "no\nno"), (3, 0, "us:er#%", None), (3, None, None, "x"), (4, 0, "assistant", ""), (4, 0, "assistant", "")]
     df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
     paths = chat.conversation_paths(df)
-    nodes = chat.forest(paths).orderBy("start").collect()
+    nodes = chat.forest(chat.stored_nodes(paths)).orderBy("start").collect()
     assert len(nodes) == 7  # the shared first turn is stored once
     assert all(a["end"] == b["start"] for a, b in zip(nodes, nodes[1:]))
-    at = {r["node"]: r for r in nodes}
+    at = {bytes(r["node"]): r for r in nodes}
     for r in nodes:
-        up = [at[p] for p in r["path"][:-1]]
+        up = [at[bytes(p)] for p in r["path"][:-1]]
         assert [(a["start"], a["end"]) for a in r["ancestors"]] == [(u["start"], u["end"]) for u in up]
         assert r["position"] == sum(len(u["segment"]) for u in up)
     got = rows_of(chat.digests(df), "conv_id")
-    key = lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")
+    key = lambda r: (r[1] is not None, r[1] or 0, r[2] or "", hashlib.sha256((r[3] or "").encode()).digest())
     for c in (1, 2, 3, 4):
         own = sorted((r for r in turns if r[0] == c), key=key)
         learned = "".join(r[3] or "" for r in own if r[2] == "assistant")
