@@ -43,9 +43,15 @@ def words_of(text: str) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), _SPLIT), lambda w: w != "")
 
 
-def learn(labelled: DataFrame, domain: str = "domain", text: str = "text", sample: int = SAMPLE) -> tuple[DataFrame, list[str], list[float]]:
-    """(word, weights) per word of the vocabulary, the domains, and the logarithms of their shares in the sample."""
-    chosen = checkpoint(labelled.filter(F.col(domain).isNotNull()).select(F.col(domain).cast("string").alias("d"), F.col(text).alias("text")).orderBy(F.xxhash64("d", "text")).limit(sample))
+def learn(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", domain: str = "domain", sample: int = SAMPLE) -> tuple[DataFrame, list[str], list[float]]:
+    """(word, weights) per word of the vocabulary, the domains, and the logarithms of their shares in the sample.
+
+    labelled: key and domain. The sample is chosen by the hash of the key; only its documents' texts are looked up.
+    """
+    known = labelled.filter(F.col(domain).isNotNull() & F.col(key).isNotNull()).select(key, F.col(domain).cast("string").alias("d")).distinct()
+    keys = checkpoint(known.orderBy(F.xxhash64(key), key, "d").limit(sample))
+    # keys has SAMPLE rows at most
+    chosen = checkpoint(docs.select(key, F.col(text).alias("text")).join(F.broadcast(keys), key).select("d", "text"))
     shares = {r["d"]: r["n"] for r in chosen.groupBy("d").agg(F.count(F.lit(1)).alias("n")).orderBy("d").limit(MOST_DOMAINS + 1).collect()}
     if len(shares) > MOST_DOMAINS:
         raise ValueError(f"more than {MOST_DOMAINS} domains")
@@ -103,15 +109,16 @@ def fit_rates(rows: DataFrame, target: np.ndarray, least: float = 0.0, steps: in
 
 
 def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text", domain: str = "domain", least: float = 0.0) -> DataFrame:
-    """(_key, domain_posteriors, rate) per distinct id and text; _key holds the id and the hash of the text.
+    """(_key, n_tokens, domain_posteriors, rate) per distinct id and text; _key holds the id and the hash of the text.
 
+    labelled: key and domain of documents whose domain is known.
     targets gives weights of domains. With least > 0 the totals grow as far as the domain that is scarcest needs, so that the
     weights can be matched without any rate below least.
     """
-    vocabulary, domains, prior = learn(labelled, domain, text)
+    vocabulary, domains, prior = learn(docs, labelled, key, text, domain)
     if not domains:
         none = F.create_map().cast("map<string,double>")
-        return docs.select(_key(key, text).alias("_key")).distinct().select("_key", none.alias("domain_posteriors"), F.lit(float(max(1.0, least))).alias("rate"))
+        return docs.select(_key(key, text).alias("_key"), F.size(words_of(text)).cast("bigint").alias("n_tokens")).distinct().select("_key", "n_tokens", none.alias("domain_posteriors"), F.lit(float(max(1.0, least))).alias("rate"))
     weights = np.array([max(targets.get(d, 0.0), 0.0) for d in domains])
     rows = checkpoint(posteriors(docs, vocabulary, prior, key, text))
     weights = weights / weights.sum() if weights.sum() else np.exp(prior)
@@ -121,7 +128,7 @@ def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key:
         weights = weights * max([1.0, *(least * n / w for n, w in zip(now, weights) if w > 0)])
     rate, _ = fit_rates(rows, weights, least)
     named = F.map_from_arrays(F.array(*(F.lit(d) for d in domains)), F.col("p"))
-    return rows.select("_key", named.alias("domain_posteriors"), rate.alias("rate"))
+    return rows.select("_key", F.col("tokens").alias("n_tokens"), named.alias("domain_posteriors"), rate.alias("rate"))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text", domain: str = "domain", least: float = 0.0) -> DataFrame:
@@ -129,7 +136,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key: st
     rated = rates(docs, labelled, targets, key, text, domain, least)
     added = ("n_tokens", "domain_posteriors", "rate")
     kept = [c for c in docs.columns if c != text and c not in added]
-    keyed = docs.select(*kept, F.size(words_of(text)).cast("bigint").alias("n_tokens"), _key(key, text).alias("_own"))
+    keyed = docs.select(*kept, _key(key, text).alias("_own"))
     return keyed.join(rated, keyed["_own"].eqNullSafe(rated["_key"]), "left").select(*kept, *added)
 
 

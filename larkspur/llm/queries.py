@@ -51,9 +51,9 @@ TARGETS = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}
 
 
 def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(domain, text) of the documents that the labels table knows; the others' domain is predicted."""
+    """(doc_id, domain) of the documents that the labels table knows; the others' domain is predicted."""
     known = labels.select("doc_id").filter("doc_id is not null").distinct()
-    return docs.join(known, "doc_id", "left_semi").select(docs["lang"].alias("domain"), "text")
+    return docs.select("doc_id", F.col("lang").alias("domain")).join(known, "doc_id", "left_semi")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,7 +139,7 @@ def test_vectors_over_many_blocks(spark, monkeypatch):
 def test_mixing_matches_targets(spark):
     texts = [("der die das und ist haus " * (1 + i % 3) if i % 4 == 0 else "the and of is house river ") + f"w{i}" for i in range(200)]
     df = docs(spark, texts + ODD, extra=True).drop("lang")
-    labelled = spark.createDataFrame([("de" if i % 4 == 0 else "en", texts[i]) for i in range(60)] + [(None, "x")], "domain string, text string")
+    labelled = spark.createDataFrame([(i, "de" if i % 4 == 0 else "en") for i in range(60)] + [(61, None), (None, "de")], "doc_id bigint, domain string")
     got = mixing.mix(df, labelled, {"de": 0.5, "en": 0.5}).collect()
     total = sum(r["n_tokens"] for r in got)
     shares = {d: sum(r["rate"] * r["n_tokens"] * r["domain_posteriors"][d] for r in got) / total for d in ("de", "en")}
