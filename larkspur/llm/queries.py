@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import functions as F
 
 from larkspur.llm import audio, bpe, chat, licenses, lines, mixing, ngrams, quality, secrets, vectors
 from larkspur.llm.common import read

@@ -138,8 +138,8 @@ def join_intervals(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray,
             join_intervals(x[a:b], y[c:d], px[a:b], py[c:d], threshold, epsilon, out[a:b, c:d])
 
 
-def compare(pairs: DataFrame, blocks: DataFrame, basis: np.ndarray, threshold: float, epsilon: float) -> DataFrame:
-    """(rep, links, root) of each linked vector of each pair of blocks."""
+def compare(pairs: DataFrame, blocks: DataFrame, basis: np.ndarray, threshold: float, epsilon: float, kind: type = np.float32) -> DataFrame:
+    """(rep, links, root) of each linked vector of each pair of blocks; kind: the type of the packed components."""
     packed = lambda s: blocks.select("grp", "size", F.col("block").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("ids", "counts", "vectors")))
     n = pairs.count()
     work = pairs.join(packed("a"), ["grp", "size", "a"]).join(packed("b"), ["grp", "size", "b"]).drop("grp").repartition(max(8, n // 8))
@@ -149,7 +149,7 @@ def compare(pairs: DataFrame, blocks: DataFrame, basis: np.ndarray, threshold: f
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i] for c in batch.schema.names}
                 size = row["size"].as_py()
-                part = {k: np.frombuffer(row[k].as_buffer(), np.int64 if k[2:] != "vectors" else np.float32) for k in row if k[1:2] == "_"}
+                part = {k: np.frombuffer(row[k].as_buffer(), np.int64 if k[2:] != "vectors" else kind) for k in row if k[1:2] == "_"}
                 x, y = (unit(part[f"{s}_vectors"].reshape(-1, size).astype(np.float64)) for s in "ab")
                 linked = np.zeros((len(x), len(y)), bool)
                 join_intervals(x, y, rotate(x, basis), rotate(y, basis), threshold, epsilon, linked)
@@ -162,13 +162,15 @@ def compare(pairs: DataFrame, blocks: DataFrame, basis: np.ndarray, threshold: f
 def near_dedup(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """key, n_links, component_id and kept of each row of df: links are pairs of equal label with at least this cosine."""
     epsilon = float(np.sqrt(2 - 2 * threshold))
-    rows = checkpoint(df.select(F.col(key).cast("bigint").alias("id"), F.col(label).cast("string").alias("grp"), F.col(vector).cast("array<float>").alias("vec"), usable(vector, label, key).alias("good")))
+    # components keep the precision that they have
+    single = df.schema[vector].dataType.simpleString() == "array<float>"
+    rows = checkpoint(df.select(F.col(key).cast("bigint").alias("id"), F.col(label).cast("string").alias("grp"), F.col(vector).cast("array<float>" if single else "array<double>").alias("vec"), usable(vector, label, key).alias("good")))
     good = rows.filter("good").withColumn("size", F.size("vec"))
     reps = checkpoint(good.groupBy("grp", "size", "vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     basis = rotation(reps)
     numbered = number_rows(grid_cells(reps, basis, epsilon), "grp", "size", *(f"c{i}" for i in range(GRID)), "rep")
     blocks = checkpoint(blocks_of(numbered, basis))
-    found = linked_members(reps, compare(near_pairs(blocks, epsilon), blocks, basis, threshold, epsilon))
+    found = linked_members(reps, compare(near_pairs(blocks, epsilon), blocks, basis, threshold, epsilon, np.float32 if single else np.float64))
     known = checkpoint(reps.select("grp", "size", "vec", "rep").join(found, "rep"))
     joined = good.select("id", "grp", "size", "vec").join(known, ["grp", "size", "vec"]).select("id", "n_links", "component")
     alone = rows.filter("not good").select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component"))

@@ -105,17 +105,17 @@ def test_audio_parts():
     assert audio.segments(np.array([1, 1, 9, 9, 3, 9, 1, 1, 1.0])) == [(2, 5)]
 
 
-def test_vectors_against_all_pairs(spark):
+def test_vectors_against_all_pairs(spark, kind="float"):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(40, 16))
     near = [b + rng.normal(scale=s, size=16) for b in base for s in (0, 0.05, 0.1, 0.15)]
     rows = [(i, [float(x) for x in v], i % 3) for i, v in enumerate(near)]
     rows += [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, [None, 1.0], 1), (904, rows[0][1], None), (None, rows[0][1], 0), (905, rows[0][1], 0), (906, rows[0][1][:8], 0), (907, [], 0)]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    df = spark.createDataFrame(rows, f"vec_id bigint, embedding array<{kind}>, label int")
     got = vectors.near_dedup(df.withColumn("size", df["label"])).collect()
     assert len(got) == len(rows)
     ok = [r for r in rows if r[0] is not None and r[0] not in range(900, 905) and r[1]]
-    x = {r[0]: np.array(r[1], np.float32).astype(float) for r in ok}
+    x = {r[0]: np.array(r[1], np.float32 if kind == "float" else float).astype(float) for r in ok}
     lab = {r[0]: r[2] for r in ok}
     link = {a: {b for b in x if b != a and lab[a] == lab[b] and len(x[a]) == len(x[b]) and x[a] @ x[b] / np.linalg.norm(x[a]) / np.linalg.norm(x[b]) >= 0.93} for a in x}
     for r in got:
@@ -136,6 +136,22 @@ def test_vectors_over_many_blocks(spark, monkeypatch):
     test_vectors_against_all_pairs(spark)
 
 
+def test_vectors_of_doubles_keep_their_precision(spark):
+    test_vectors_against_all_pairs(spark, "double")
+    # equal as floats, not as doubles; and components that no float can hold
+    rows = [(1, [1.0, 1e-9], 0), (2, [1.0, 2e-9], 0), (3, [1e300, 0.0], 0), (4, [0.0, 1e-300], 0)]
+    got = rows_of(vectors.near_dedup(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")), "vec_id")
+    assert {i: (r["n_links"], r["component_id"]) for i, r in got.items()} == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}
+
+
+def test_empty_tables_give_empty_results(spark):
+    none = docs(spark, [], extra=True)
+    forest = secrets.train(np.zeros((0, 1)), np.zeros(0))
+    results = [audio.media_columns(none, outputs=("media", "feature")), licenses.scan(none), lines.line_dedup(none), secrets.scan(none, forest, path="lang"), ngrams.first_of_each(none)]
+    results += [vectors.near_dedup(spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int"))]
+    assert [r.count() for r in results] == [0] * len(results)
+
+
 def test_mixing_matches_targets(spark):
     texts = [("der die das und ist haus " * (1 + i % 3) if i % 4 == 0 else "the and of is house river ") + f"w{i}" for i in range(200)]
     df = docs(spark, texts + ODD, extra=True).drop("lang")
