@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,14 +34,21 @@ def top_k(chunks: DataFrame, query: Sequence[float], k: int = DEFAULT_K, strateg
 
 
 def top_k_each(queries: DataFrame, chunks: DataFrame, k: int, strategy: str = "cosine", most_queries: int = 10_000) -> DataFrame:
-    """(query_id, key, distance, rank): the k nearest chunks of each of a small, counted set of queries.
+    """(query_id, vec_id, distance, rank): the k nearest chunks of each query; query ids are distinct.
 
+    The queries are counted and dealt by id into blocks of about most_queries, so that what is broadcast stays bounded.
     Each task keeps its own k nearest for every query before the shuffle, so what is shuffled is k rows per query and task.
     """
-    n = queries.count()
-    if n > most_queries:
-        raise ValueError(f"{n} queries; search in portions of {most_queries}")
-    pairs = chunks.crossJoin(F.broadcast(queries))  # the queries' number is checked above
+    blocks = max(1, -(-queries.count() // most_queries))
+    if blocks == 1:
+        return _nearest(queries, chunks, k, strategy)
+    at = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    found = [_nearest(queries.filter(at == b), chunks, k, strategy) for b in range(blocks)]
+    return reduce(DataFrame.unionAll, found)
+
+
+def _nearest(queries: DataFrame, chunks: DataFrame, k: int, strategy: str) -> DataFrame:
+    pairs = chunks.crossJoin(F.broadcast(queries))  # one block of the counted queries
     scored = pairs.select("query_id", "vec_id", DISTANCES[strategy](F.col("embedding"), F.col("query")).alias("distance")).filter("distance is not null")
     part = scored.withColumn("part", F.spark_partition_id())
     own = Window.partitionBy("query_id", "part").orderBy("distance", "vec_id")

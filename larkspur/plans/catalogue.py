@@ -79,6 +79,18 @@ def vector_topk_per_query(spark, folder):
     return search.top_k_each(queries, vectors, 5).select("query_id", "vec_id", F.round("distance", 9).alias("distance"), "rank")
 
 
+def _hundredths(vectors):
+    """Every vector whose id is divisible by 100, as queries."""
+    return vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+@query()
+def vector_topk_hundredths(spark, folder):
+    """As vector_topk_per_query, whose SQL has ten queries, but every hundredth id against all vectors."""
+    vectors = table(spark, folder, "embeddings").filter("embedding is not null")
+    return search.top_k_each(_hundredths(vectors), vectors, 5).select("query_id", "vec_id", F.round("distance", 9).alias("distance"), "rank")
+
+
 @query(f"""
 WITH t AS (SELECT vec_id, 1 - list_cosine_similarity({_E}, {_Q}) AS d FROM embeddings ORDER BY d, vec_id LIMIT 10)
 SELECT vec_id, round(d, 9) AS distance, substr(text, 1, 80) AS preview, lang FROM t JOIN documents ON doc_id = vec_id
@@ -144,6 +156,18 @@ def retrieval_recall(spark, folder):
     """How often the nearest of 199 other vectors has the query's label."""
     v = table(spark, folder, "embeddings").filter("vec_id < 200 and embedding is not null")
     queries = v.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return _label_recall(queries, v)
+
+
+@query()
+def retrieval_recall_hundredths(spark, folder):
+    """How often the nearest of all other vectors has the query's label, for every hundredth id."""
+    v = table(spark, folder, "embeddings").filter("embedding is not null")
+    return _label_recall(_hundredths(v), v)
+
+
+def _label_recall(queries, v):
+    # of the two nearest one at most is the query itself
     best = search.top_k_each(queries, v, 2).filter("query_id <> vec_id").groupBy("query_id").agg(F.min_by("vec_id", F.struct("distance", "vec_id")).alias("near"))
     named = best.join(v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("a")), "query_id").join(v.select(F.col("vec_id").alias("near"), F.col("label").alias("b")), "near")
     return named.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("a") == F.col("b")).cast("double")).alias("recall"))

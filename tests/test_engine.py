@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 from pathlib import Path
 
 import pytest
@@ -124,3 +125,24 @@ def test_catalogue(spark, name):
     df = QUERIES[name](spark, DATA)
     assert sorted(df.columns) == columns
     assert sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr) == expected
+
+
+def test_every_hundredth_vector_is_searched(spark, tmp_path):
+    rng = random.Random(4)
+    v = {i: ([rng.gauss(0, 1) for _ in range(6)], i % 3) for i in range(0, 2000, 10)}
+    v[5], v[1995] = v[1500], None  # a copy beyond the first 200 ids, and a vector that isn't there
+    rows = [(i, *(x or (None, 1))) for i, x in v.items()]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    del v[1995]
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.hypot(*a) / math.hypot(*b)
+    near = {q: sorted(v, key=lambda i: (round(1 - cosine(v[q][0], v[i][0]), 12), i)) for q in v if q % 100 == 0}
+    got = QUERIES["vector_topk_hundredths"](spark, str(tmp_path)).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == sorted((q, k + 1, i) for q, order in near.items() for k, i in enumerate(order[:5]))
+    hits = [v[q][1] == v[next(i for i in order if i != q)][1] for q, order in near.items()]
+    (row,) = QUERIES["retrieval_recall_hundredths"](spark, str(tmp_path)).collect()
+    assert (row["n"], row["recall"]) == (20, pytest.approx(sum(hits) / 20))
+    # more queries than one block holds
+    vectors = spark.read.parquet(str(tmp_path / "embeddings.parquet")).filter("embedding is not null")
+    asked = vectors.selectExpr("vec_id AS query_id", "embedding AS query")
+    whole, blocks = (sorted(map(tuple, search.top_k_each(asked, vectors, 3, most_queries=n).select("query_id", "rank", "vec_id").collect())) for n in (10_000, 40))
+    assert blocks == whole and len(whole) == 3 * len(v)
