@@ -144,6 +144,16 @@ FROM (SELECT DISTINCT o_orderkey, l_partkey, p_name FROM orders JOIN lineitem ON
 """)
 def enrich_related(spark, folder):
     orders = table(spark, folder, "orders").filter("o_orderkey < 50").select("o_orderkey")
+    return _related(spark, folder, orders)
+
+
+@query()
+def enrich_related_all(spark, folder):
+    """As enrich_related, whose SQL has the first orders, but over all orders."""
+    return _related(spark, folder, table(spark, folder, "orders").select("o_orderkey"))
+
+
+def _related(spark, folder, orders):
     lines = orders.join(table(spark, folder, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, folder, "part"), F.col("p_partkey") == F.col("l_partkey"))
     return lines.groupBy("o_orderkey").agg(F.array_sort(F.collect_set(F.concat_ws(" ", F.lpad(F.col("l_partkey").cast("string"), 12, "0"), "p_name"))).alias("related"))
 
@@ -370,6 +380,12 @@ def chunk_page(spark, folder):
     return found.orderBy("chunk_no").limit(2)
 
 
+@query()
+def chunk_pages(spark, folder):
+    """All chunks of all documents, with the page of two that each is on within its document."""
+    return chunks.fixed_windows(table(spark, folder, "documents")).withColumn("page", F.ceil(F.col("chunk_no") / 2).cast("int"))
+
+
 # augmentation
 
 
@@ -441,8 +457,18 @@ _ERRORS = "SELECT doc_id, substr(text, 1, 3000) || ' ' || list_extract([" + ", "
 
 @query(f"SELECT doc_id, CASE WHEN length(r) > 2048 THEN substr(r, 1, 2045) || '...' ELSE r END AS error FROM (SELECT doc_id, {_redact_sql('e')} AS r FROM ({_ERRORS}))")
 def redact_secrets(spark, folder):
+    return _redacted(spark, folder, F.substring("text", 1, 3000))
+
+
+@query()
+def redact_secrets_whole(spark, folder):
+    """As redact_secrets, whose SQL has the first 3,000 characters, but of whole texts."""
+    return _redacted(spark, folder, F.col("text"))
+
+
+def _redacted(spark, folder, found):
     secret = F.element_at(F.array(*(F.lit(s) for s in _SECRETS)), (F.col("doc_id") % len(_SECRETS) + 1).cast("int"))
-    error = F.concat(F.substring("text", 1, 3000), F.lit(" "), secret)
+    error = F.concat(found, F.lit(" "), secret)
     return table(spark, folder, "documents").select("doc_id", text.cut_error(text.redact(error)).alias("error"))
 
 

@@ -146,3 +146,26 @@ def test_every_hundredth_vector_is_searched(spark, tmp_path):
     asked = vectors.selectExpr("vec_id AS query_id", "embedding AS query")
     whole, blocks = (sorted(map(tuple, search.top_k_each(asked, vectors, 3, most_queries=n).select("query_id", "rank", "vec_id").collect())) for n in (10_000, 40))
     assert blocks == whole and len(whole) == 3 * len(v)
+
+
+def test_all_orders_have_their_parts(spark, tmp_path):
+    lines = [(o, p) for o in (1, 49, 50, 51, 7000) for p in (o % 7, 3, 3, 11)]
+    spark.createDataFrame([(1,), (49,), (50,), (51,), (7000,)], "o_orderkey bigint").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(p, f"p{p}") for p in range(12)], "p_partkey bigint, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r["o_orderkey"]: r["related"] for r in QUERIES["enrich_related_all"](spark, str(tmp_path)).collect()}
+    assert got == {o: [f"{p:012d} p{p}" for p in sorted({p for a, p in lines if a == o})] for o, _ in lines}
+
+
+def test_whole_documents_are_paged_and_redacted(spark, tmp_path):
+    long = "X-Amz-Security-Token=" + "t" * 2000
+    texts = [None, "", "short", "y " * 1495 + "sk-ant-" + "b" * 40, long + " z" * 1500, (long + " ") * 2 + "Bearer abc.def" + " q" * 40]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["doc_id"], r["chunk_no"]): (r["page"], r["chunk"]) for r in QUERIES["chunk_pages"](spark, str(tmp_path)).collect()}
+    starts = {i: range(0, max(1, len(t) - 200), 800) for i, t in enumerate(texts) if t}
+    assert got == {(i, k + 1): (k // 2 + 1, texts[i][a : a + 1000]) for i, at in starts.items() for k, a in enumerate(at)}
+    error = {r["doc_id"]: r["error"] for r in QUERIES["redact_secrets_whole"](spark, str(tmp_path)).collect()}
+    assert error[0] is None and error[1] == " [REDACTED]" and error[2] == "short [REDACTED]"
+    # a text that shrinks shows what lies beyond its first 3,000 characters
+    assert error[4] == ("[REDACTED]" + " z" * 1500)[:2045] + "..."
+    assert error[5] == "[REDACTED] [REDACTED] [REDACTED]" + " q" * 40 + " plain words"
