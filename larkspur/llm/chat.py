@@ -1,14 +1,14 @@
 """Chat formatting as a forest of prefixes: turns that conversations share from the start are written once.
 
 A node is a turn together with all turns before it. Conversations with the same initial turns meet in the same
-nodes, so shared text is stored once. The forest is laid out depth-first: nodes are sorted by their path of
-prefix digests (a path sorts before its extensions), and a running sum of lengths gives each node its interval in the
-stream. Each node also has the position of its first unit within its own conversations, and the intervals
-of its ancestors, which are what its units may attend to besides earlier units of the node itself. Units are
-code points.
+nodes, so shared text is stored once. A node is stored with its parent. The forest is laid out depth-first, siblings by
+their digest: sums over subtrees and over siblings give each node its interval in the stream, and are carried
+down and up the forest by doubling, in as many rounds as the depth has bits. Each node also has the position of its first
+unit within its own conversations, and can be given the intervals of its ancestors, which are what its units may
+attend to besides earlier units of the node itself. Units are code points.
 
-The sort is Spark's range sort, and the running sum adds a table of one row per partition to sums within
-partitions, so neither one task nor the driver sees the whole stream, however many conversations share a turn.
+A conversation is read by one task, sorted and in batches; neither a task nor the driver holds a whole conversation or
+the whole stream, however many conversations share a turn.
 
 The template writes a turn as ``### role: text </turn>`` and a line feed. A backslash goes before every backslash,
 ``###`` and ``</turn>`` inside a text; roles have ``%``, ``#``, ``:`` and ``<`` percent-encoded. Both are reversible.
@@ -20,6 +20,10 @@ conversation; other columns are not used; an empty table gives empty tables.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,18 +63,33 @@ def segment(role: Column, text: Column) -> Column:
 
 
 def conversation_paths(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", with_text: bool = True) -> DataFrame:
-    """(conv_id, depth, role, text, path): one row per turn; path holds the prefix digests (128 bits each) down to it.
+    """(conv_id, depth, role, text, node, parent): one row per turn; node digests the turn and all before it (128 bits).
 
+    Conversations are sorted within partitions and read once, so a task holds a batch of turns, however long one is.
     Without text only digests are shuffled.
     """
     whole_text = F.coalesce(text, F.lit(""))
-    rows = turns.select(F.col(conv).alias("conv_id"), F.struct(F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), _digest(whole_text).alias("digest"), *([whole_text.alias("text")] if with_text else [])).alias("row"))
-    whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("row")).alias("rows"))
-    step = lambda acc, r: F.array_append(acc, _digest(F.concat(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(b"")), _digest(r["role"]), r["digest"])))
-    chained = whole.withColumn("chain", F.aggregate("rows", F.array().cast("array<binary>"), step))
-    return chained.select("conv_id", "chain", F.posexplode("rows").alias("pos", "row")).select(
-        "conv_id", (F.col("pos") + 1).alias("depth"), F.col("row.role").alias("role"), *([F.col("row.text").alias("text")] if with_text else []), F.slice("chain", 1, F.col("pos") + 1).alias("path")
-    )
+    kept = ["text"] if with_text else []
+    rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), _digest(whole_text).alias("digest"), *([whole_text.alias("text")] if with_text else []))
+    placed = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "digest").select("conv_id", "role", "digest", *kept)
+    schema = f"conv_id {rows.schema['conv_id'].dataType.simpleString()}, role string, {'text string, ' if with_text else ''}depth int, node binary, parent binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, node, depth = object(), None, 0
+        for batch in batches:
+            depths, nodes, parents = [], [], []
+            for own, r, d in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if own != last:
+                    last, node, depth = own, None, 0
+                parents.append(node)
+                node = hashlib.sha256((node or b"") + hashlib.sha256(r.encode()).digest()[:16] + d).digest()[:16]
+                depth += 1
+                depths.append(depth)
+                nodes.append(node)
+            passed = [batch.column(i) for i in (0, 1, *([3] if with_text else []))]
+            yield pa.RecordBatch.from_arrays([*passed, pa.array(depths, pa.int32()), pa.array(nodes, pa.binary()), pa.array(parents, pa.binary())], names=["conv_id", "role", *kept, "depth", "node", "parent"])
+
+    return placed.mapInArrow(run, schema)
 
 
 def _digest(x: Column) -> Column:
@@ -78,68 +97,130 @@ def _digest(x: Column) -> Column:
 
 
 def stored_nodes(paths: DataFrame) -> DataFrame:
-    """The nodes with their segments, sorted depth-first and written; all that forest() adds follows from these."""
-    nodes = paths.groupBy("path").agg(F.first("depth").alias("depth"), F.first("role").alias("role"), F.first("text").alias("text"), F.count(F.lit(1)).alias("n_conversations"))
+    """The nodes with their parents and segments, written; all that layout() and forest() add follows from these."""
+    nodes = paths.groupBy("node").agg(*(F.first(c).alias(c) for c in ("parent", "depth", "role", "text")), F.count(F.lit(1)).alias("n_conversations"))
     head = F.length(F.concat(F.lit(BEGIN), escape_role(F.col("role")), F.lit(AFTER_ROLE)))
-    shaped = nodes.select("path", "depth", "n_conversations", segment(F.col("role"), F.col("text")).alias("segment"), F.when(F.col("role") == LEARNED, head).alias("head"))
+    shaped = nodes.select("node", "parent", "depth", "n_conversations", segment(F.col("role"), F.col("text")).alias("segment"), F.when(F.col("role") == LEARNED, head).alias("head"))
+    return checkpoint(shaped.withColumn("units", F.length("segment").cast("bigint")))
+
+
+def _key(up: Column) -> Column:
+    """up, or where there is none a key that no node has, so that roots don't meet in one task."""
+    return F.coalesce(up, F.concat("node", F.lit(b"-")))
+
+
+def _climb(rows: DataFrame, add) -> DataFrame:
+    """(node, x) with the x of all ancestors added, root first, in as many rounds as the depth has bits; rows: (node, up, x)."""
+    rows = checkpoint(rows)
+    while not rows.filter("up is not null").isEmpty():
+        above = rows.select(F.col("node").alias("_key"), F.col("up").alias("_up"), F.col("x").alias("_x"))
+        joined = rows.withColumn("_key", _key(F.col("up"))).join(above, "_key", "left")
+        rows = checkpoint(joined.select("node", F.col("_up").alias("up"), F.when(F.col("_x").isNull(), F.col("x")).otherwise(add(F.col("_x"), F.col("x"))).alias("x")))
+    return rows.select("node", "x")
+
+
+def _subtrees(placed: DataFrame) -> DataFrame:
+    """(node, total): the units of each node and all below it. After k rounds those less than 2^k turns below are counted."""
+    rows = checkpoint(placed.select("node", F.col("parent").alias("up"), F.col("units").alias("total")))
+    while not rows.filter("up is not null").isEmpty():
+        below = rows.filter("up is not null").groupBy(F.col("up").alias("node")).agg(F.sum("total").alias("_more"))
+        above = rows.select(F.col("node").alias("_key"), F.col("up").alias("_up"))
+        joined = rows.withColumn("_key", _key(F.col("up"))).join(above, "_key", "left").join(below, "node", "left")
+        rows = checkpoint(joined.select("node", F.col("_up").alias("up"), (F.col("total") + F.coalesce("_more", F.lit(0))).alias("total")))
+    return rows.select("node", "total")
+
+
+def layout(placed: DataFrame) -> DataFrame:
+    """(node, start, end, position) of the stored nodes in the depth-first stream, where siblings go by digest.
+
+    A node starts after its parent's units and its earlier siblings' subtrees. All siblings are in one range sort, and
+    a table of one row per partition is added to sums within partitions, so however many siblings there are, no task sees all.
+    """
+    sizes = placed.select("node", "parent", "units")
+    family = sizes.join(_subtrees(placed), "node").withColumn("family", F.coalesce("parent", F.lit(b"")))
     # written once, so that the partition numbers below are the same in every use
-    at = F.monotonically_increasing_id()
-    return checkpoint(shaped.orderBy("path").withColumn("at", at)).withColumns({"part": F.shiftright("at", 33), "node": F.element_at("path", -1), "units": F.length("segment").cast("bigint")})
+    sorted_ = checkpoint(family.orderBy("family", "node").withColumn("at", F.monotonically_increasing_id())).withColumn("part", F.shiftright("at", 33))
+    totals = sorted_.groupBy("part").agg(F.sum("total").alias("whole"))
+    offsets = totals.select("part", (F.sum("whole").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("whole")).alias("offset"))
+    running = F.sum("total").over(Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    summed = checkpoint(sorted_.withColumn("running", running).join(offsets, "part").select("node", "parent", "family", "units", (F.col("offset") + F.col("running") - F.col("total")).alias("before")))
+    firsts = summed.groupBy("family").agg(F.min("before").alias("first"))
+    parents = sizes.select(F.col("node").alias("family"), F.col("units").alias("parent_units"))
+    own = summed.join(firsts, "family").join(parents, "family", "left").withColumn("parent_units", F.coalesce("parent_units", F.lit(0)))
+    step = own.select("node", F.col("parent").alias("up"), F.struct((F.col("before") - F.col("first") + F.col("parent_units")).alias("start"), F.col("parent_units").alias("position")).alias("x"))
+    added = _climb(step, lambda a, b: F.struct((a["start"] + b["start"]).alias("start"), (a["position"] + b["position"]).alias("position")))
+    return checkpoint(added.join(sizes, "node").select("node", F.col("x.start").alias("start"), (F.col("x.start") + F.col("units")).alias("end"), F.col("x.position").alias("position")))
+
+
+def _shaped(placed: DataFrame) -> DataFrame:
+    loss_start, loss_end = F.col("start") + F.col("head"), F.when(F.col("head").isNotNull(), F.col("end") - len(END))
+    return placed.join(layout(placed), "node").select("node", "parent", "depth", "segment", "start", "end", "position", loss_start.alias("loss_start"), loss_end.alias("loss_end"), "n_conversations")
 
 
 def forest(placed: DataFrame) -> DataFrame:
     """One row per stored node, with its place in the depth-first stream.
 
-    node, path, depth, segment (formatted text), start and end (interval in the stream), position (of its
+    node, path (the digests down to it), depth, segment (formatted text), start and end (interval in the stream), position (of its
     first unit in its conversations), ancestors (their intervals, root first), loss_start and loss_end (what of the stream
-    is learned: the text of an assistant's turn, else null), n_conversations (that pass through it).
+    is learned: the text of an assistant's turn, else null), n_conversations (that pass through it). Paths and ancestors
+    grow with the square of a conversation's turns, which digests() does without.
     """
-    totals = placed.groupBy("part").agg(F.sum("units").alias("total"))
-    offsets = totals.select("part", (F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")).alias("offset"))
-    running = F.sum("units").over(Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
-    # segments stay where they are: only lengths and digests are shuffled
-    laid = placed.select("node", "path", "depth", "part", "at", "units").withColumn("running", running).join(offsets, "part").withColumn("end", F.col("offset") + F.col("running")).withColumn("start", F.col("end") - F.col("units"))
-    laid = checkpoint(laid.select("node", "path", "depth", "start", "end"))
-    # ancestors: each node asks for the intervals of the prefixes on its path
-    places = laid.select(F.col("node").alias("up"), F.struct("depth", "start", "end").alias("span"))
-    asked = laid.filter("depth > 1").select("node", F.explode(F.slice("path", 1, F.col("depth") - 1)).alias("up"))
-    above = asked.join(places, "up").groupBy("node").agg(F.sort_array(F.collect_list("span")).alias("spans"))
-    joined = laid.join(above, "node", "left").join(placed.select("node", "segment", "head", "n_conversations"), "node")
-    spans = F.coalesce("spans", F.array().cast("array<struct<depth:int,start:bigint,end:bigint>>"))
-    return joined.select(
-        "node", "path", "depth", "segment", "start", "end",
-        F.aggregate(spans, F.lit(0).cast("bigint"), lambda acc, s: acc + s["end"] - s["start"]).alias("position"),
-        F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("ancestors"),
-        (F.col("start") + F.col("head")).alias("loss_start"),
-        F.when(F.col("head").isNotNull(), F.col("end") - len(END)).alias("loss_end"),
-        "n_conversations",
+    laid = checkpoint(_shaped(placed))
+    spans = _climb(laid.select("node", F.col("parent").alias("up"), F.array(F.struct("node", "start", "end")).alias("x")), lambda a, b: F.concat(a, b))
+    return laid.join(spans, "node").select(
+        "node", F.transform("x", lambda s: s["node"]).alias("path"), "depth", "segment", "start", "end", "position",
+        F.transform(F.slice("x", F.lit(1), F.size("x") - 1), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("ancestors"),
+        "loss_start", "loss_end", "n_conversations",
     )
 
 
 def read_back(nodes: DataFrame, members: DataFrame) -> DataFrame:
-    """(conv_id, depth, role, text, learned, units): turns as the stored segments give them; members: (conv_id, node) of each turn."""
-    got = members.join(nodes.select("node", "depth", "segment", "start", "loss_start", "loss_end"), "node")
+    """(conv_id, depth, role, text, learned, units): turns as the stored segments give them; members: (conv_id, depth, node) of each turn."""
+    got = members.join(nodes.select("node", "segment", "start", "loss_start", "loss_end"), "node")
     body = F.substring("segment", len(BEGIN) + 1, F.length("segment") - len(BEGIN) - len(END))
     split_at = F.locate(AFTER_ROLE, body)
     role = F.substring(body, F.lit(1), split_at - 1)
     text = F.substring(body, split_at + len(AFTER_ROLE), F.length(body))
     masked = F.substring("segment", (F.col("loss_start") - F.col("start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int"))
-    return got.select("conv_id", "depth", unescape_role(role).alias("role"), unescape(text).alias("text"), unescape(masked).alias("learned"), F.length("segment").alias("units"))
+    return got.select("conv_id", members["depth"], unescape_role(role).alias("role"), unescape(text).alias("text"), unescape(masked).alias("learned"), F.length("segment").alias("units"))
 
 
 def digests(turns: DataFrame) -> DataFrame:
-    """Per conversation, from the stored forest: number of turns, digest of the turns and of what is learned, and lengths."""
-    nodes = forest(stored_nodes(conversation_paths(turns)))
-    members = conversation_paths(turns, with_text=False).select("conv_id", F.element_at("path", -1).alias("node"))
+    """Per conversation, from the stored forest: number of turns, digest of the turns and of what is learned, and lengths.
+
+    Turns come sorted and are added to running digests, so no list of a conversation's turns is made.
+    """
+    nodes = _shaped(stored_nodes(conversation_paths(turns)))
+    members = conversation_paths(turns, with_text=False).select("conv_id", "depth", "node")
     back = read_back(nodes, members)
-    rows = F.sort_array(F.collect_list(F.struct("depth", "role", "text", "learned", "units")))
-    whole = back.groupBy("conv_id").agg(rows.alias("rows"))
-    joined = F.array_join(F.transform("rows", lambda r: F.concat(r["role"], F.lit("\n"), r["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.filter(F.transform("rows", lambda r: r["learned"]), lambda x: x.isNotNull()), "")
-    return whole.select(
-        "conv_id", F.size("rows").cast("bigint").alias("n_turns"), F.sha2(joined, 256).alias("turns_sha256"), F.length(loss).cast("bigint").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"), F.aggregate("rows", F.lit(0).cast("bigint"), lambda acc, r: acc + r["units"]).alias("formatted_chars"),
-    )
+    placed = back.repartition("conv_id").sortWithinPartitions("conv_id", "depth")
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    schema = f"conv_id {back.schema['conv_id'].dataType.simpleString()}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, sums, kind = None, None, None
+        for batch in batches:
+            kind, out = batch.schema.field(0).type, []
+            for conv, role, text, learned, units in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5))):
+                if sums is None or conv != last:
+                    out += [(last, sums)] if sums else []
+                    last, sums = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                sums[0] += 1
+                sums[1].update(f"{role}\n{text}\n".encode())
+                if learned is not None:
+                    sums[2] += len(learned)
+                    sums[3].update(learned.encode())
+                sums[4] += units
+            yield finished(out, kind)
+        if sums:
+            yield finished([(last, sums)], kind)
+
+    def finished(rows: list, kind: pa.DataType) -> pa.RecordBatch:
+        columns = [[n, a.hexdigest(), chars, b.hexdigest(), units] for _, (n, a, chars, b, units) in rows]
+        types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], kind), *(pa.array([r[i] for r in columns], t) for i, t in enumerate(types))], names=names)
+
+    return placed.mapInArrow(run, schema)
 
 
 #: The same digests in DuckDB's SQL. No role of the table needs encoding here.

@@ -64,6 +64,19 @@ def test_chat_reads_back(spark):
     assert chat.digests(df.limit(0)).count() == 0
 
 
+def test_chat_of_a_long_conversation(spark):
+    n = 300
+    turns = [(None, i, "assistant" if i % 2 else "user", f"t{i % 7}") for i in range(n)] + [(c, i, "user", f"t{i}" if i < c else "end") for c in (1, 2) for i in range(3)]
+    df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").repartition(5)
+    assert set(chat.conversation_paths(df).columns) == {"conv_id", "depth", "role", "text", "node", "parent"}  # no row holds a whole path
+    got = rows_of(chat.digests(df), "conv_id")
+    for c in (None, 1, 2):
+        own = [r for r in turns if r[0] == c]
+        learned = "".join(r[3] for r in own if r[2] == "assistant")
+        assert got[c]["n_turns"] == len(own) and got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r[2]}\n{r[3]}\n" for r in own).encode()).hexdigest()
+        assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
+
+
 def test_quality_learns_and_scores_everything(spark):
     rng = np.random.default_rng(3)
     good = [" ".join(rng.choice(["river", "stone", "walks", "under", "morning", "light", "quiet", "old"], 60)) + f" {i}." for i in range(60)]
