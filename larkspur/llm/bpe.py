@@ -82,8 +82,8 @@ class Vocabulary:
 
     def words_of(self, chunk: str) -> list[str]:
         """The chunk's normalised words. Beyond Latin letters, whose tables are settled, the library's own tables of letters are asked."""
-        if max(chunk) < BEYOND:
-            return self.common(unicodedata.normalize("NFC", chunk).lower())
+        if is_common(chunk):
+            return self.common(normal(chunk))
         if self.library is None:
             from tokenizers import Tokenizer
 
@@ -93,6 +93,15 @@ class Vocabulary:
         return [w for w, _ in splitter.pre_tokenize_str(normalizer.normalize_str(chunk))]
 
 
+def normal(text: str) -> str:
+    return unicodedata.normalize("NFC", text).lower()
+
+
+def is_common(text: str) -> bool:
+    """Whether the text lies below BEYOND as it stands and as normalised: some letters below have a lower case beyond."""
+    return max(text) < BEYOND and max(normal(text)) < BEYOND
+
+
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
@@ -157,11 +166,15 @@ class Encoder:
         self.start, self.count = np.zeros(MEMORY, np.int64), np.zeros(MEMORY, np.int64)
 
     def learn(self, chunks: list[str]) -> None:
-        common = max(map(max, chunks)) < BEYOND
-        if common:  # all at once: a space after each chunk marks where it ends
-            found = self.v.common(unicodedata.normalize("NFC", " ".join(chunks)).lower())
-        else:
-            found = [w for c in chunks for w in (*self.v.words_of(c), " ")][:-1]
+        rare = [] if is_common(" ".join(chunks)) else [c for c in chunks if not is_common(c)]
+        if rare:
+            own = set(rare)
+            chunks = [*(c for c in chunks if c not in own), *rare]
+        # common ones all at once: a space after each chunk marks where it ends
+        plain = chunks[: len(chunks) - len(rare)]
+        found = self.v.common(normal(" ".join(plain)))
+        for k, c in enumerate(rare):
+            found += [" ", *self.v.words_of(c)] if plain or k else self.v.words_of(c)
         data = np.frombuffer("\n".join(found).encode(), np.uint8)
         ends = np.r_[np.flatnonzero(data == 10), data.size]
         starts = np.r_[0, ends[:-1] + 1]
@@ -205,7 +218,8 @@ class Encoder:
 
     def pieces(self, text: str) -> Iterator[list[str] | int]:
         """Lists of chunks of about SLICE characters at most (or one longer chunk), and ids of special tokens."""
-        for part in self.v.split_special(text) if self.v.split_special and "<|" in text else [text]:
+        special = any(t in text for t in self.v.special)
+        for part in self.v.split_special(text) if special else [text]:
             if part in self.v.special:
                 yield self.v.special[part]
                 continue

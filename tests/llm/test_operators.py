@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -41,6 +42,24 @@ def test_bpe_equals_library(spark):
     assert bpe.encode_decode(docs(spark, []), word_vocabulary()).count() == 0
 
 
+def test_bpe_of_every_character_equals_library():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(word_vocabulary())
+    t.no_truncation()
+    t.no_padding()
+    known = [c for c in map(chr, range(0x20, 0x110000)) if unicodedata.category(c) not in ("Cn", "Cs", "Co")]
+    texts = [" ".join(f"a{c}b" for c in known[i : i + 64]) for i in range(0, len(known), 64)] + ["Əli Əliyev", "Əli plain words — “quoted”"]
+    rng = np.random.default_rng(1)
+    # Latin, its neighbours, combining marks and punctuation, mixed
+    drawn = [*map(chr, [*range(0x20, 0x250)]), *"ƏⱥẞſKÅİ\u0301\u0308—“”…αЖ中"]
+    texts += ["".join(rng.choice(drawn, rng.integers(1, 40))) for _ in range(10_000)]
+    encoder = bpe.Encoder(word_vocabulary())
+    got = [x.tolist() for i in range(0, len(texts), 500) for x in encoder.encode_many(texts[i : i + 500])]
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert [x for x, a, b in zip(texts, got, want) if a != b] == []
+
+
 def test_chat_reads_back(spark):
     turns = [(1, 0, "user", "a\\ ### </turn> b"), (1, 1, "assistant", "yes"), (2, 0, "user", "a\\ ### </turn> b"), (2, 1, "assistant", "no\nno"), (3, 0, "us:er#%", None), (3, None, None, "x"), (4, 0, "assistant", ""), (4, 0, "assistant", "")]
     df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
