@@ -86,4 +86,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": chat.ORACLE, "op5_vectors": vectors.ORACLE, "op9_lines": lines.ORACLE}
+    return {"op2_chat": chat.ORACLE, "op5_vectors": vectors.ORACLE, "op8_ngrams": ngrams.ORACLE, "op9_lines": lines.ORACLE}

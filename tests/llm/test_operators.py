@@ -259,9 +259,53 @@ def test_jaccard_join_against_all_pairs(spark):
 
 def test_jaccard_join_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngrams, "WEIGHT", 1200)
+    monkeypatch.setattr(ngrams, "LEAST", 600)
     test_jaccard_join_against_all_pairs(spark)
 
 
+def test_prefixes_are_shortened_by_measured_recall(spark):
+    assert ngrams.matched_depth({16: 9000}, 8, 0.999) == 16
+    assert ngrams.matched_depth({16: 8990, 11: 10}, 8, 0.999) == 11  # ten lost links are more than the recall allows
+    assert ngrams.matched_depth({16: 2000}, 8, 0.999) == 8 and ngrams.matched_depth({}, 8, 0.999) == 8  # too few to tell
+    # near copies of very high similarity meet in deep prefixes as well
+    rng = np.random.default_rng(4)
+    texts = []
+    for _ in range(12):
+        base = [f"v{x}" for x in rng.integers(0, 900, 400)]
+        texts += [" ".join([*base[:p], "changed", *base[p:]]) for p in (0, 100, 390)]
+    df = docs(spark, texts)
+    words = ngrams.signatures(df, "doc_id", "text", ngrams.TREES).selectExpr("id AS rep", "words")
+    asked = []
+    links = ngrams.candidate_links(words, lambda pairs: asked.append(pairs.count()) or 16, 0.8, 8)
+    got = {r["node"]: r["component"] for r in connected_components(links).collect()}
+    assert got == {i: i - i % 3 for i in range(36)} and asked[0] >= 24
+    classes = ngrams.signatures(df, "doc_id", "text", ngrams.TREES).selectExpr("id AS rep", "size", "set1", "set2")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (0, 3)], "a bigint, b bigint")
+    assert sum(ngrams.link_depths(df, "doc_id", "text", classes, words, pairs, 0.8).values()) == 2  # documents 0 and 3 are no link
+
+
+def test_chance_meetings_do_not_join_components(spark, monkeypatch):
+    # pages that share half of their words and meet in short prefixes by chance: with prefixes of two values nearly all do
+    rng = np.random.default_rng(6)
+    frame = [f"menu{i}" for i in range(40)]
+    texts = [" ".join([*frame, *(f"own{x}" for x in rng.integers(0, 10**6, 40))]) for _ in range(60)]
+    texts += [t + " tail" for t in texts[:5]]
+    df = docs(spark, texts)
+    words = ngrams.signatures(df, "doc_id", "text", ngrams.TREES).selectExpr("id AS rep", "words")
+    stars = ngrams.stars(ngrams.met(words.selectExpr("rep", "words", "posexplode(words) AS (tree, w)").selectExpr("tree", "rep", "w", "get(words, pmod(tree + 1, 40)) AS w2"), 2))
+    assert len({r["component"] for r in connected_components(stars).collect()}) == 1  # what meets is one component
+    links = ngrams.candidate_links(words, lambda pairs: 2, 0.8, 2)
+    got = {r["node"]: r["component"] for r in connected_components(links).collect()}
+    assert got == {**{i: i for i in range(5)}, **{60 + i: i for i in range(5)}}  # what may be a link is in pairs
+    # prefixes of more classes than are compared keep their stars, so nothing is lost
+    monkeypatch.setattr(ngrams, "GROUP", 3)
+    got = {r["node"]: r["component"] for r in connected_components(ngrams.candidate_links(words, lambda pairs: 2, 0.8, 2)).collect()}
+    assert all(got[i] == got[60 + i] for i in range(5))
+    monkeypatch.setattr(ngrams, "prefix_depth", lambda *a: 2)
+    rows = rows_of(ngrams.jaccard_join(df))
+    assert {i: (r["class_id"], r["n_links"]) for i, r in rows.items()} == brute_jaccard(texts)
+
+
 def test_line_dedup_against_plain(spark):
     texts = ["a\nb\nc\nd", "x\na\nb\nc\ny", "a\nb\nc\na\nb\nc", "p\nq", "p\nq", "\n\na\n\nb\nc\n", None, "", "solo", "solo"]
     got = rows_of(lines.line_dedup(docs(spark, texts, extra=True)))
