@@ -16,9 +16,9 @@ from larkspur.llm.queries import TARGETS, labelled_domains, word_vocabulary
 
 
 def keep_quality(spark, docs, sf_dir):
-    """Documents that the compression classifier accepts."""
+    """Documents that the compression classifier holds to be good rather than bad. Without labels of both kinds all stay."""
     labels = read(spark, sf_dir, "labels").select("doc_id", "quality")
-    return quality.keep_good(docs, quality.fit(docs, labels.filter(~quality.held_out("doc_id"))))
+    return quality.keep_good(docs, quality.fit(docs, labels.filter(~quality.held_out("doc_id"))), accept=0.5)
 
 
 def drop_repeated_lines(spark, docs, sf_dir):

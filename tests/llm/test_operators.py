@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from larkspur.llm import audio, bpe, chat, licenses, lines, mixing, ngrams, quality, secrets, vectors
 from larkspur.llm.common import connected_components
@@ -111,7 +112,22 @@ def test_quality_learns_and_scores_everything(spark):
     kept = quality.keep_good(df, model)
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["score"] >= quality.ACCEPT}
     nothing = quality.fit(df.limit(0), labels.limit(0))
-    assert {r["score"] for r in quality.score(df, nothing).collect()} == {0.5}
+    assert {r["score"] for r in quality.score(df, nothing).collect()} == {0.5} and quality.keep_good(df, nothing).count() == df.count()
+    # scores against a plain version: pieces packed one by one, and the curve
+    import zstandard
+
+    packers = [zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (model.good, model.bad)]
+    for i, t in enumerate(good + bad + ODD):
+        data = (t or "").encode()
+        sizes = [sum(len(p.compress(data[a : a + quality.PIECE])) for a in range(0, len(data), quality.PIECE)) for p in packers]
+        z = model.slope * (sizes[1] - sizes[0]) / max(len(data), 1) + model.offset
+        assert got[i]["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-12)
+    # long texts teach, an id of many rows teaches once, and clashing columns do no harm
+    many = docs(spark, [good[0], *bad[:1]] * 1).withColumn("label", F.lit(9)).withColumn("fold", F.lit(9)).withColumn("hash", F.lit(9)).withColumn("id", F.lit(9))
+    long = many.withColumn("text", F.repeat("text", 100)).unionAll(many).unionAll(many)
+    rows, shares = quality.learning_sample(long, spark.createDataFrame([(0, 1), (1, 0)], "doc_id bigint, quality int"))
+    assert rows.count() == 2 and shares == {0: 1, 1: 1}
+    assert quality.score(long, quality.fit(long, spark.createDataFrame([(0, 1), (1, 0)], "doc_id bigint, quality int"))).columns == [c for c in long.columns if c not in ("text", "score", "predicted")] + ["score", "predicted"]
 
 
 def test_media_round_trip(spark):
