@@ -232,6 +232,67 @@ def test_licenses_base_and_rules(spark):
     assert [got[n + k]["labels"] for k in range(5)] == ["cc-by-nc,mit", "apache-2", "gpl-3", "gpl-3", "bsd-3-clause"]
 
 
+def sample_of(expression, rng):
+    """A text that the expression matches."""
+    import re._parser as parser
+
+    def walk(parts):
+        out = ""
+        for op, arg in parts:
+            op = str(op)
+            if op == "LITERAL":
+                out += chr(arg)
+            elif op == "NOT_LITERAL":
+                out += "q"
+            elif op == "IN":
+                kind, value = arg[0]
+                out += "k" if str(kind) in ("CATEGORY", "NEGATE") else chr(value[0] if str(kind) == "RANGE" else value)
+            elif op == "MAX_REPEAT":
+                low, high, inner = arg
+                out += "".join(walk(inner) for _ in range(rng.integers(low, min(int(high), low + 3) + 1)))
+            elif op == "SUBPATTERN":
+                out += walk(arg[-1])
+            elif op == "BRANCH":
+                out += walk(arg[1][rng.integers(len(arg[1]))])
+        return out
+
+    return " ".join(walk(parser.parse(expression)).split())
+
+
+def plain_labels(text):
+    """Labels and score by trying every rule on every text, and comparing every detection with every other."""
+    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    joined = f" {' '.join(words)} "
+    found = []
+    for keyword, also, expression, label, priority, weight in licenses.rules():
+        if keyword in joined and also in joined:
+            for m in re.finditer(f"(?<= )(?:{expression})(?= )", joined):
+                first = joined[: m.start()].count(" ") - 1
+                found.append((first, first + m.group().count(" "), priority, label, weight))
+    inside = lambda a, b: b[0] <= a[0] and a[1] <= b[1] and a[:2] != b[:2] and b[2] <= a[2]
+    ranked = sorted(set(found), key=lambda d: (d[0], -d[1], *d[2:]))
+    free = [d for i, d in enumerate(ranked) if not any(inside(d, e) for e in ranked) and not any(e[:2] == d[:2] and e[2] <= d[2] for e in ranked[:i])]
+    phrases = [(k.split(), v) for k, v in licenses.BASE.items()]
+    base = {v for p, v in phrases for j in range(len(words)) if words[j : j + len(p)] == p}
+    return ",".join(sorted(base | {d[3] for d in free if d[3]})), max([0.0, *(d[4] for d in free), *([0.95] if base else [])])
+
+
+def test_license_rules_against_an_interpreter(spark):
+    rng = np.random.default_rng(7)
+    texts = ODD + ["It is not licensed under the GNU General Public License.", "A driving licence, please", "(MIT OR Apache-2.0) SPDX-License-Identifier: MIT OR Apache-2.0", "dual licensed under MIT or Apache-2.0, see the LICENSE file"]
+    used = licenses.rules()
+    # each rule by itself, and some next to others
+    own = [f"{sample_of(r[2], rng)} x {r[0]} {r[1]}" for r in used]
+    texts += own + [". ".join([own[i], own[j], own[i]]) for i, j in rng.integers(0, len(own), (150, 2))]
+    for text, rule in zip(own, used):
+        assert re.search(f"(?<= )(?:{rule[2]})(?= )", f" {text} "), rule  # the sample is one
+    got = rows_of(licenses.scan(docs(spark, texts)))
+    wrong = [(t, got[i]["labels"], plain_labels(t)) for i, t in enumerate(texts) if (got[i]["labels"], got[i]["score"]) != plain_labels(t)]
+    assert wrong == []
+    n = len(ODD)
+    assert [got[n + k]["labels"] for k in range(3)] == ["", "", "apache-2,mit"]
+
+
 def brute_jaccard(texts):
     def shingles(t):
         w = WORD.findall((t or "").lower())
