@@ -1,4 +1,4 @@
-"""Media columns: texts' bytes as 8-bit audio, with log-mel features and segments in fixed-shape tensors.
+"""Media columns: texts' bytes as 8-bit audio, with log-mel features in fixed-shape Arrow tensors, and segments.
 
 A payload is stored as an 8-bit mono WAV file, losslessly, and everything below is computed from the samples
 that are read back from the stored bytes: polyphase resampling by a rational factor, log-mel filterbanks over
@@ -6,9 +6,10 @@ overlapping frames, and segments of high energy found with two thresholds (a seg
 rises over the upper one and ends where it falls under the lower one).
 
 Features are cut into tensors of one fixed shape (FRAMES x BANDS, the last one padded with the floor value), each with its
-time span; the column is a list of structs whose values are flat lists of FRAMES * BANDS floats, which
-``tensor_type`` names as an Arrow fixed-shape tensor. Everything happens within the row and a bounded number
-of samples is held at a time, so there is no shuffle.
+time span. A document's tensors are stored as an Arrow stream of one record batch with the columns first_ms, last_ms and tensor, whose
+type is Arrow's fixed-shape tensor; ``read_tensors`` gives them back, and features that describe a text are taken from the tensors as
+read back. Everything happens within the row and a bounded number of samples is held at a time, so there is no shuffle. Long
+payloads are filtered in parts that overlap by the filter's reach, so where a part ends makes no difference.
 
 Defined cases: null and empty texts give one block of zero bytes; equal texts give equal values; other columns pass
 through.
@@ -40,9 +41,8 @@ BEGIN_DB, END_DB = 2.0, 0.5
 CHUNK = 1 << 20
 FLOOR = -12.0
 
-TENSORS = "array<struct<first_ms:bigint,last_ms:bigint,values:array<float>>>"
 SEGMENTS = "array<struct<first_ms:bigint,last_ms:bigint>>"
-OUTPUTS = {"media": "binary", "tensors": TENSORS, "segments": SEGMENTS, "n_bytes": "bigint", "payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string", "feature": "string"}
+OUTPUTS = {"media": "binary", "tensors": "binary", "segments": SEGMENTS, "n_tensors": "bigint", "tensors_sha256": "string", "n_bytes": "bigint", "payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string", "feature": "string"}
 
 
 def tensor_type() -> pa.DataType:
@@ -123,9 +123,14 @@ def window() -> np.ndarray:
     return np.hanning(FRAME + 1)[:-1].astype(np.float32)
 
 
+def frames_of(samples: int) -> int:
+    """Frames of so many resampled samples: they overlap, and the last one may be padded."""
+    return -(-max(samples - FRAME, 0) // STEP) + 1
+
+
 def log_mel(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log-mel values of overlapping frames, and each frame's energy; the last frame is padded with zeros."""
-    n = max(-(-max(len(y) - FRAME, 0) // STEP), 0) + 1
+    n = frames_of(len(y))
     padded = np.zeros((n - 1) * STEP + FRAME, np.float32)
     padded[: len(y)] = y[: len(padded)]
     frames = np.lib.stride_tricks.sliding_window_view(padded, FRAME)[::STEP]
@@ -147,15 +152,18 @@ def segments(energy: np.ndarray) -> list[tuple[int, int]]:
 
 
 def features(samples: bytes) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Log-mel frames and segments (in frames) of 8-bit samples. Chunks are resampled and framed one after another."""
+    """Log-mel frames and segments (in frames) of 8-bit samples, part by part. Frames are numbered over the whole."""
     x = np.frombuffer(samples, np.uint8)
+    reach = -(-low_pass().shape[1] // DOWN) * DOWN
+    total, part = frames_of(-(-len(x) * UP // DOWN)), CHUNK // DOWN * UP // STEP
     mels, energies = [], []
-    for a in range(0, len(x), CHUNK):
-        # a chunk sees as far into the next one as its last frame reaches
-        piece = (x[a : a + CHUNK + FRAME * DOWN].astype(np.float32) - 128) / 128
-        mel, energy = log_mel(resample(piece))
-        whole = a + CHUNK >= len(x)
-        own = len(mel) if whole else CHUNK // DOWN * UP // STEP
+    for first in range(0, total, part):
+        a = first * STEP * DOWN // UP
+        # a part sees what the filter reaches before it, and as far into the next one as its last frame and the filter reach
+        before = min(a, reach)
+        piece = (x[a - before : a + CHUNK + FRAME * DOWN + reach].astype(np.float32) - 128) / 128
+        mel, energy = log_mel(resample(piece)[before * UP // DOWN :])
+        own = min(part, total - first)
         mels.append(mel[:own])
         energies.append(energy[:own])
     return np.concatenate(mels), segments(np.concatenate(energies))
@@ -171,11 +179,34 @@ def _ms(frame: int, rate: int = RATE * UP // DOWN) -> int:
     return frame * STEP * 1000 // rate
 
 
-def tensors(mel: np.ndarray) -> list[dict]:
-    padded = np.full((-(-len(mel) // FRAMES) * FRAMES, BANDS), FLOOR, np.float32)
+def store_tensors(mel: np.ndarray) -> bytes:
+    """An Arrow stream of the frames as fixed-shape tensors, each with its time span."""
+    n = -(-len(mel) // FRAMES)
+    padded = np.full((n * FRAMES, BANDS), FLOOR, np.float32)
     padded[: len(mel)] = mel
-    flat = padded.reshape(-1, FRAMES * BANDS)
-    return [{"first_ms": _ms(i * FRAMES), "last_ms": _ms(min((i + 1) * FRAMES, len(mel)) - 1) + FRAME * 1000 * DOWN // (RATE * UP), "values": v} for i, v in enumerate(flat)]
+    first = [_ms(i * FRAMES) for i in range(n)]
+    last = [_ms(min((i + 1) * FRAMES, len(mel)) - 1) + FRAME * 1000 * DOWN // (RATE * UP) for i in range(n)]
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(padded.ravel()), FRAMES * BANDS)
+    tensors = pa.ExtensionArray.from_storage(tensor_type(), flat)
+    frames = pa.array([min(FRAMES, len(mel) - i * FRAMES) for i in range(n)], pa.int32())
+    batch = pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(last, pa.int64()), frames, tensors], names=["first_ms", "last_ms", "frames", "tensor"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def read_tensors(stored: bytes) -> pa.Table:
+    """first_ms, last_ms, frames (that are not padding) and tensor (FRAMES x BANDS) of a document."""
+    with pa.ipc.open_stream(stored) as stream:
+        return stream.read_all()
+
+
+def frames_in(table: pa.Table) -> np.ndarray:
+    """The log-mel frames of stored tensors, without the padding."""
+    tensors = table.column("tensor").combine_chunks()
+    values = (tensors.chunk(0) if isinstance(tensors, pa.ChunkedArray) else tensors).to_numpy_ndarray()
+    return values.reshape(-1, BANDS)[: sum(table.column("frames").to_pylist())]
 
 
 def media_columns(df: DataFrame, text: str = "text", outputs: tuple[str, ...] = ("media", "tensors", "segments")) -> DataFrame:
@@ -185,9 +216,8 @@ def media_columns(df: DataFrame, text: str = "text", outputs: tuple[str, ...] =
     source = df.select(*kept, text)
     schema = output_schema(source, (text,), ", ".join(f"{o} {OUTPUTS[o]}" for o in outputs))
     span = pa.struct([("first_ms", pa.int64()), ("last_ms", pa.int64())])
-    tensor = pa.struct([("first_ms", pa.int64()), ("last_ms", pa.int64()), ("values", pa.list_(pa.float32()))])
-    types = {"media": pa.binary(), "tensors": pa.list_(tensor), "segments": pa.list_(span), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "tail_crc32": pa.int64(), "media_bytes": pa.int64()}
-    heard = {"tensors", "segments", "feature"} & set(outputs)
+    types = {"media": pa.binary(), "tensors": pa.binary(), "segments": pa.list_(span), "n_tensors": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "tail_crc32": pa.int64(), "media_bytes": pa.int64()}
+    heard = {"tensors", "tensors_sha256", "n_tensors", "segments", "feature"} & set(outputs)
 
     def row(t: str | None) -> dict:
         data, n = payload(t)
@@ -199,11 +229,10 @@ def media_columns(df: DataFrame, text: str = "text", outputs: tuple[str, ...] =
         }
         if heard:
             mel, spans = features(back)
-            out["feature"] = describe(mel, spans)
-            if "segments" in outputs:
-                out["segments"] = [{"first_ms": _ms(a), "last_ms": _ms(b) + FRAME * 1000 * DOWN // (RATE * UP)} for a, b in spans]
-            if "tensors" in outputs:
-                out["tensors"] = tensors(mel)
+            stored = store_tensors(mel)
+            table = read_tensors(stored)
+            out |= {"tensors": stored, "tensors_sha256": hashlib.sha256(stored).hexdigest(), "n_tensors": table.num_rows, "feature": describe(frames_in(table), spans)}
+            out["segments"] = [{"first_ms": _ms(a), "last_ms": _ms(b) + FRAME * 1000 * DOWN // (RATE * UP)} for a, b in spans]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,7 @@ import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,27 +131,79 @@ def test_quality_learns_and_scores_everything(spark):
     assert quality.score(long, quality.fit(long, spark.createDataFrame([(0, 1), (1, 0)], "doc_id bigint, quality int"))).columns == [c for c in long.columns if c not in ("text", "score", "predicted")] + ["score", "predicted"]
 
 
+def plain_audio(data):
+    """Frames, energies and segments of 8-bit samples, written out sample by sample and frame by frame."""
+    x = (np.frombuffer(data, np.uint8).astype(float) - 128) / 128
+    taps = 2 * 8 * audio.DOWN
+    t = np.arange(-taps // 2, taps // 2)
+    h = np.sinc((t + 0.5) / audio.DOWN) * np.hanning(taps + 2)[1:-1]
+    h /= h.sum()
+    padded = np.r_[np.zeros(taps // 2), x, np.zeros(taps)]
+    y = np.array([padded[n : n + taps] @ h[::-1] for n in range(0, len(x), audio.DOWN)])
+    count = max(0, -(-(len(y) - audio.FRAME) // audio.STEP)) + 1
+    y = np.r_[y, np.zeros(count * audio.STEP + audio.FRAME)]
+    rate = audio.RATE // audio.DOWN
+    hz = lambda m: 700 * (10 ** (m / 2595) - 1)
+    edges = [hz(m) for m in np.linspace(0, 2595 * np.log10(1 + rate / 2 / 700), audio.BANDS + 2)]
+    mels, energy = [], []
+    for i in range(count):
+        frame = y[i * audio.STEP : i * audio.STEP + audio.FRAME]
+        power = np.abs(np.fft.rfft(frame * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(audio.FRAME) / audio.FRAME)))) ** 2
+        f = np.arange(len(power)) * rate / audio.FRAME
+        weights = [np.clip(np.minimum((f - a) / (b - a), (c - f) / (c - b)), 0, None) for a, b, c in zip(edges, edges[1:], edges[2:])]
+        mels.append([np.log10(max(float(w @ power), 1e-12)) for w in weights])
+        energy.append(float((frame**2).mean()))
+    level = [10 * np.log10(max(e, 1e-12)) for e in energy]
+    mean, on, spans = sum(level) / len(level), False, []
+    for i, v in enumerate(level):
+        if v >= mean + audio.BEGIN_DB and not on:
+            on = True
+            spans.append([i, i])
+        elif v < mean + audio.END_DB:
+            on = False
+        if on:
+            spans[-1][1] = i
+    return np.array(mels), [tuple(s) for s in spans]
+
+
 def test_media_round_trip(spark):
-    outputs = ("media", "tensors", "segments", "n_bytes", "payload_bytes", "payload_sha256", "feature")
-    got = rows_of(audio.media_columns(docs(spark, ODD, extra=True), outputs=outputs))
-    for i, t in enumerate(ODD):
-        data, n = audio.payload(t)
-        assert len(data) % 64 == 0 and len(data) >= max(64, n) and got[i]["n_bytes"] == n
-        assert audio.from_wav(bytes(got[i]["media"]))[0] == data
-        assert all(len(x["values"]) == audio.FRAMES * audio.BANDS for x in got[i]["tensors"])
+    outputs = ("media", "tensors", "segments", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_tensors")
+    texts = ODD + ["quiet " * 300 + "LOUD ÿþý! " * 200 + "quiet " * 300]
+    got = rows_of(audio.media_columns(docs(spark, texts, extra=True), outputs=outputs))
+    for i, t in enumerate(texts):
+        data = (t or "").encode()
+        n, data = len(data), data + b"\0" * (max(1, -(-len(data) // 64)) * 64 - len(data))
+        r = got[i]
+        media = bytes(r["media"])
+        assert media[44:] == data and audio.from_wav(media)[0] == data
+        assert (r["n_bytes"], r["payload_bytes"], r["media_bytes"], r["tail_crc32"]) == (n, len(data), 44 + len(data), zlib.crc32(data[-64:]))
+        assert (r["payload_sha256"], r["media_sha256"]) == (hashlib.sha256(data).hexdigest(), hashlib.sha256(media).hexdigest())
+        mel, spans = plain_audio(data)
+        table = audio.read_tensors(bytes(r["tensors"]))
+        assert table.schema.field("tensor").type == pa.fixed_shape_tensor(pa.float32(), (audio.FRAMES, audio.BANDS))
+        assert table.num_rows == r["n_tensors"] == -(-len(mel) // audio.FRAMES) and table.column("first_ms").to_pylist() == [k * audio.FRAMES * 32 for k in range(table.num_rows)]
+        assert table.column("last_ms").to_pylist()[-1] == (len(mel) - 1) * 32 + 64
+        assert np.allclose(10.0 ** audio.frames_in(table), 10.0**mel, rtol=1e-3, atol=1e-6)
+        assert [(s["first_ms"], s["last_ms"]) for s in r["segments"]] == [(a * 32, b * 32 + 64) for a, b in spans]
+        assert r["feature"].split(":")[:3] == [str(len(mel)), str(len(spans)), str(sum(b - a + 1 for a, b in spans))]
     assert got[4]["feature"] == got[5]["feature"]
 
 
-def test_audio_parts():
+def test_audio_parts(monkeypatch):
     t = np.arange(16000) / 16000
     low, high = np.sin(2 * np.pi * 300 * t).astype(np.float32), np.sin(2 * np.pi * 5000 * t).astype(np.float32)
     assert np.abs(audio.resample(low)[50:-50]).max() > 0.9 and np.abs(audio.resample(high)[50:-50]).max() < 0.05
     y = audio.resample(low, 3, 2)
     assert len(y) == 24000 and np.allclose(y[100:-100], np.sin(2 * np.pi * 300 * np.arange(24000) / 24000)[100:-100], atol=0.12)
-    long = np.random.default_rng(0).integers(0, 256, audio.CHUNK + 5000, np.uint8).tobytes()
-    whole, _ = audio.log_mel(audio.resample((np.frombuffer(long, np.uint8).astype(np.float32) - 128) / 128))
-    assert len(audio.features(long)[0]) == len(whole)
     assert audio.segments(np.array([1, 1, 9, 9, 3, 9, 1, 1, 1.0])) == [(2, 5)]
+    # what is filtered in parts is what is filtered at once, wherever the last part ends
+    for rest in (0, 4, 64, 508, 512, 516, 1024, 5000):
+        long = np.random.default_rng(rest).integers(0, 256, 3 * audio.CHUNK + rest, np.uint8).tobytes()
+        parts, spans = audio.features(long)
+        with monkeypatch.context() as m:
+            m.setattr(audio, "CHUNK", 1 << 24)
+            whole, at_once = audio.features(long)
+        assert parts.shape == whole.shape and np.allclose(parts, whole, atol=1e-3) and spans == at_once
 
 
 def test_vectors_against_all_pairs(spark, kind="float"):
