@@ -75,7 +75,8 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text", "source"), secrets.fit(secrets.made_findings(spark)))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found = secrets.scan(docs, secrets.fit_to_corpus(docs))
     places = F.array_join(F.transform("secrets", lambda s: F.concat_ws(":", s["first"].cast("string"), s["last"].cast("string"), s["kind"])), ",")
     return found.select("doc_id", "n_candidates", "n_secrets", places.alias("secrets"), F.array_max("secrets.score").alias("score"))
 
