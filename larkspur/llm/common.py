@@ -37,6 +37,18 @@ def output_schema(df: DataFrame, drop: tuple[str, ...], added: str) -> str:
     return ", ".join([*kept, added])
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for columns of an operator's own that df has in no spelling."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -10,7 +10,8 @@ shuffle); the texts move once, to meet the places of their own document.
 
 Defined cases: a document of one or two lines that aren't blank has them as its only window; blank lines form no window and go
 only between covered lines; null and empty texts stay as they are; rows with the same id and text are one
-document, and each keeps or loses the same lines; a null id comes before all others; other columns pass through.
+document, and each keeps or loses the same lines; a null id comes before all others; other columns pass through, whatever their
+names (but for lines_removed, which is replaced); an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import checkpoint
+from larkspur.llm.common import checkpoint, free_names
 
 #: Lines of a window.
 WINDOW = 3
@@ -56,17 +57,16 @@ def later_windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with later repeats of three-line windows removed from the text, and the number of lines removed in lines_removed."""
-    found = later_windows(docs, key, text)
-    keyed = docs.withColumn("_text_hash", F.xxhash64(text))
-    joined = keyed.join(found, keyed[key].eqNullSafe(found["_id"]) & (keyed["_text_hash"] == found["_text_hash"]), "left").select(*(keyed[c] for c in docs.columns if c != "lines_removed"), "spans")
-    covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"]))))
-    out = joined.withColumn("_lines", F.when(F.col("spans").isNotNull(), F.split(text, "\n", -1))).withColumn(
-        "_kept", F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), covered)
-    )
-    cleaned = F.array_join(F.transform("_kept", lambda i: F.get("_lines", i)), "\n")
-    columns = [F.when(F.col("spans").isNull(), F.col(c)).otherwise(cleaned).alias(c) if c == text else F.col(c) for c in docs.columns if c != "lines_removed"]
-    removed = F.when(F.col("spans").isNull(), F.lit(0)).otherwise(F.size("_lines") - F.size("_kept"))
-    return out.select(*columns, removed.alias("lines_removed"))
+    digest, spans, lines, kept, id_ = free_names(docs, "text_hash", "spans", "lines", "kept", "id")
+    found = later_windows(docs, key, text).select(F.col("_id").alias(id_), F.col("_text_hash").alias(f"{digest}_"), F.col("spans").alias(spans))
+    columns = [c for c in docs.columns if c != "lines_removed"]
+    keyed = docs.select(*columns, F.xxhash64(text).alias(digest))
+    joined = keyed.join(found, F.col(key).eqNullSafe(F.col(id_)) & (F.col(digest) == F.col(f"{digest}_")), "left")
+    covered = F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["first"], s["last"]))))
+    out = joined.withColumn(lines, F.when(F.col(spans).isNotNull(), F.split(text, "\n", -1))).withColumn(kept, F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered))
+    cleaned = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+    removed = F.when(F.col(spans).isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(kept))
+    return out.select(*(F.when(F.col(spans).isNull(), F.col(c)).otherwise(cleaned).alias(c) if c == text else F.col(c) for c in columns), removed.alias("lines_removed"))
 
 
 #: The same rows in DuckDB's SQL, from a table of (doc_id, text).

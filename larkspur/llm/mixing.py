@@ -3,20 +3,23 @@
 A naive Bayes classifier over words learns from a table of labelled documents which words speak for which domain. Every
 document gets a posterior over the domains; as single words are far from independent, the evidence is tempered: it
 counts as EVIDENCE words at most. With tokens t and posterior p of a document, rate x contributes x * t * p to the
-domains' totals, and projected-gradient steps fit rates at or above a lower bound so that these totals match the targets:
+domains' totals, and projected-gradient steps fit rates between two bounds so that these totals match the targets:
 
-    minimise  1/2 |sum(x t p) / T - target|^2   over  x >= least,  starting from x = 1
+    minimise  1/2 |sum(x t p) / T - target|^2   over  least <= x <= most,  starting from x = 1
 
-A step is x <- max(least, x - <p, M^-1 r>) with the current residual r and the fixed K x K matrix M = sum(t p p') / T as its
-metric. Each step is one distributed sum of K numbers; only those, and M, come to the driver (K domains, at most MOST_DOMAINS).
-The step that came closest is kept.
+A step is x <- min(most, max(least, x - <p, M^-1 r>)) with the current residual r and the fixed K x K matrix M = sum(t p p') / T as its
+metric. Each step is one distributed sum of K numbers; only those, and M, come to the driver (K domains, at most MOST_DOMAINS;
+more raise an error before anything is fitted). The step that came closest is kept. Every repeated row counts with its tokens.
 
 The vocabulary is bounded (VOCABULARY words, most frequent first), so it is broadcast; words are counted within the
 row's task before anything is shuffled, and documents are keyed by their own id, so a hot source or domain is no key of any shuffle.
 
+With rates of at least 1, as a pipeline that drops nothing asks for, scarce domains are repeated until the shares fit, but no document
+more than ``most`` times: of a domain that is nearly absent the target is then missed, and the shares that were reached are what they are.
+
 Defined cases: null and empty texts have no tokens, the prior as posterior, and the rate that this gives; labelled rows with a null domain
 teach nothing; without any labelled row all rates are 1; a domain of no target weight has target 0; equal rows get equal rates; other
-columns pass through.
+columns pass through, whatever their names (but for the three that are added, which are replaced); an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import checkpoint
+from larkspur.llm.common import checkpoint, free_names
 
 #: Documented bounds: labelled documents that are learned from, words of the vocabulary, and domains.
 SAMPLE = 2000
@@ -35,6 +38,8 @@ MOST_DOMAINS = 64
 EVIDENCE = 1.0
 STEPS = 25
 TOLERANCE = 1e-6
+#: Rate that no document exceeds, and so the bound of its repeats.
+MOST = 8.0
 
 _SPLIT = r"[\x00-\x20]+"
 
@@ -64,30 +69,33 @@ def learn(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str =
 
 
 def posteriors(docs: DataFrame, vocabulary: DataFrame, prior: list[float], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_key, tokens, p): one row per distinct id and text."""
+    """(_key, tokens, copies, p): one row per distinct id and text, with the number of its rows and the tokens of one of them."""
     k = len(prior)
     keyed = docs.select(_key(key, text).alias("_key"), words_of(text).alias("words"))
-    tokens = keyed.select("_key", F.size("words").cast("bigint").alias("n"), F.explode_outer("words").alias("word"))
+    tokens = keyed.select("_key", F.size("words").cast("bigint").alias("n"), F.posexplode_outer("words").alias("pos", "word"))
     # the vocabulary has VOCABULARY rows at most
     scored = tokens.join(F.broadcast(vocabulary), "word", "left")
-    sums = scored.groupBy("_key", "n").agg(F.count("weights").alias("known"), *(F.sum(F.get("weights", F.lit(i))).alias(f"l{i}") for i in range(k)))
-    scale = F.lit(EVIDENCE) / F.greatest(F.col("known"), F.lit(EVIDENCE))
+    # each row has one first word, or one row without any
+    rows = F.count_if(F.coalesce(F.col("pos"), F.lit(0)) == 0)
+    sums = scored.groupBy("_key", "n").agg(rows.alias("copies"), F.count("weights").alias("known"), *(F.sum(F.get("weights", F.lit(i))).alias(f"l{i}") for i in range(k)))
+    # words and their weights were summed over all rows of the key; their mean is the same for one of them
+    scale = F.lit(EVIDENCE) / F.greatest(F.col("known") / F.col("copies"), F.lit(EVIDENCE)) / F.col("copies")
     logs = [F.lit(prior[i]) + F.coalesce(F.col(f"l{i}") * scale, F.lit(0.0)) for i in range(k)]
     top = F.greatest(*logs) if k > 1 else logs[0]
-    exps = sums.select("_key", F.col("n").alias("tokens"), F.array(*(F.exp(x - top) for x in logs)).alias("e"))
+    exps = sums.select("_key", F.col("n").alias("tokens"), "copies", F.array(*(F.exp(x - top) for x in logs)).alias("e"))
     total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
-    # repeated rows of one id and text were counted together; their share is the same
-    return exps.select("_key", "tokens", F.transform("e", lambda x: x / total).alias("p"))
+    return exps.select("_key", "tokens", "copies", F.transform("e", lambda x: x / total).alias("p"))
 
 
-def fit_rates(rows: DataFrame, target: np.ndarray, least: float = 0.0, steps: int = STEPS) -> tuple[Column, np.ndarray]:
-    """The rate of each row of (tokens, p) as an expression, and the shares that the rates give."""
+def fit_rates(rows: DataFrame, target: np.ndarray, least: float = 0.0, most: float = MOST, steps: int = STEPS) -> tuple[Column, np.ndarray]:
+    """The rate of each row of (tokens, copies, p) as an expression, and the shares that the rates give."""
     k = len(target)
     p = [F.get("p", F.lit(i)) for i in range(k)]
-    t = F.col("tokens").cast("double")
+    t = (F.col("tokens") * F.col("copies")).cast("double")
     first = rows.agg(F.sum(t).alias("t"), *(F.sum(t * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k))).first()
     total = first["t"] or 0.0
-    rate = F.greatest(F.lit(float(least)), F.lit(1.0))
+    bounded = lambda x: F.least(F.lit(float(most)), F.greatest(F.lit(float(least)), x))
+    rate = bounded(F.lit(1.0))
     if not total or not k:
         return rate, target * 0
     metric = np.array([[first[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / total
@@ -104,15 +112,15 @@ def fit_rates(rows: DataFrame, target: np.ndarray, least: float = 0.0, steps: in
         if error < TOLERANCE**2 or gained < 1e-4 * error and best < np.inf and gained < TOLERANCE**2:
             break
         step = inverse @ residual
-        rate = F.greatest(F.lit(float(least)), rate - sum((p[i] * float(step[i]) for i in range(k)), F.lit(0.0)))
+        rate = bounded(rate - sum((p[i] * float(step[i]) for i in range(k)), F.lit(0.0)))
     return best_rate, best_shares
 
 
-def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text", domain: str = "domain", least: float = 0.0) -> DataFrame:
+def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text", domain: str = "domain", least: float = 0.0, most: float = MOST) -> DataFrame:
     """(_key, n_tokens, domain_posteriors, rate) per distinct id and text; _key holds the id and the hash of the text.
 
     labelled: key and domain of documents whose domain is known.
-    targets gives weights of domains. With least > 0 the totals grow as far as the domain that is scarcest needs, so that the
+    No rate is below least or over most. targets gives weights of domains. With least > 0 the totals grow as far as the domain that is scarcest needs, so that the
     weights can be matched without any rate below least.
     """
     vocabulary, domains, prior = learn(docs, labelled, key, text, domain)
@@ -123,29 +131,33 @@ def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key:
     rows = checkpoint(posteriors(docs, vocabulary, prior, key, text))
     weights = weights / weights.sum() if weights.sum() else np.exp(prior)
     if least > 0:
-        sums = rows.agg(F.sum("tokens").alias("t"), *(F.sum(F.col("tokens") * F.get("p", F.lit(i))).alias(f"s{i}") for i in range(len(domains)))).first()
+        tokens = F.col("tokens") * F.col("copies")
+        sums = rows.agg(F.sum(tokens).alias("t"), *(F.sum(tokens * F.get("p", F.lit(i))).alias(f"s{i}") for i in range(len(domains)))).first()
         now = np.array([sums[f"s{i}"] or 0.0 for i in range(len(domains))]) / max(sums["t"] or 1, 1)
         weights = weights * max([1.0, *(least * n / w for n, w in zip(now, weights) if w > 0)])
-    rate, _ = fit_rates(rows, weights, least)
+    rate, _ = fit_rates(rows, weights, least, most)
     named = F.map_from_arrays(F.array(*(F.lit(d) for d in domains)), F.col("p"))
     return rows.select("_key", F.col("tokens").alias("n_tokens"), named.alias("domain_posteriors"), rate.alias("rate"))
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text", domain: str = "domain", least: float = 0.0) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text", domain: str = "domain", least: float = 0.0, most: float = MOST) -> DataFrame:
     """docs without the text, with n_tokens, domain_posteriors (domain to share) and rate."""
-    rated = rates(docs, labelled, targets, key, text, domain, least)
     added = ("n_tokens", "domain_posteriors", "rate")
     kept = [c for c in docs.columns if c != text and c not in added]
-    keyed = docs.select(*kept, _key(key, text).alias("_own"))
-    return keyed.join(rated, keyed["_own"].eqNullSafe(rated["_key"]), "left").select(*kept, *added)
+    own, other = free_names(docs, "own_key", "rated_key")
+    rated = rates(docs, labelled, targets, key, text, domain, least, most).withColumnRenamed("_key", other)
+    keyed = docs.select(*kept, _key(key, text).alias(own))
+    return keyed.join(rated, F.col(own).eqNullSafe(F.col(other)), "left").select(*kept, *added)
 
 
 def apply_rates(docs: DataFrame, rated: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs, each row as many times as its rate says; the hash of its id and text decides the fraction."""
+    own, other, rate, copy = free_names(docs, "own_key", "rated_key", "rate", "copy")
     share = F.pmod(F.xxhash64(key, text, F.lit(6)), F.lit(1 << 20)) / float(1 << 20)
-    keyed = docs.withColumn("_own", _key(key, text)).join(rated.select("_key", F.col("rate").alias("_rate")), F.col("_own").eqNullSafe(F.col("_key")), "left")
-    copies = F.floor(F.coalesce("_rate", F.lit(1.0)) + share).cast("int")
-    return keyed.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*(docs[c] for c in docs.columns))
+    found = rated.select(F.col("_key").alias(other), F.col("rate").alias(rate))
+    keyed = docs.select("*", _key(key, text).alias(own)).join(found, F.col(own).eqNullSafe(F.col(other)), "left")
+    copies = F.floor(F.coalesce(F.col(rate), F.lit(1.0)) + share).cast("int")
+    return keyed.withColumn(copy, F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
 
 
 def _key(key: str, text: str) -> Column:

@@ -45,21 +45,22 @@ def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_dedup(read(spark, sf_dir, "embeddings"))
 
 
-#: Target shares of tokens by language, the domain of the documents' mix.
+#: Target shares of tokens by domain: the languages, as the texts of the tables tell nothing of their source.
+DOMAIN = "lang"
 TARGETS = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}
 
 
-def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def labelled_domains(docs: DataFrame, labels: DataFrame, domain: str = DOMAIN) -> DataFrame:
     """(doc_id, domain) of the documents that the labels table knows; the others' domain is predicted."""
     known = labels.select("doc_id").filter("doc_id is not null").distinct()
-    return docs.select("doc_id", F.col("lang").alias("domain")).join(known, "doc_id", "left_semi")
+    return docs.select("doc_id", F.col(domain).alias("domain")).join(known, "doc_id", "left_semi")
 
 
-def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op6_mixing(spark: SparkSession, sf_dir: str, domain: str = DOMAIN, targets: dict[str, float] = TARGETS) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    mixed = mixing.mix(docs.select("doc_id", "text"), labelled_domains(docs, read(spark, sf_dir, "labels")), TARGETS)
-    posteriors = [F.round(F.try_element_at("domain_posteriors", F.lit(d)), 9).alias(f"p_{d}") for d in TARGETS]
-    return mixed.select("doc_id", "n_tokens", *posteriors, F.round("rate", 9).alias("rate"))
+    mixed = mixing.mix(docs.select("doc_id", "source", "text"), labelled_domains(docs, read(spark, sf_dir, "labels"), domain), targets)
+    posteriors = [F.round(F.try_element_at("domain_posteriors", F.lit(d)), 9).alias(f"p_{d}") for d in targets]
+    return mixed.select("doc_id", "source", "n_tokens", *posteriors, F.round("rate", 9).alias("rate"))
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -267,6 +267,28 @@ def test_mixing_matches_targets(spark):
     out = mixing.apply_rates(df, rated)
     assert out.columns == df.columns and {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in got}
     assert {r["rate"] for r in mixing.mix(df, labelled.limit(0), {"de": 1.0}).collect()} == {1.0}
+    # a domain that is nearly absent is repeated up to the bound, and repeated rows count each
+    rare = docs(spark, ["the and of is house river"] * 30 + ["der die das und ist haus"] + ["the and of is house river x"] * 9).drop("lang")
+    known = spark.createDataFrame([(i, "de" if i == 30 else "en") for i in range(40)], "doc_id bigint, domain string")
+    assert max(r["rate"] for r in mixing.rates(rare, known, {"de": 0.9, "en": 0.1}, least=1.0).collect()) <= mixing.MOST
+    twice = rare.unionAll(rare.filter("doc_id = 30"))
+    p = {r["_key"]["id"]: r for r in mixing.posteriors(twice, *mixing.learn(twice, known)[::2]).collect()}
+    q = {r["_key"]["id"]: r for r in mixing.posteriors(rare, *mixing.learn(twice, known)[::2]).collect()}
+    assert (p[30]["copies"], p[0]["copies"]) == (2, 1) and p[30]["tokens"] == q[30]["tokens"] and p[30]["p"] == pytest.approx(q[30]["p"])
+    # posteriors against a plain version
+    vocabulary, domains, prior = mixing.learn(df, labelled)
+    weight = {r["word"]: r["weights"] for r in vocabulary.collect()}
+    plain = {}
+    for i, t in enumerate(texts + ODD):
+        known_words = [weight[w] for w in re.split("[\x00-\x20]+", (t or "").lower()) if w in weight]
+        logs = np.array(prior) + (np.sum(known_words, axis=0) / max(len(known_words), 1) if known_words else 0)
+        plain[i] = np.exp(logs - logs.max()) / np.exp(logs - logs.max()).sum()
+    for r in got:
+        assert [r["domain_posteriors"][d] for d in domains] == pytest.approx(plain[r["doc_id"]].tolist())
+    clash = df
+    for c in ("_own", "_rate", "own_key", "rated_key", "copy", "_key", "d", "copies"):
+        clash = clash.withColumn(c, F.lit("mine"))
+    assert mixing.mix(clash, labelled, {"de": 0.5, "en": 0.5}).count() == len(got) and mixing.apply_rates(clash, mixing.rates(clash, labelled, {"de": 1.0})).columns == clash.columns
     assert mixing.mix(df.limit(0), labelled, {"de": 1.0}).count() == 0
 
 
@@ -436,13 +458,12 @@ def test_chance_meetings_do_not_join_components(spark, monkeypatch):
     assert {i: (r["class_id"], r["n_links"]) for i, r in rows.items()} == brute_jaccard(texts)
 
 
-def test_line_dedup_against_plain(spark):
-    texts = ["a\nb\nc\nd", "x\na\nb\nc\ny", "a\nb\nc\na\nb\nc", "p\nq", "p\nq", "\n\na\n\nb\nc\n", None, "", "solo", "solo"]
-    got = rows_of(lines.line_dedup(docs(spark, texts, extra=True)))
-    seen, expected = set(), {}
-    for i, t in enumerate(texts):
+def plain_lines(rows):
+    """(text, lines removed) of each (id, text) in order of id, by looking at every window in turn."""
+    seen, out = set(), []
+    for t in rows:
         if t is None:
-            expected[i] = (None, 0)
+            out.append((None, 0))
             continue
         all_lines = t.split("\n")
         own = [k for k, x in enumerate(all_lines) if x.strip(" ")]
@@ -453,8 +474,19 @@ def test_line_dedup_against_plain(spark):
             if content in seen:
                 gone |= set(range(at[0], at[-1] + 1))
             seen.add(content)
-        expected[i] = ("\n".join(x for k, x in enumerate(all_lines) if k not in gone), len(gone))
-    assert {i: (r["text"], r["lines_removed"]) for i, r in got.items()} == expected
+        out.append(("\n".join(x for k, x in enumerate(all_lines) if k not in gone), len(gone)))
+    return out
+
+
+def test_line_dedup_against_plain(spark):
+    texts = ["a\nb\nc\nd", "x\na\nb\nc\ny", "a\nb\nc\na\nb\nc", "p\nq", "p\nq", "\n\na\n\nb\nc\n", None, "", "solo", "solo"]
+    clash = docs(spark, texts, extra=True)
+    for c in ("spans", "_text_hash", "text_hash", "lines", "kept", "_id", "id"):
+        clash = clash.withColumn(c, F.lit("mine"))
+    out = lines.line_dedup(clash)
+    got = rows_of(out)
+    assert {i: (r["text"], r["lines_removed"]) for i, r in got.items()} == dict(enumerate(plain_lines(texts)))
+    assert {r["_text_hash"] + r["spans"] for r in got.values()} == {"minemine"} and set(out.columns) == set(clash.columns)
 
 
 def corpus(n=200):
