@@ -36,8 +36,8 @@ SUFFIX = "</w>"
 #: Below this character, chunks are normalised and split together.
 BEYOND = "\u0250"
 #: Chunks remembered by one worker, and characters encoded at a time.
-MEMORY = 600_000
-SLICE = 1_000_000
+MEMORY = 300_000
+SLICE = 500_000
 
 #: What encode_decode can return, with its type.
 OUTPUTS = {"ids": "array<int>", "decoded": "string", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
