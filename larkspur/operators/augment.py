@@ -11,6 +11,14 @@ def set_hash(digests: Column) -> Column:
     return F.sha2(F.array_join(F.sort_array(F.coalesce(digests, F.array().cast("array<string>"))), ":"), 256)
 
 
+def bucketed_hash(rows: DataFrame, key: str, digest: str, digits: int = 3) -> DataFrame:
+    """(key, set_hash): the digest of each key's digests, which are gathered by their first hexadecimal digits and then bucket by bucket,
+    so that a key of very many rows is never one list.
+    """
+    buckets = rows.groupBy(key, F.substring(digest, 1, digits).alias("_bucket")).agg(set_hash(F.collect_list(digest)).alias("_h"))
+    return buckets.groupBy(key).agg(set_hash(F.collect_list("_h")).alias("set_hash"))
+
+
 def cached(items: DataFrame, cache: DataFrame, key: str, version: str) -> DataFrame:
     """items with hit and the cached description; a hit needs the same images and the same model."""
     joined = items.join(cache.select(key, F.col("image_hash").alias("_hash"), "visual_description", "model_version"), key, "left")
@@ -18,10 +26,11 @@ def cached(items: DataFrame, cache: DataFrame, key: str, version: str) -> DataFr
     return joined.withColumn("hit", hit).withColumn("visual_description", F.when(hit, F.col("visual_description"))).drop("_hash", "model_version")
 
 
-def capped(items: DataFrame, miss: Column, order: str, cap: int) -> DataFrame:
-    """items with call: a miss that is among the first cap misses.
+def capped(items: DataFrame, miss: Column, order: str, cap: int, key: str | None = None) -> DataFrame:
+    """items with call: a miss that is among the first cap misses, in order, with ties by key (which names a row; order itself, if it does).
 
     The cap is a number of rows, so the last row that may call is found by a top-k, and all others are compared with it.
     """
-    edge = items.filter(miss).select(order).orderBy(order).limit(cap).agg(F.max(order).alias("_edge"))
-    return items.crossJoin(F.broadcast(edge)).withColumn("call", miss & F.coalesce(F.col(order) <= F.col("_edge"), F.lit(False))).drop("_edge")
+    place = F.struct(order, key) if key else F.struct(order)
+    edge = items.filter(miss).select(place.alias("_edge")).orderBy("_edge").limit(cap).agg(F.max("_edge").alias("_edge"))
+    return items.crossJoin(F.broadcast(edge)).withColumn("call", miss & F.coalesce(place <= F.col("_edge"), F.lit(False))).drop("_edge")

@@ -12,9 +12,18 @@ def daily_spend(events: DataFrame, category: str, ts: str, amount: str) -> DataF
     return events.groupBy(F.col(category).alias("category"), utc_day(F.col(ts)).alias("day")).agg(F.sum(money(F.col(amount))).cast("double").alias("spent"))
 
 
+#: A number at the start of a text.
+_NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
+
+
+def spent_number(spent: Column) -> Column:
+    """The number that a counter's text begins with, 0 if there is none: 5abc is 5, and NaN and null are 0."""
+    return F.coalesce(F.nullif(F.regexp_extract(spent, _NUMBER, 1), F.lit("")).try_cast("double"), F.lit(0.0))
+
+
 def blocked(spent: Column, cap: float) -> Column:
     """Spent at or over the cap; a counter that is no number allows, as none does."""
-    return F.coalesce(F.try_cast(spent, "double") if hasattr(F, "try_cast") else spent.try_cast("double"), F.lit(0.0)) >= cap
+    return spent_number(spent) >= cap
 
 
 def running_spend(events: DataFrame, category: str, ts: str, amount: str, key: str) -> DataFrame:
@@ -23,10 +32,24 @@ def running_spend(events: DataFrame, category: str, ts: str, amount: str, key: s
     return events.withColumn("spent_before", F.coalesce(F.sum(money(F.col(amount))).over(run), F.lit(0)).cast("double"))
 
 
-def first_breaches(events: DataFrame, category: str, ts: str, amount: str, key: str, cap: float) -> DataFrame:
-    """(category, day, key, at): of each day the first event that comes with the cap already spent."""
-    over = running_spend(events, category, ts, amount, key).filter(F.col("spent_before") >= cap)
-    return over.groupBy(F.col(category).alias("category"), utc_day(F.col(ts)).alias("day")).agg(F.min_by(key, F.struct(ts, key)).alias(key), F.min(ts).alias("at"))
+def first_breaches(events: DataFrame, category: str, ts: str, amount: str, key: str, cap: float, bucket: str = "minute") -> DataFrame:
+    """(category, day, key, at): of each day the first event that comes with the cap already spent.
+
+    Amounts are summed by bucket first, and a day's few buckets get what was spent before each. Only events of buckets in
+    which the cap may be reached are put in order, up to the first bucket that begins with the cap spent; so no task sorts a whole day.
+    """
+    money_, place = money(F.col(amount)), F.struct(F.col(ts).alias("at"), F.col(key).alias("key"))
+    named = events.select(F.col(category).alias("category"), utc_day(F.col(ts)).alias("day"), F.date_trunc(bucket, F.col(ts)).alias("bucket"), place.alias("place"), money_.alias("amount"))
+    sums = named.groupBy("category", "day", "bucket").agg(F.sum("amount").alias("spent"), F.sum(F.greatest("amount", F.lit(0).cast("decimal(18,8)"))).alias("gained"), F.min("place").alias("first"))
+    before = F.coalesce(F.sum("spent").over(Window.partitionBy("category", "day").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = sums.withColumn("before", before)
+    over = placed.filter(F.col("before") >= cap).groupBy("category", "day").agg(F.min("bucket").alias("over"), F.min("first").alias("place"))
+    inside = placed.filter((F.col("before") < cap) & (F.col("before") + F.coalesce("gained", F.lit(0)) >= cap)).join(over.select("category", "day", "over"), ["category", "day"], "left")
+    inside = inside.filter(F.col("over").isNull() | (F.col("bucket") < F.col("over"))).select("category", "day", "bucket", "before")
+    own = Window.partitionBy("category", "day", "bucket").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    reached = named.join(inside, ["category", "day", "bucket"]).withColumn("so_far", F.col("before") + F.coalesce(F.sum("amount").over(own), F.lit(0))).filter(F.col("so_far") >= cap)
+    found = reached.select("category", "day", "place").unionByName(over.select("category", "day", "place")).groupBy("category", "day").agg(F.min("place").alias("place"))
+    return found.select("category", "day", F.col("place.key").alias(key), F.col("place.at").alias("at"))
 
 
 def throttled(events: DataFrame, tracker: str, ts: str, key: str, limit: int, width: str = "minute") -> DataFrame:

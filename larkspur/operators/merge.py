@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.functions.net import valid_id
+
 
 def content_hash(*parts: str) -> Column:
-    return F.sha2(F.concat_ws("\x01", *parts), 256)
+    """A digest of the parts in order. Each is written with its length, and a null as a sign of its own, so no two lists of parts are alike."""
+    written = [F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), F.col(p).cast("string")), F.lit("-")) for p in parts]
+    return F.sha2(F.concat(*written), 256)
 
 
-def stable_hash(fields: dict[str, Column]) -> Column:
-    """A digest of named fields whose order does not matter; arrays are sorted by the caller."""
-    return F.sha2(F.to_json(F.struct(*(c.alias(k) for k, c in sorted(fields.items())))), 256)
+def stable_hash(fields: dict[str, Column], arrays: tuple[str, ...] = ()) -> Column:
+    """A digest of named fields whose order does not matter; those named in arrays are sorted, and nulls are kept."""
+    sorted_ = {k: F.sort_array(c) if k in arrays else c for k, c in fields.items()}
+    return F.sha2(F.to_json(F.struct(*(c.alias(k) for k, c in sorted(sorted_.items()))), {"ignoreNullFields": "false"}), 256)
 
 
 def delta(stored: DataFrame, incoming: DataFrame, source: str = "source_id", digest: str = "hash") -> DataFrame:
@@ -31,7 +36,18 @@ def delta(stored: DataFrame, incoming: DataFrame, source: str = "source_id", dig
 def outcomes(changes: DataFrame, source: str = "source_id") -> DataFrame:
     """Per source: counts and the outcome. A source is skipped if something was and nothing was added."""
     counts = changes.groupBy(source).agg(*(F.count_if(F.col("change") == c).alias(f"num_{c}") for c in ("added", "skipped", "deleted")))
-    return counts.withColumn("outcome", F.when((F.col("num_skipped") > 0) & (F.col("num_added") == 0), "skipped").otherwise("upserted"))
+    return counts.withColumn("outcome", outcome(F.lit("d"), F.col("num_added"), F.lit(0), F.col("num_skipped")))
+
+
+def outcome(doc_id: Column, added: Column, updated: Column, skipped: Column) -> Column:
+    """failed without a sound document id, skipped if something was and nothing was added or updated, else upserted; null counts are 0."""
+    n = lambda c: F.coalesce(c, F.lit(0))
+    return F.when(~valid_id(doc_id), "failed").when((n(skipped) > 0) & (n(added) == 0) & (n(updated) == 0), "skipped").otherwise("upserted")
+
+
+def loaders_to_delete(gone: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """Removed mappings whose loader is there to delete; those with an empty document id only leave the mapping."""
+    return gone.filter(F.coalesce(F.col(doc_id), F.lit("")) != "")
 
 
 def apply_delta(stored: DataFrame, incoming: DataFrame, source: str = "source_id", digest: str = "hash") -> DataFrame:

@@ -26,10 +26,15 @@ def vector(values: Sequence[float]) -> Column:
     return F.array(*(F.lit(float(v)) for v in values))
 
 
-def top_k(chunks: DataFrame, query: Sequence[float], k: int = DEFAULT_K, strategy: str = "cosine", embedding: str = "embedding", key: str = "vec_id", where: Column | None = None) -> DataFrame:
-    """The k nearest chunks with their distance; ties go by key. The filter is applied before any distance is computed."""
+def top_k(chunks: DataFrame, query: Sequence[float] | DataFrame, k: int = DEFAULT_K, strategy: str = "cosine", embedding: str = "embedding", key: str = "vec_id", where: Column | None = None) -> DataFrame:
+    """The k nearest chunks with their distance; ties go by key. The filter is applied before any distance is computed.
+
+    The query is a list of numbers, or a table of one row with the vector in ``query``, which stays within the plan.
+    """
     found = chunks if where is None else chunks.filter(where)
-    scored = found.withColumn("distance", DISTANCES[strategy](F.col(embedding), vector(query))).filter("distance is not null")
+    given = isinstance(query, DataFrame)
+    found = found.crossJoin(F.broadcast(query.select("query").limit(1))) if given else found.withColumn("query", vector(query))
+    scored = found.withColumn("distance", DISTANCES[strategy](F.col(embedding), F.col("query"))).drop("query").filter("distance is not null")
     return scored.orderBy("distance", key).limit(checked_k(k))
 
 
@@ -75,13 +80,14 @@ def shown(metadata: Column) -> Column:
 
 
 def hybrid(found: DataFrame, rank: str, category: str, wanted: str | None, k: int) -> DataFrame:
-    """Results (with distance) ranked again by similarity, an item's own rank and its category."""
-    top = F.max(rank).over(Window.partitionBy())
+    """Results (with distance) ranked again by similarity, an item's own rank and its category. The highest rank is one row, which is joined to all."""
+    found = found.crossJoin(F.broadcast(found.agg(F.max(rank).alias("_top"))))
+    top = F.col("_top")
     vector_score = 1 - F.col("distance")
     rank_score = F.coalesce(F.try_divide(F.col(rank).cast("double"), top.cast("double")), F.lit(0.0))
     category_score = F.when(F.contains(F.col(category), F.lit(wanted)), 1.0).otherwise(0.0) if wanted is not None else F.lit(0.0)
     score = VECTOR_WEIGHT * vector_score + RANK_WEIGHT * rank_score + CATEGORY_WEIGHT * category_score
-    return found.withColumn("score", score).orderBy(F.desc("score"), "vec_id").limit(k)
+    return found.withColumn("score", score).orderBy(F.desc("score"), "vec_id").limit(k).drop("_top")
 
 
 def fuse(ranked: Sequence[DataFrame], key: str, k: int) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import cost, net, text
 from larkspur.functions.vectors import cosine_distance
-from larkspur.operators import augment, budget, chunks, graph, merge, registry, search, vision
+from larkspur.operators import answers, augment, budget, chunks, graph, merge, refresh, registry, search, vision
+from larkspur.operators.models import ScriptedModel
 from larkspur.schemas import ITEM
 from larkspur.sources import objects, snapshots
 from larkspur.streaming.runs import stream_spend
@@ -33,9 +34,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def first_vector(spark: SparkSession, folder: str) -> list[float]:
-    """The query vector: that of the smallest id."""
-    return table(spark, folder, "embeddings").filter("embedding is not null").orderBy("vec_id").limit(1).first()["embedding"]
+def first_vector(spark: SparkSession, folder: str) -> DataFrame:
+    """The query vector: that of the smallest id, as a table of one row."""
+    return table(spark, folder, "embeddings").filter("embedding is not null").orderBy("vec_id").limit(1).select(F.col("embedding").alias("query"))
 
 
 _Q = "(SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE embedding IS NOT NULL ORDER BY vec_id LIMIT 1)"
@@ -67,28 +68,29 @@ def vector_topk_filtered(spark, folder):
     return found.select("vec_id", "label", F.round("distance", 9).alias("distance"))
 
 
-@query(f"""
-WITH q AS (SELECT vec_id AS query_id, {_E} AS query FROM embeddings WHERE vec_id < 10),
-s AS (SELECT query_id, vec_id, 1 - list_cosine_similarity({_E}, query) AS distance FROM embeddings, q),
+def _hundredths(vectors):
+    """Every vector whose id is divisible by 100, as queries: the query set of the searches."""
+    return vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+_EACH = f"""
+WITH q AS (SELECT vec_id AS query_id, {_E} AS query FROM embeddings WHERE vec_id % 100 = 0 AND embedding IS NOT NULL),
+s AS (SELECT query_id, vec_id, 1 - list_cosine_similarity({_E}, query) AS distance FROM embeddings, q WHERE embedding IS NOT NULL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM s)
 SELECT query_id, vec_id, round(distance, 9) AS distance, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5
-""")
-def vector_topk_per_query(spark, folder):
-    vectors = table(spark, folder, "embeddings").filter("embedding is not null")
-    queries = vectors.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return search.top_k_each(queries, vectors, 5).select("query_id", "vec_id", F.round("distance", 9).alias("distance"), "rank")
+"""
 
 
-def _hundredths(vectors):
-    """Every vector whose id is divisible by 100, as queries."""
-    return vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+@query(_EACH)
+def vector_topk_per_query(spark, folder):
+    vectors = table(spark, folder, "embeddings").filter("embedding is not null")
+    return search.top_k_each(_hundredths(vectors), vectors, 5).select("query_id", "vec_id", F.round("distance", 9).alias("distance"), "rank")
 
 
-@query()
+@query(_EACH)
 def vector_topk_hundredths(spark, folder):
-    """As vector_topk_per_query, whose SQL has ten queries, but every hundredth id against all vectors."""
-    vectors = table(spark, folder, "embeddings").filter("embedding is not null")
-    return search.top_k_each(_hundredths(vectors), vectors, 5).select("query_id", "vec_id", F.round("distance", 9).alias("distance"), "rank")
+    """vector_topk_per_query under its former name."""
+    return vector_topk_per_query(spark, folder)
 
 
 @query(f"""
@@ -138,51 +140,48 @@ def trigram_similarity(spark, folder):
     return scored.select("p_partkey", F.round("s", 9).alias("similarity")).orderBy(F.desc("similarity"), "p_partkey").limit(20)
 
 
-@query("""
+_RELATED = """
 SELECT o_orderkey, list(lpad(CAST(l_partkey AS VARCHAR), 12, '0') || ' ' || p_name ORDER BY l_partkey, p_name) AS related
-FROM (SELECT DISTINCT o_orderkey, l_partkey, p_name FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderkey < 50) GROUP BY o_orderkey
-""")
+FROM (SELECT DISTINCT o_orderkey, l_partkey, p_name FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey) GROUP BY o_orderkey
+"""
+
+
+@query(_RELATED)
 def enrich_related(spark, folder):
-    orders = table(spark, folder, "orders").filter("o_orderkey < 50").select("o_orderkey")
-    return _related(spark, folder, orders)
+    orders = table(spark, folder, "orders").select("o_orderkey")
+    lines = orders.join(table(spark, folder, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, folder, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    return lines.groupBy("o_orderkey").agg(F.array_sort(F.collect_set(F.concat_ws(" ", F.lpad(F.col("l_partkey").cast("string"), 12, "0"), "p_name"))).alias("related"))
 
 
-@query()
+@query(_RELATED)
 def enrich_related_all(spark, folder):
-    """As enrich_related, whose SQL has the first orders, but over all orders."""
-    return _related(spark, folder, table(spark, folder, "orders").select("o_orderkey"))
+    """enrich_related under its former name."""
+    return enrich_related(spark, folder)
 
 
-def _related(spark, folder, orders):
-    lines = orders.join(table(spark, folder, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, folder, "part"), F.col("p_partkey") == F.col("l_partkey"))
-    return lines.groupBy("o_orderkey").agg(F.array_sort(F.collect_set(F.concat_ws(" ", F.lpad(F.col("l_partkey").cast("string"), 12, "0"), "p_name"))).alias("related"))
+_RECALL = f"""
+WITH q AS (SELECT vec_id AS q, {_E} AS query FROM embeddings WHERE vec_id % 100 = 0 AND embedding IS NOT NULL),
+s AS (SELECT q, vec_id, row_number() OVER (PARTITION BY q ORDER BY 1 - list_cosine_similarity({_E}, query), vec_id) AS r FROM embeddings, q WHERE embedding IS NOT NULL AND vec_id <> q)
+SELECT count(*) AS n, avg(CASE WHEN a.label = b.label THEN 1.0 WHEN a.label IS NOT NULL AND b.label IS NOT NULL THEN 0.0 END) AS recall FROM s JOIN embeddings a ON a.vec_id = q JOIN embeddings b ON b.vec_id = s.vec_id WHERE r = 1
+"""
 
 
-@query("""
-WITH hits AS (SELECT vec_id AS q, (SELECT b.vec_id FROM embeddings b WHERE b.vec_id <> a.vec_id AND b.vec_id < 200 ORDER BY 1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), b.vec_id LIMIT 1) AS near FROM embeddings a WHERE a.vec_id < 20)
-SELECT count(*) AS n, avg(CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END) AS recall FROM hits JOIN embeddings a ON a.vec_id = q JOIN embeddings b ON b.vec_id = near
-""")
+@query(_RECALL)
 def retrieval_recall(spark, folder):
-    """How often the nearest of 199 other vectors has the query's label."""
-    v = table(spark, folder, "embeddings").filter("vec_id < 200 and embedding is not null")
-    queries = v.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return _label_recall(queries, v)
-
-
-@query()
-def retrieval_recall_hundredths(spark, folder):
     """How often the nearest of all other vectors has the query's label, for every hundredth id."""
     v = table(spark, folder, "embeddings").filter("embedding is not null")
-    return _label_recall(_hundredths(v), v)
-
-
-def _label_recall(queries, v):
     # of the two nearest one at most is the query itself
-    best = search.top_k_each(queries, v, 2).filter("query_id <> vec_id").groupBy("query_id").agg(F.min_by("vec_id", F.struct("distance", "vec_id")).alias("near"))
+    best = search.top_k_each(_hundredths(v), v, 2).filter("query_id <> vec_id").groupBy("query_id").agg(F.min_by("vec_id", F.struct("distance", "vec_id")).alias("near"))
     named = best.join(v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("a")), "query_id").join(v.select(F.col("vec_id").alias("near"), F.col("label").alias("b")), "near")
     return named.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("a") == F.col("b")).cast("double")).alias("recall"))
 
 
+@query(_RECALL)
+def retrieval_recall_hundredths(spark, folder):
+    """retrieval_recall under its former name."""
+    return retrieval_recall(spark, folder)
+
+
 # registries
 
 
@@ -228,9 +227,10 @@ def last_k_memory(spark, folder):
 
 @query("SELECT p_brand AS id, count(*) AS loaders_count, bool_or(p_size > 10) AS has_embedding, false AS has_vector_store FROM part GROUP BY p_brand")
 def store_summary(spark, folder):
-    stores = table(spark, folder, "part").groupBy("p_brand").agg(F.collect_list("p_partkey").alias("loaders"), F.when(F.bool_or(F.col("p_size") > 10), "{}").otherwise("").alias("embedding_config"))
-    shaped = stores.select(F.col("p_brand").alias("id"), F.lit("").alias("name"), F.lit("SYNC").alias("status"), "loaders", "embedding_config", F.lit(None).cast("string").alias("vector_store_config"))
-    return registry.store_summary(shaped).select("id", F.col("loaders_count").cast("bigint").alias("loaders_count"), "has_embedding", "has_vector_store")
+    part = table(spark, folder, "part")
+    stores = part.groupBy(F.col("p_brand").alias("id")).agg(F.when(F.bool_or(F.col("p_size") > 10), "{}").otherwise("").alias("embedding_config"))
+    shaped = stores.select("id", F.lit("").alias("name"), F.lit("SYNC").alias("status"), "embedding_config", F.lit(None).cast("string").alias("vector_store_config"))
+    return registry.store_summary(shaped, part.select(F.col("p_brand").alias("store_id"))).select("id", "loaders_count", "has_embedding", "has_vector_store")
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey = 7 THEN 'Renamed' ELSE c_name END AS c_name FROM customer WHERE c_custkey NOT IN (8, 9)")
@@ -302,8 +302,9 @@ def mapping_upsert(spark, folder):
 
 
 _DELTA = """
-WITH stored AS (SELECT DISTINCT doc_id % 50 AS source_id, sha256(concat_ws(chr(1), text, lang)) AS hash FROM documents WHERE doc_id % 5 <> 0),
-incoming AS (SELECT DISTINCT doc_id % 50 AS source_id, sha256(concat_ws(chr(1), CASE WHEN doc_id % 7 = 0 THEN text || ' changed' ELSE text END, lang)) AS hash FROM documents WHERE doc_id % 50 < 30),
+WITH stored AS (SELECT DISTINCT doc_id % 50 AS source_id, sha256(coalesce(length(text) || ':' || text, '-') || coalesce(length(lang) || ':' || lang, '-')) AS hash FROM documents WHERE doc_id % 5 <> 0),
+changed AS (SELECT doc_id, lang, CASE WHEN doc_id % 7 = 0 THEN text || ' changed' ELSE text END AS text FROM documents WHERE doc_id % 50 < 30),
+incoming AS (SELECT DISTINCT doc_id % 50 AS source_id, sha256(coalesce(length(text) || ':' || text, '-') || coalesce(length(lang) || ':' || lang, '-')) AS hash FROM changed),
 j AS (SELECT coalesce(o.source_id, n.source_id) AS source_id, o.hash AS oh, n.hash AS nh FROM (SELECT * FROM stored WHERE source_id IN (SELECT source_id FROM incoming)) o FULL JOIN incoming n ON o.source_id = n.source_id AND o.hash = n.hash)
 SELECT *, CASE WHEN num_skipped > 0 AND num_added = 0 THEN 'skipped' ELSE 'upserted' END AS outcome FROM (
 SELECT source_id, count(*) FILTER (oh IS NULL) AS num_added, count(*) FILTER (oh IS NOT NULL AND nh IS NOT NULL) AS num_skipped, count(*) FILTER (nh IS NULL) AS num_deleted FROM j GROUP BY source_id)
@@ -324,13 +325,16 @@ def content_hash(spark, folder):
     return table(spark, folder, "part").select("p_partkey", merge.stable_hash({"name": F.col("p_name"), "brand": F.col("p_brand"), "type": F.col("p_type")}).alias("content_hash"))
 
 
-@query("SELECT p_brand, sha256(string_agg(sha256(p_name), ':' ORDER BY sha256(p_name))) AS snapshot_hash, p_brand = 'Brand#1' AS skip FROM part GROUP BY p_brand")
+@query("""
+WITH b AS (SELECT p_brand, substr(sha256(p_name), 1, 3) AS bucket, sha256(string_agg(sha256(p_name), ':' ORDER BY sha256(p_name))) AS h FROM part GROUP BY 1, 2)
+SELECT p_brand, sha256(string_agg(h, ':' ORDER BY h)) AS snapshot_hash, p_brand = 'Brand#1' AS skip FROM b GROUP BY p_brand
+""")
 def snapshot_hash_skip(spark, folder):
-    """A snapshot whose digest is the stored one is skipped; here the first brand's is stored."""
-    parts = table(spark, folder, "part")
-    now = parts.groupBy("p_brand").agg(augment.set_hash(F.collect_list(F.sha2("p_name", 256))).alias("snapshot_hash"))
-    stored = parts.filter("p_brand = 'Brand#1'").groupBy("p_brand").agg(augment.set_hash(F.collect_list(F.sha2("p_name", 256))).alias("stored"))
-    return now.join(F.broadcast(stored), "p_brand", "left").select("p_brand", "snapshot_hash", F.coalesce(F.col("stored") == F.col("snapshot_hash"), F.lit(False)).alias("skip"))
+    """A snapshot whose digest is the stored one is skipped; here the first brand's is stored. Items are digested by bucket, then the buckets."""
+    parts = table(spark, folder, "part").select("p_brand", F.sha2("p_name", 256).alias("h"))
+    now = augment.bucketed_hash(parts, "p_brand", "h").withColumnRenamed("set_hash", "snapshot_hash")
+    stored = now.filter("p_brand = 'Brand#1'").select("p_brand", F.col("snapshot_hash").alias("stored"))
+    return now.join(stored, "p_brand", "left").select("p_brand", "snapshot_hash", F.coalesce(F.col("stored") == F.col("snapshot_hash"), F.lit(False)).alias("skip"))
 
 
 @query("SELECT o_orderkey, o_orderdate < TIMESTAMP '1998-01-01' AS is_deleted FROM orders")
@@ -374,13 +378,16 @@ def chunk_totals(spark, folder):
     return chunks.totals(chunks.fixed_windows(table(spark, folder, "documents")))
 
 
-@query("SELECT doc_id, chunk_no, substr(text, 800 * (chunk_no - 1) + 1, 1000) AS chunk FROM (SELECT doc_id, text, unnest([1, 2, 3]) AS chunk_no FROM documents WHERE doc_id = 0) WHERE chunk_no <= greatest(1, ceil((length(text) - 200) / 800)) ORDER BY chunk_no LIMIT 2")
+_CHUNKS = "WITH s AS (SELECT doc_id, text, unnest(range(0, CAST(greatest(0, floor((greatest(length(text) - 200, 1) - 1) / 800)) AS BIGINT) + 1)) AS i FROM documents WHERE length(text) > 0)"
+
+
+@query(_CHUNKS + " SELECT doc_id, CAST(i + 1 AS INTEGER) AS chunk_no, substr(text, i * 800 + 1, 1000) AS chunk FROM s WHERE i BETWEEN 2 AND 3")
 def chunk_page(spark, folder):
-    found = chunks.fixed_windows(table(spark, folder, "documents").filter("doc_id = 0"))
-    return found.orderBy("chunk_no").limit(2)
+    """The second page of two chunks of every document."""
+    return chunks.page(chunks.fixed_windows(table(spark, folder, "documents")), 2, 2)
 
 
-@query()
+@query(_CHUNKS + " SELECT doc_id, CAST(i + 1 AS INTEGER) AS chunk_no, substr(text, i * 800 + 1, 1000) AS chunk, CAST(i // 2 + 1 AS INTEGER) AS page FROM s")
 def chunk_pages(spark, folder):
     """All chunks of all documents, with the page of two that each is on within its document."""
     return chunks.fixed_windows(table(spark, folder, "documents")).withColumn("page", F.ceil(F.col("chunk_no") / 2).cast("int"))
@@ -452,26 +459,25 @@ def _redact_sql(x: str) -> str:
     return x
 
 
-_ERRORS = "SELECT doc_id, substr(text, 1, 3000) || ' ' || list_extract([" + ", ".join(f"'{s}'" for s in _SECRETS) + f"], CAST(doc_id % {len(_SECRETS)} + 1 AS BIGINT)) AS e FROM documents"
+_ERRORS = "SELECT doc_id, text || ' ' || list_extract([" + ", ".join(f"'{s}'" for s in _SECRETS) + f"], CAST(doc_id % {len(_SECRETS)} + 1 AS BIGINT)) AS e FROM documents"
 
 
-@query(f"SELECT doc_id, CASE WHEN length(r) > 2048 THEN substr(r, 1, 2045) || '...' ELSE r END AS error FROM (SELECT doc_id, {_redact_sql('e')} AS r FROM ({_ERRORS}))")
-def redact_secrets(spark, folder):
-    return _redacted(spark, folder, F.substring("text", 1, 3000))
+_REDACTED = f"SELECT doc_id, CASE WHEN length(r) > 2048 THEN substr(r, 1, 2045) || '...' ELSE r END AS error FROM (SELECT doc_id, {_redact_sql('e')} AS r FROM ({_ERRORS}))"
 
 
-@query()
-def redact_secrets_whole(spark, folder):
-    """As redact_secrets, whose SQL has the first 3,000 characters, but of whole texts."""
-    return _redacted(spark, folder, F.col("text"))
-
-
-def _redacted(spark, folder, found):
+@query(_REDACTED)
+def redact_secrets(spark, folder):
     secret = F.element_at(F.array(*(F.lit(s) for s in _SECRETS)), (F.col("doc_id") % len(_SECRETS) + 1).cast("int"))
-    error = F.concat(found, F.lit(" "), secret)
+    error = F.concat("text", F.lit(" "), secret)
     return table(spark, folder, "documents").select("doc_id", text.cut_error(text.redact(error)).alias("error"))
 
 
+@query(_REDACTED)
+def redact_secrets_whole(spark, folder):
+    """redact_secrets under its former name."""
+    return redact_secrets(spark, folder)
+
+
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN props ELSE trim(props) END AS stripped FROM events")
 def strip_fence(spark, folder):
     fence = "```"
@@ -579,7 +585,7 @@ def validate_snapshot(spark, folder):
     null = lambda kind: F.lit(None).cast(kind)
     given = {
         "externalId": F.col("p_partkey").cast("string"), "externalSource": F.lit("1c"), "externalType": F.when(F.col("p_size") > 45, "gadget").otherwise("product"),
-        "name": F.when((F.col("p_partkey") % 40 == 0) & (F.col("p_size") <= 45), "").otherwise(F.col("p_name")), "salePriceKopecks": (F.col("p_retailprice") * 100).cast("bigint"), "isVisible": F.lit(True), "rangForApp": F.col("p_size"),
+        "name": F.when((F.col("p_partkey") % 40 == 0) & (F.col("p_size") <= 45), "").otherwise(F.col("p_name")), "externalUpdatedAt": F.lit("2024-01-01"), "salePriceKopecks": (F.col("p_retailprice") * 100).cast("bigint"), "isVisible": F.lit(True), "rangForApp": F.col("p_size"),
         "contentForEmbedding": F.col("p_name"), "contentHash": F.sha2("p_name", 256),
     }
     items = part.select(*(given.get(f.name, null(f.dataType)).alias(f.name) for f in ITEM.fields))
@@ -613,5 +619,284 @@ def node_split(spark, folder):
 
 @query(f"SELECT label, min(round(1 - list_cosine_similarity({_E}, {_Q}), 9)) AS nearest FROM embeddings WHERE label IS NOT NULL GROUP BY label")
 def nearest_by_tenant(spark, folder):
-    distance = cosine_distance(F.col("embedding"), search.vector(first_vector(spark, folder)))
-    return table(spark, folder, "embeddings").filter("label is not null").groupBy("label").agg(F.min(F.round(distance, 9)).alias("nearest"))
+    distance = cosine_distance(F.col("embedding"), F.col("query"))
+    asked = table(spark, folder, "embeddings").filter("label is not null").crossJoin(F.broadcast(first_vector(spark, folder)))
+    return asked.groupBy("label").agg(F.min(F.round(distance, 9)).alias("nearest"))
+
+
+# composed searches
+
+
+_CAPS = {"vision": 0.9, "embedding": 1.0}
+_REQUESTS = """
+WITH req AS (
+  SELECT vec_id AS request_id, CASE WHEN vec_id % 300 = 0 THEN NULL ELSE substr(text, 1, 600) END AS query, CASE WHEN vec_id % 200 = 0 THEN 1 ELSE 0 END AS n_images, embedding
+  FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 100 = 0 AND embedding IS NOT NULL
+),
+vision AS (SELECT doc_id, bool_and(quality = 1) AS rel FROM labels GROUP BY doc_id),
+judged AS (
+  SELECT req.*, n_images > 0 AND NOT coalesce(doc_id % 400 = 0, false) AS fresh, concat_ws(' ', query, CASE WHEN n_images > 0 AND doc_id IS NOT NULL THEN 'seen' END) AS asked,
+         CASE WHEN query IS NULL AND n_images = 0 THEN 'no input' WHEN query IS NOT NULL AND NOT length(query) BETWEEN 1 AND 500 THEN 'query length' WHEN n_images > 0 AND NOT coalesce(rel, false) THEN 'not relevant' END AS problem
+  FROM req LEFT JOIN vision ON doc_id = request_id
+)
+"""
+
+
+def _answered(spark, folder):
+    vectors, docs = table(spark, folder, "embeddings").filter("embedding is not null"), table(spark, folder, "documents")
+    asked = vectors.filter("vec_id % 100 = 0").join(docs, F.col("doc_id") == F.col("vec_id"))  # the query set of the searches
+    requests = asked.select(
+        F.col("vec_id").alias("request_id"), F.when(F.col("vec_id") % 300 != 0, F.substring("text", 1, 600)).alias("query"), (F.col("vec_id") % 200 == 0).cast("int").alias("n_images"),
+        F.concat(F.lit("h"), F.col("vec_id").cast("string")).alias("image_hash"), F.col("embedding").alias("vector"),
+    )
+    seen = table(spark, folder, "labels").groupBy("doc_id").agg(F.bool_and(F.col("quality") == 1).alias("is_relevant"))
+    vision_ = seen.select(F.concat(F.lit("h"), F.col("doc_id").cast("string")).alias("image_hash"), "is_relevant", F.lit("seen").alias("description"), (F.col("doc_id") % 400 == 0).alias("cached"))
+    spent = spark.createDataFrame([("vision", "0.5"), ("embedding", "NaN")], "category string, spent string")
+    return answers.answer(requests, vectors, vision_, spent, _CAPS, 3)
+
+
+@query(_REQUESTS + f"""
+, s AS (SELECT request_id, e.vec_id, 1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(j.embedding AS DOUBLE[])) AS d FROM judged j, embeddings e WHERE problem IS NULL AND e.embedding IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY d, vec_id) AS rank FROM s)
+SELECT request_id, CAST(rank AS INTEGER) AS rank, vec_id, round(d, 9) AS distance FROM r WHERE rank <= 3
+""")
+def search_answers(spark, folder):
+    return _answered(spark, folder).results.withColumn("distance", F.round("distance", 9))
+
+
+@query(_REQUESTS + " SELECT request_id, problem FROM judged WHERE problem IS NOT NULL")
+def search_rejects(spark, folder):
+    return _answered(spark, folder).rejected
+
+
+@query(_REQUESTS + """
+SELECT request_id, 'vision' AS category, 0.007::DOUBLE AS usd FROM judged WHERE fresh AND coalesce(problem, 'not relevant') = 'not relevant'
+UNION ALL SELECT request_id, 'embedding', round(ceil(length(asked) / 3) / 1e6 * 0.02, 12) FROM judged WHERE problem IS NULL
+""")
+def search_spend(spark, folder):
+    return _answered(spark, folder).spend.withColumn("usd", F.round("usd", 12))
+
+
+@query("""
+SELECT 'order' AS kind, CAST(o_orderkey AS VARCHAR) AS id, [CAST(o_orderkey AS VARCHAR)] AS source_ids FROM orders
+UNION ALL SELECT 'part', 'p' || l_partkey, list(DISTINCT CAST(l_orderkey AS VARCHAR) ORDER BY CAST(l_orderkey AS VARCHAR)) FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_partkey
+""")
+def grouped_enrichment(spark, folder):
+    found = table(spark, folder, "orders").select(F.col("o_orderkey").cast("string").alias("item_id"))
+    related = table(spark, folder, "lineitem").select(F.col("l_orderkey").cast("string").alias("item_id"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("related_id"), F.lit("part").alias("kind"))
+    return answers.grouped(found, found.withColumn("kind", F.lit("order")), related)
+
+
+@query("SELECT conv_id, turn, CASE WHEN text IS NULL THEN 'no input' WHEN NOT length(text) BETWEEN 1 AND 500 THEN 'query length' WHEN turn % 7 = 6 THEN 'too many images' WHEN turn % 5 = 4 THEN 'k' END AS problem FROM (SELECT * REPLACE (CASE WHEN turn % 7 = 6 THEN coalesce(text, 'x') ELSE text END AS text) FROM conversations)")
+def request_caps(spark, folder):
+    turn = F.col("turn")
+    rows = table(spark, folder, "conversations").withColumn("text", F.when(turn % 7 == 6, F.coalesce("text", F.lit("x"))).otherwise(F.col("text")))
+    return rows.select("conv_id", "turn", answers.request_problem(F.col("text"), F.when(turn % 7 == 6, 6).otherwise(0), F.when(turn % 5 == 4, 51).otherwise(10)).alias("problem"))
+
+
+@query("SELECT doc_id, sha256(text) AS query_hash, CASE WHEN doc_id % 3 = 0 THEN 'r' || sha256(text) END AS result FROM (SELECT doc_id, 'q' || doc_id AS text FROM documents)")
+def remembered_results(spark, folder):
+    """Two of three queries were answered before; a third of all answers is still alive."""
+    asked = table(spark, folder, "documents").select("doc_id", F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("query"))
+    digest = F.sha2("query", 256)
+    cache = asked.filter("doc_id % 3 < 2").select(digest.alias("query_hash"), F.concat(F.lit("r"), digest).alias("result"), F.when(F.col("doc_id") % 3 == 0, F.lit("2030-01-01")).otherwise("2020-01-01").cast("timestamp").alias("expires_at"))
+    return answers.remembered(asked, cache, F.lit("2025-01-01").cast("timestamp")).select("doc_id", "query_hash", "result")
+
+
+# composed refreshes
+
+_WINDOWS = "unnest(range(0, CAST(greatest(0, floor((greatest(length(content) - 200, 1) - 1) / 800)) AS BIGINT) + 1))"
+_RUN_TABLES = f"""
+WITH items AS (
+  SELECT doc_id AS external_id, CASE WHEN doc_id % 7 = 0 THEN text || ' changed' ELSE text END || CASE WHEN doc_id % 11 = 0 THEN chr(10) || chr(10) || 'Visual description: seen' ELSE '' END AS content FROM documents WHERE doc_id % 13 <> 0
+),
+mapping AS (SELECT doc_id AS external_id, CASE WHEN doc_id % 17 = 0 THEN '' ELSE 'd' || doc_id END AS doc_id FROM documents WHERE doc_id % 5 <> 0),
+named AS (SELECT i.*, coalesce(m.doc_id, 'doc-' || substr(sha256(CAST(external_id AS VARCHAR)), 1, 16)) AS doc_id FROM items i LEFT JOIN mapping m USING (external_id)),
+inw AS (SELECT external_id AS source_id, doc_id, content, {_WINDOWS} AS i FROM named WHERE length(content) > 0),
+incoming AS (SELECT source_id, doc_id, CAST(i + 1 AS INTEGER) AS chunk_no, substr(content, i * 800 + 1, 1000) AS chunk FROM inw),
+stw AS (SELECT doc_id AS source_id, 'd' || doc_id AS doc_id, text AS content, {_WINDOWS.replace("content", "text")} AS i FROM documents WHERE doc_id % 5 <> 0 AND length(text) > 0),
+stored AS (SELECT source_id, doc_id, CAST(i + 1 AS INTEGER) AS chunk_no, substr(content, i * 800 + 1, 1000) AS chunk FROM stw),
+ih AS (SELECT *, sha256(length(chunk) || ':' || chunk || length(doc_id) || ':' || doc_id) AS hash FROM incoming),
+sh AS (SELECT *, sha256(length(chunk) || ':' || chunk || length(doc_id) || ':' || doc_id) AS hash FROM stored),
+j AS (
+  SELECT coalesce(o.source_id, n.source_id) AS source_id, o.hash AS oh, n.hash AS nh
+  FROM (SELECT DISTINCT source_id, hash FROM sh WHERE source_id IN (SELECT source_id FROM ih)) o FULL JOIN (SELECT DISTINCT source_id, hash FROM ih) n ON o.source_id = n.source_id AND o.hash = n.hash
+),
+c AS (SELECT source_id, count(*) FILTER (oh IS NULL) AS a, count(*) FILTER (oh IS NOT NULL AND nh IS NOT NULL) AS s, count(*) FILTER (nh IS NULL) AS d FROM j GROUP BY 1),
+outcomes AS (
+  SELECT external_id, doc_id, coalesce(a, 0) AS num_added, coalesce(s, 0) AS num_skipped, coalesce(d, 0) AS num_deleted,
+         CASE WHEN doc_id = '' THEN 'failed' WHEN coalesce(s, 0) > 0 AND coalesce(a, 0) = 0 THEN 'skipped' ELSE 'upserted' END AS outcome
+  FROM named LEFT JOIN c ON source_id = external_id
+),
+gone AS (SELECT * FROM mapping WHERE external_id NOT IN (SELECT external_id FROM items))
+"""
+
+
+def _refreshed(spark, folder):
+    """A snapshot without every thirteenth document, in which every seventh has changed, against what was stored of four fifths of them."""
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("external_id"), "text")
+    n = F.col("external_id")
+    items = docs.filter(n % 13 != 0).select("external_id", n.alias("pos"), F.when(n % 7 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text")).alias("content"), F.when(n % 11 == 0, "seen").alias("visual_description"))
+    before = docs.filter(n % 5 != 0).withColumn("doc_id", F.concat(F.lit("d"), n.cast("string")))
+    mapping = before.select("external_id", F.when(n % 17 == 0, "").otherwise(F.col("doc_id")).alias("doc_id"))
+    parts = chunks.fixed_windows(before, "external_id", "text").join(before.select("external_id", "doc_id"), "external_id")
+    stored = parts.select(F.col("external_id").alias("source_id"), "doc_id", "chunk_no", "chunk").withColumn("hash", merge.content_hash("chunk", "doc_id"))
+    return refresh.merge_items(items, mapping, stored)
+
+
+@query(_RUN_TABLES + " SELECT * FROM outcomes")
+def refresh_outcomes(spark, folder):
+    return _refreshed(spark, folder).outcomes
+
+
+@query(_RUN_TABLES + " SELECT * FROM mapping WHERE external_id NOT IN (SELECT external_id FROM gone) UNION ALL SELECT external_id, doc_id FROM named WHERE external_id NOT IN (SELECT external_id FROM mapping)")
+def refresh_mapping(spark, folder):
+    return _refreshed(spark, folder).mapping
+
+
+@query(_RUN_TABLES + """
+, touched AS (SELECT DISTINCT source_id FROM ih),
+kept AS (SELECT * FROM sh WHERE source_id NOT IN (FROM touched) UNION ALL SELECT sh.* FROM sh SEMI JOIN ih ON sh.source_id = ih.source_id AND sh.hash = ih.hash),
+new AS (SELECT source_id, hash, min(chunk_no) AS chunk_no FROM ih WHERE NOT EXISTS (SELECT 1 FROM sh WHERE sh.source_id = ih.source_id AND sh.hash = ih.hash) GROUP BY 1, 2)
+SELECT source_id, count(*) AS n, count(DISTINCT hash) AS n_distinct FROM (SELECT source_id, hash FROM kept UNION ALL SELECT source_id, hash FROM new)
+WHERE source_id NOT IN (SELECT external_id FROM gone WHERE doc_id <> '') GROUP BY 1
+""")
+def refresh_chunks(spark, folder):
+    """The next version of the chunk table, by source."""
+    return _refreshed(spark, folder).chunks.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("hash").alias("n_distinct"))
+
+
+@query(_RUN_TABLES + " SELECT count(*) FILTER (outcome = 'upserted') AS upserted, count(*) FILTER (outcome = 'skipped') AS skipped, (SELECT count(*) FROM gone WHERE doc_id <> '') AS removed, count(*) FILTER (outcome = 'failed') AS failed FROM outcomes")
+def refresh_run(spark, folder):
+    return _refreshed(spark, folder).counters
+
+
+@query("""
+WITH d AS (SELECT doc_id, text IS NOT NULL AS images, doc_id % 4 <> 0 AND doc_id % 6 <> 1 AND text IS NOT NULL AS hit FROM documents),
+n AS (SELECT *, sum(CASE WHEN images AND NOT hit THEN 1 ELSE 0 END) OVER (ORDER BY doc_id) AS r FROM d)
+SELECT doc_id AS external_id, hit, images AND NOT hit AND r <= 40 AS call, CASE WHEN hit THEN 'v' || doc_id WHEN images AND r <= 40 THEN 'a fine thing' END AS visual_description FROM n
+""")
+def augmentation_chain(spark, folder):
+    """Images (here a document's digest) described from the cache, by a model for the first 40 misses, or not at all."""
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("external_id"), F.col("doc_id").alias("pos"), F.when(F.col("text").isNotNull(), F.array(F.sha2("text", 256))).alias("image_digests"))
+    known = docs.filter("image_digests is not null and external_id % 4 <> 0")
+    cache = known.select("external_id", F.when(F.col("external_id") % 6 == 1, "old").otherwise(augment.set_hash(F.col("image_digests"))).alias("image_hash"), F.concat(F.lit("v"), F.col("external_id").cast("string")).alias("visual_description"), F.lit("m1").alias("model_version"))
+    model = ScriptedModel({}, "```text\na fine thing\n```")
+    return refresh.describe_items(docs, cache, model, "m1", cap=40).select("external_id", "hit", "call", "visual_description")
+
+
+@query("SELECT doc_id AS external_id, 'd' || doc_id AS doc_id FROM documents")
+def mapping_recovery(spark, folder):
+    """A mapping that was lost is what the loaders say."""
+    loaders = table(spark, folder, "documents").select(F.col("doc_id").alias("external_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"))
+    return refresh.recovered_mapping(loaders.limit(0), loaders)
+
+
+@query("SELECT doc_id AS external_id, 'h' || doc_id AS image_hash, 'seen ' || doc_id AS visual_description FROM documents WHERE text IS NOT NULL")
+def description_recovery(spark, folder):
+    docs = table(spark, folder, "documents").filter("text is not null")
+    name = F.col("doc_id").cast("string")
+    stored = docs.select(F.col("doc_id").alias("source_id"), F.lit(1).alias("chunk_no"), F.concat("text", F.lit(f"\n\n{refresh.LABEL}: seen "), name).alias("chunk"))
+    return refresh.recovered_descriptions(stored, docs.select(F.col("doc_id").alias("external_id"), F.concat(F.lit("h"), name).alias("image_hash")))
+
+
+# registered rows
+
+
+@query("SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN false WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN true ELSE false END AS blocked FROM orders")
+def budget_garbage(spark, folder):
+    """Counters that are no plain numbers: NaN allows, and a text counts as the number that it begins with."""
+    n = F.col("o_orderkey") % 5
+    spent = F.when(n == 0, "NaN").when(n == 1, "5abc").when(n == 2, "abc5").when(n == 3, " 7.25e0 usd").otherwise("-6")
+    return table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), budget.blocked(spent, 5.0).alias("blocked"))
+
+
+@query("SELECT o_orderkey AS id, 'text' AS source_type, 'ready' AS status, 100 AS progress, o_orderpriority AS title, CAST(NULL AS VARCHAR) AS source_url, o_orderdate AS created_at, o_orderdate AS updated_at, o_orderdate AS started_at, o_orderdate AS completed_at FROM orders")
+def source_insert(spark, folder):
+    rows = table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("title"), F.lit("text").alias("raw_text"), "o_orderdate")
+    return registry.source_response(registry.text_source(rows, F.col("o_orderdate")))
+
+
+@query("SELECT o_orderkey, o_orderdate, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS total FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40")
+def page_with_total(spark, folder):
+    found = table(spark, folder, "orders").filter(registry.conjunction(o_orderstatus="F"))
+    return registry.page_with_total(found, "o_orderdate", "o_orderkey", 3).select("o_orderkey", "o_orderdate", "total")
+
+
+@query("SELECT event_id, CASE event_id % 6 WHEN 1 THEN 'not JSON' WHEN 2 THEN 'not an object' WHEN 3 THEN 'no name' WHEN 4 THEN 'no config' WHEN 5 THEN 'no config' END AS problem FROM events")
+def config_guard(spark, folder):
+    n = F.col("event_id") % 6
+    config = F.when(n == 0, F.concat(F.lit('{"name": "n", "config": '), "props", F.lit("}"))).when(n == 1, "{oops").when(n == 2, "[1]").when(n == 3, '{"name": "", "config": {}}').when(n == 4, '{"name": "n"}').otherwise('{"name": "n", "config": [1]}')
+    return table(spark, folder, "events").select("event_id", registry.config_problem(config).alias("problem"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'plain ' || event_type WHEN 1 THEN event_type WHEN 2 THEN 'm' WHEN 3 THEN 'e' END AS message FROM events")
+def error_messages(spark, folder):
+    n = F.col("event_id") % 4
+    payload = F.when(n == 0, F.concat(F.lit("plain "), "event_type")).when(n == 1, F.concat(F.lit('"'), "event_type", F.lit('"'))).when(n == 2, '{"message": "m", "error": "e"}').otherwise('{"error": "e"}')
+    return table(spark, folder, "events").select("event_id", registry.error_message(payload).alias("message"))
+
+
+@query("SELECT p_name AS name, p_brand AS label, p_type AS category, 'Base | ' || p_type AS class_line, ['size|' || p_size || '|number|' || (p_size > 25), 'model|Model|Chat|false'] AS inputs FROM part")
+def component_summaries(spark, folder):
+    inputs = F.array(
+        F.struct(F.lit("size").alias("name"), F.col("p_size").cast("string").alias("label"), F.lit("number").alias("type"), (F.col("p_size") > 25).alias("optional"), F.lit("x").alias("more")),
+        F.struct(F.lit("model").alias("name"), F.lit("Model").alias("label"), F.lit("Chat").alias("type"), F.lit(None).cast("boolean").alias("optional"), F.lit("x").alias("more")),
+    )
+    rows = table(spark, folder, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("label"), F.col("p_type").alias("category"), F.array(F.lit("Base"), F.col("p_type")).alias("base_classes"), inputs.alias("inputs"))
+    shown = F.transform("inputs", lambda i: F.concat_ws("|", i["name"], i["label"], i["type"], i["optional"].cast("string")))
+    return registry.component_summary(rows).withColumn("inputs", shown)
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def orphaned_chunks(spark, folder):
+    """Documents as chunks whose source, the vector of their id, is not there."""
+    return registry.orphans(table(spark, folder, "documents").select("doc_id", "lang"), table(spark, folder, "embeddings"), "doc_id", "vec_id")
+
+
+@query("SELECT 'orders' AS entity, count(*) AS n, CAST(NULL AS VARCHAR) AS problem FROM orders UNION ALL SELECT 'missing', -1, 'AnalysisException'")
+def probed_counts(spark, folder):
+    return registry.probed_counts({t: lambda t=t: table(spark, folder, t) for t in ("orders", "missing")})
+
+
+@query("SELECT 'copy' AS id, 'Copy' AS name, CASE WHEN p_type IN ('ECONOMY', 'STANDARD') THEN p_type END AS type, false AS deployed, false AS is_public FROM part WHERE p_partkey = 1")
+def flow_clone(spark, folder):
+    """A point read by id, copied."""
+    flows = table(spark, folder, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("type"), F.lit(True).alias("deployed"), F.lit(True).alias("is_public"), F.col("p_brand").alias("flow_data"))
+    return registry.clone_flow(registry.flow_detail(flows, "1"), "copy", "Copy", ["ECONOMY", "STANDARD"])
+
+
+def _flow(spark, folder):
+    """Nations as nodes of a kind that there is, customers' nations linked to regions; some links lead nowhere."""
+    inputs = "array<struct<name:string,type:string,default:string>>"
+    specs = spark.createDataFrame([("Nation", "Nation", [], [("size", "number", "5"), ("region", "Region", None)], True), ("Region", "Region", ["Region", "Place"], [("part", "Nation", None)], False)], f"name string, type string, base_classes array<string>, inputs {inputs}, takes_credential boolean")
+    nation, region = table(spark, folder, "nation"), table(spark, folder, "region")
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    given = F.when(F.col("n_nationkey") % 2 == 0, F.create_map(F.lit("size"), F.lit("7")))
+    wanted = nation.select(key("n", "n_nationkey").alias("id"), F.when(F.col("n_nationkey") == 3, "Nothing").otherwise("Nation").alias("name"), given.alias("given"), F.lit("c1").alias("credential"))
+    wanted = wanted.unionByName(region.select(key("r", "r_regionkey").alias("id"), F.lit("Region").alias("name"), F.lit(None).cast("map<string,string>").alias("given"), F.lit("c1").alias("credential")))
+    links = nation.select(key("n", "n_nationkey").alias("source"), F.when(F.col("n_nationkey") == 4, "r99").otherwise(key("r", "n_regionkey")).alias("target"))
+    return graph.nodes_from_specs(wanted, specs), links
+
+
+@query("""
+SELECT 'n' || n_nationkey AS id, CASE WHEN n_nationkey = 3 THEN 'Nothing' ELSE 'Nation' END AS name, CASE WHEN n_nationkey <> 3 THEN 'Nation' END AS out_type,
+       CASE WHEN n_nationkey = 3 AND n_nationkey % 2 = 1 THEN '' WHEN n_nationkey % 2 = 0 THEN 'size=7' ELSE 'size=5' END AS inputs, CASE WHEN n_nationkey <> 3 THEN 'c1' END AS credential, CASE WHEN n_nationkey = 3 THEN 'no spec' END AS problem FROM nation
+UNION ALL SELECT 'r' || r_regionkey, 'Region', 'Region|Place', '', NULL, NULL FROM region
+""")
+def graph_nodes(spark, folder):
+    nodes, _ = _flow(spark, folder)
+    shown = F.array_join(F.transform("inputs", lambda i: F.concat_ws("=", i["key"], i["value"])), ",")
+    return nodes.select("id", "name", F.nullif("out_type", F.lit("")).alias("out_type"), shown.alias("inputs"), "credential", "problem")
+
+
+@query("""
+SELECT 'n' || n_nationkey AS source, 'r' || n_regionkey AS target, 'n' || n_nationkey || '-r' || n_regionkey AS id, 'n' || n_nationkey || '-output-Nation-Nation' AS source_handle, 'r' || n_regionkey || '-input-part-Nation' AS target_handle FROM nation WHERE n_nationkey NOT IN (3, 4)
+""")
+def graph_build(spark, folder):
+    return graph.build(*_flow(spark, folder))[0]
+
+
+@query("SELECT 'node' AS what, 'n3' AS id, 'no spec' AS problem UNION ALL SELECT 'edge', 'n3-r' || n_regionkey, 'no type' FROM nation WHERE n_nationkey = 3 UNION ALL SELECT 'edge', 'n4-r99', 'no target'")
+def graph_problems(spark, folder):
+    return graph.build(*_flow(spark, folder))[1]

@@ -21,10 +21,16 @@ def contents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "content")
 
 
-def image_inputs(items: DataFrame, objects: DataFrame, key: str, keys: str) -> DataFrame:
-    """(key, pos, object_key, mime, content) of each item's first images; too large ones, other types and misses are left out."""
+def object_keys(objects: DataFrame, base: str) -> DataFrame:
+    """objects with their key: the path below base, however the file system writes the path's beginning."""
+    below = "/" + base.split(":", 1)[-1].strip("/") + "/"
+    return objects.withColumn("object_key", F.substring_index(F.col("path"), below, -1))
+
+
+def image_inputs(items: DataFrame, objects: DataFrame, key: str, keys: str, base: str) -> DataFrame:
+    """(key, pos, object_key, mime, content) of each item's first images in the folder base; too large ones, other types and misses are left out."""
     asked = items.select(key, F.posexplode(F.slice(keys, 1, MOST_IMAGES)).alias("pos", "object_key")).withColumn("mime", mime_of(F.col("object_key")))
-    fit = objects.filter(F.col("length") <= MOST_IMAGE_BYTES).select(F.col("path").alias("object_key"), "content")
+    fit = object_keys(objects.filter(F.col("length") <= MOST_IMAGE_BYTES), base).select("object_key", "content")
     return asked.filter(F.col("mime").isin(IMAGE_TYPES)).join(fit, "object_key").select(key, "pos", "object_key", "mime", "content")
 
 
@@ -33,6 +39,23 @@ def text_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def put(content: DataFrame, path: str) -> None:
+    """Write rows (object_key, content) as they are, as one object table."""
+    content.select("object_key", "content").write.mode("overwrite").parquet(path)
+
+
+def get_object(objects: DataFrame, object_key: str) -> DataFrame:
+    """The one object of this key. None, or one without content, is an error."""
+    found = objects.filter(F.col("object_key") == object_key).limit(1)
+    if found.filter(F.length("content") > 0).isEmpty():
+        raise LookupError(f"no object {object_key}")
+    return found
+
+
+def delete_objects(objects: DataFrame, object_keys_: list[str]) -> DataFrame:
+    return objects.filter(~F.col("object_key").isin(object_keys_))
+
+
 def json_documents(raw: DataFrame, column: str, pointer: str, metadata: dict[str, str] | None = None) -> DataFrame:
     """raw with text at a JSON path, and metadata from other paths (those without a leading slash are ignored)."""
     at = lambda p: F.get_json_object(column, "$" + p.replace("/", "."))

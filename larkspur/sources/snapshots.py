@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +10,10 @@ from larkspur.schemas import SNAPSHOT
 MOST_BYTES = 100 * 1024 * 1024
 #: Allowed values and longest lengths.
 SOURCES, TYPES, KINDS = ["moysklad", "1c", "manual"], ["product", "service", "cartridge", "bundle"], ["installation", "maintenance", "other"]
-LENGTHS = {"externalId": (1, 256), "name": (1, 200), "contentForEmbedding": (1, 50_000), "contentHash": (1, 128)}
-OPTIONAL_LENGTHS = {"externalUpdatedAt": 64, "description": 10_000, "categoryPath": 500}
-MOST_KEYS, LONGEST_KEY, MOST_RELATED = 50, 1024, 100
+MODES = ["full", "partial"]
+LENGTHS = {"externalId": (1, 256), "externalUpdatedAt": (0, 64), "name": (1, 200), "contentForEmbedding": (1, 50_000), "contentHash": (1, 128)}
+OPTIONAL_LENGTHS = {"description": 10_000, "categoryPath": 500}
+MOST_KEYS, LONGEST_KEY, MOST_RELATED, LONGEST_TIME = 50, 1024, 100, 64
 
 
 def _related(column: str, kinds: bool) -> Column:
@@ -42,6 +41,14 @@ def violations(items: DataFrame) -> DataFrame:
     return items.withColumn("broken", broken).filter(F.size("broken") > 0)
 
 
+def envelope_violations(whole: DataFrame) -> DataFrame:
+    """Envelopes with a wrong mode or source system, no time, or no items, with the names of what is wrong in ``broken``."""
+    among = lambda c, allowed: F.coalesce(F.col(c).isin(allowed), F.lit(False))
+    sound = {"items": F.col("items").isNotNull(), "sourceSystem": among("sourceSystem", SOURCES), "syncMode": among("syncMode", MODES), "syncedAt": F.coalesce(F.length("syncedAt") <= LONGEST_TIME, F.lit(False))}
+    broken = F.filter(F.array(*(F.when(~ok, F.lit(name)) for name, ok in sorted(sound.items()))), lambda x: x.isNotNull())
+    return whole.withColumn("broken", broken).filter(F.size("broken") > 0).select("broken")
+
+
 def with_defaults(items: DataFrame) -> DataFrame:
     """Missing lists become empty ones."""
     lists = [f for f in items.schema.fields if f.name in ("imageUrls", "groupImageKeys", "relatedServices", "relatedComponents")]
@@ -54,6 +61,9 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     if size is not None and size > MOST_BYTES:
         raise ValueError(f"snapshot of {size} bytes; at most {MOST_BYTES}")
     whole = spark.read.schema(SNAPSHOT).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    wrong = envelope_violations(whole).collect()
+    if wrong:
+        raise ValueError(f"parse-payload: {wrong[0]['broken']}")
     items = whole.select("syncMode", "sourceSystem", "syncedAt", F.explode("items").alias("item")).select("syncMode", "sourceSystem", "syncedAt", "item.*")
     bad = violations(items).select("externalId", "broken").limit(5).collect()
     if bad:
@@ -65,7 +75,3 @@ def item_metadata(items: DataFrame) -> Column:
     """The metadata that chunks of an item carry, as JSON with nulls kept."""
     names = ["externalId", "externalType", "externalSource", "name", "description", "categoryPath", "salePriceKopecks", "rangForApp", "imageUrls"]
     return F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
-
-
-def all_conditions(conditions: dict[str, Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions.values(), F.lit(True))

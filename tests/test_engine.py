@@ -1,18 +1,22 @@
 """Functions, operators, sources and streams on small literal tables, and the catalogue against DuckDB."""
 
+import datetime as dt
 import json
 import math
 import random
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import cost, net, text
 from larkspur.operators import augment, budget, chunks, merge, registry, search, vision
 from larkspur.plans.catalogue import ORACLES, QUERIES
-from larkspur.sources import snapshots
+from larkspur.sources import objects, snapshots
 from larkspur.sources.state import StateTable
+from larkspur.streaming import counters
 
 DATA = "/root/testdata/sf0.001"
 
@@ -29,8 +33,8 @@ def test_keys(spark):
 
 
 def test_ip_buckets(spark):
-    ips = ["10.0.0.1", "::ffff:192.0.2.1", "::ffff:999.0.2.1", "2001:db8:1:2:3:4:5:6", "2001:db8::1", "::", "::1", "256.1.1.1", "1.2.3", "", None, "a:b", "zz::1"]
-    assert column(spark, ips, net.ip_bucket) == ["10.0.0.1", "192.0.2.1", "unknown", "2001:db8:1:2", "2001:db8:0:0", "0:0:0:0", "0:0:0:0", "unknown", "unknown", "unknown", "unknown", "unknown", "unknown"]
+    ips = ["10.0.0.1", "::ffff:192.0.2.1", "::ffff:999.0.2.1", "2001:db8:1:2:3:4:5:6", "2001:db8::1", "::", "::1", "256.1.1.1", "1.2.3", "", None, "a:b", "zz::1", "1:2:3:4:5:6:7:8::9", "1::2:3:4:5:6:7:8:9", "1::2::3", "01.2.3.4", "1::"]
+    assert column(spark, ips, net.ip_bucket) == ["10.0.0.1", "192.0.2.1", "unknown", "2001:db8:1:2", "2001:db8:0:0", "0:0:0:0", "0:0:0:0", "unknown", "unknown", "unknown", "unknown", "unknown", "unknown", "1:2:3:4", "unknown", "1:0:0:0", "unknown", "1:0:0:0"]
 
 
 def test_texts(spark):
@@ -76,7 +80,7 @@ def test_state_versions(spark, tmp_path):
 
 
 def test_snapshot(spark, tmp_path):
-    item = {"externalId": "1", "externalSource": "1c", "externalType": "product", "name": "n", "isVisible": True, "contentForEmbedding": "c", "contentHash": "h", "unknown": 1}
+    item = {"externalId": "1", "externalUpdatedAt": "2024", "externalSource": "1c", "externalType": "product", "name": "n", "isVisible": True, "contentForEmbedding": "c", "contentHash": "h", "unknown": 1}
     path = tmp_path / "latest.json"
     path.write_text(json.dumps({"syncMode": "full", "sourceSystem": "1c", "syncedAt": "t", "items": [item]}))
     (row,) = snapshots.read_snapshot(spark, str(path)).collect()
@@ -87,13 +91,131 @@ def test_snapshot(spark, tmp_path):
 
 
 def test_budget_and_arguments(spark):
-    assert column(spark, ["4", None, "5", "5.01", "junk"], lambda c: budget.blocked(c, 5.0)) == [False, False, True, True, False]
+    spent = ["4", None, "5", "5.01", "junk", "NaN", "5abc", "", "-6", " 6e0x", "4.9 9"]
+    assert column(spark, spent, lambda c: budget.blocked(c, 5.0)) == [False, False, True, True, False, False, True, False, False, True, False]
     with pytest.raises(ValueError):
         search.checked_k(51)
     with pytest.raises(ValueError):
         registry.page(spark.range(1), "id", "id", 0)
 
 
+def test_first_breach_against_a_running_sum(spark):
+    rng = random.Random(5)
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, f"c{i % 3}", base + dt.timedelta(seconds=rng.randrange(0, 3 * 86400) // 40 * 40), float(rng.choice([1, 2, 5, -3]))) for i in range(600)]
+    df = spark.createDataFrame(rows, "event_id bigint, category string, ts timestamp_ntz, value double").repartition(4)
+    for cap in (0.0, 20.0, 60.0, 1e6):
+        want, total = {}, {}
+        for i, c, ts, v in sorted(rows, key=lambda r: (r[2], r[0])):
+            k = c, ts.strftime("%Y%m%d")
+            if total.get(k, 0) >= cap and k not in want:
+                want[k] = i, ts
+            total[k] = total.get(k, 0) + v
+        got = budget.first_breaches(df, "category", "ts", "value", "event_id", cap, "hour").collect()
+        assert {(r["category"], r["day"]): (r["event_id"], r["at"]) for r in got} == want
+
+
+def test_hashes_tell_nulls_and_places_apart(spark):
+    df = spark.createDataFrame([("a", None), (None, "a"), ("a", "-"), ("", "a"), (None, None), ("1:a", ""), ("a", "")], "x string, y string")
+    assert df.select(merge.content_hash("x", "y").alias("h")).distinct().count() == 7
+    assert df.select(merge.stable_hash({"p": F.col("x"), "q": F.col("y")}).alias("h")).distinct().count() == 7
+    lists = spark.createDataFrame([(["b", "a"],), (["a", "b"],)], "x array<string>")
+    assert lists.select(merge.stable_hash({"x": F.col("x")}, arrays=("x",)).alias("h")).distinct().count() == 1
+    kinds = spark.createDataFrame([("d", 1, 0, 0), ("d", 0, 0, 2), ("d", 0, 1, 2), (None, 0, 0, 2), ("", 1, 0, 0), ("d", None, None, 1), ("b d", 1, 0, 0)], "i string, a int, u int, s int")
+    assert [r["o"] for r in kinds.select(merge.outcome(*(F.col(c) for c in "iaus")).alias("o")).collect()] == ["upserted", "skipped", "upserted", "failed", "failed", "skipped", "failed"]
+    gone = spark.createDataFrame([("1", "d"), ("2", ""), ("3", None)], "external_id string, doc_id string")
+    assert [r["external_id"] for r in merge.loaders_to_delete(gone).collect()] == ["1"]
+
+
+def test_cap_counts_ties_once(spark):
+    df = spark.createDataFrame([(i, i // 3) for i in range(9)], "id int, pos int")
+    for cap in range(10):
+        called = [r["id"] for r in augment.capped(df, F.col("id") != 1, "pos", cap, "id").filter("call").collect()]
+        assert sorted(called) == [i for i in range(9) if i != 1][:cap]
+
+
+def test_images_are_found_below_their_folder(spark, tmp_path):
+    (tmp_path / "store" / "a").mkdir(parents=True)
+    for name, size in (("a/b.png", 10), ("a/c.svg", 3), ("big.jpg", objects.MOST_IMAGE_BYTES + 1), ("d.webp", 4)):
+        (tmp_path / "store" / name).write_bytes(b"x" * size)
+    base = str(tmp_path / "store")
+    items = spark.createDataFrame([("i", ["a/b.png", "missing.png", "big.jpg", "d.webp", "e.gif", "a/c.svg"]), ("j", ["a/c.svg"]), ("k", None)], "id string, keys array<string>")
+    for path in (base, f"file://{base}/"):
+        got = objects.image_inputs(items, objects.contents(spark, base), "id", "keys", path).orderBy("id", "pos").collect()
+        # a key without a known ending counts as a JPEG image
+        assert [(r["id"], r["pos"], r["object_key"], r["mime"]) for r in got] == [("i", 0, "a/b.png", "image/png"), ("i", 3, "d.webp", "image/webp"), ("j", 0, "a/c.svg", "image/jpeg")]
+    assert objects.heads(spark, base).count() == 4
+    whole = objects.object_keys(objects.contents(spark, base), base)
+    assert objects.get_object(whole, "d.webp").count() == 1 and objects.delete_objects(whole, ["d.webp"]).count() == 3
+    with pytest.raises(LookupError):
+        objects.get_object(whole, "none")
+    texts = objects.text_documents(spark, base + "/d.webp").collect()
+    assert texts[0]["text"] == "xxxx" and json.loads(objects.with_metadata(whole.filter("object_key = 'd.webp'").select(F.lit("t").alias("x"), "object_key"), "x", ["object_key"]).first()["metadata"]) == {"object_key": "d.webp"}
+
+
+def test_envelopes_are_checked(spark, tmp_path):
+    sound = {"syncMode": "full", "sourceSystem": "1c", "syncedAt": "t", "items": []}
+    path = tmp_path / "latest.json"
+    path.write_text(json.dumps(sound))
+    assert snapshots.read_snapshot(spark, str(path)).count() == 0
+    for bad in ({"syncMode": "half"}, {"sourceSystem": "sap"}, {"syncedAt": None}, {"items": None}):
+        path.write_text(json.dumps(sound | bad))
+        with pytest.raises(ValueError, match=next(iter(bad))):
+            snapshots.read_snapshot(spark, str(path))
+    items = spark.createDataFrame([("a", "b")], "externalId string, name string")
+    rest = ["externalType", "externalSource", "description", "categoryPath", "salePriceKopecks", "rangForApp", "imageUrls"]
+    assert json.loads(items.withColumns({c: F.lit(None).cast("string") for c in rest}).select(snapshots.item_metadata(items).alias("m")).first()["m"])["description"] is None
+
+
+def test_sentence_chunks_stand_in_the_text(spark):
+    rng = random.Random(1)
+    texts = [None, "", "One two.  Three four!\nFive?", "x" * 4000, " ".join("word " * rng.randint(1, 60) + rng.choice(".!?") for _ in range(80))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {}
+    for r in chunks.sentence_chunks(df, size=100, overlap=20).collect():
+        assert texts[r["doc_id"]][r["start"] : r["start"] + len(r["chunk"])] == r["chunk"] and len(r["chunk"]) <= 300
+        found.setdefault(r["doc_id"], []).append((r["chunk_no"], r["start"], r["start"] + len(r["chunk"])))
+    assert set(found) == {2, 3, 4} and found[2] == [(1, 0, len(texts[2]))]
+    for i, spans in found.items():
+        spans.sort()
+        assert [n for n, _, _ in spans] == list(range(1, len(spans) + 1)) and spans[0][1] == 0 and spans[-1][2] == len(texts[i])
+        for (_, a, b), (_, c, d) in zip(spans, spans[1:]):
+            assert a < c <= b < d and b - c <= 60  # no gap, and no more repeated than the overlap
+
+
+def test_small_functions(spark):
+    row = spark.sql("SELECT 'q' q, CAST(NULL AS STRING) n, 'd' d, array('a.png', '../x') k, CAST('x' AS BINARY) b, TIMESTAMP'2024-02-03 04:05:06' t")
+    got = row.select(
+        text.effective_query(F.col("q"), F.col("d")).alias("qd"), text.effective_query(F.col("n"), F.col("d")).alias("nd"), text.effective_query(F.col("n"), F.col("n")).alias("nn"), text.augmented(F.col("q"), F.col("d"), "L").alias("au"), text.augmented(F.col("q"), F.col("n"), "L").alias("an"),
+        text.valid_keys(F.col("k")).alias("k"), text.valid_keys(F.lit(None).cast("array<string>")).alias("kn"), text.data_uri(F.lit("image/png"), F.col("b")).alias("uri"), text.decoded_size(F.lit("eHh4")).alias("size"), text.decoded_size(F.lit("%")).alias("none"),
+        net.valid_id(F.lit("a-b_1")).alias("id"), net.valid_id(F.lit("a b")).alias("noid"), net.uuid4(F.lit("9F0C2F5A-1B2C-4D3E-8F00-0123456789AB")).alias("uuid"), net.uuid4(F.lit("9f0c2f5a-1b2c-1d3e-8f00-0123456789ab")).alias("nouuid"),
+        cost.image_cost(F.lit(3)).alias("usd"), cost.round4(F.lit(1.00006)).alias("r"), cost.next_midnight(F.col("t")).cast("string").alias("m"), cost.alive(F.col("t"), 60, F.col("t")).alias("alive"), cost.alive(F.col("t"), 60, F.col("t") + F.expr("INTERVAL 60 SECOND")).alias("over"),
+        search.shown(F.expr("map('name', 'x', 'foreign', 'y')")).alias("shown"),
+    ).first()
+    assert (got["qd"], got["nd"], got["nn"], got["au"], got["an"]) == ("q d", "d", None, "q\n\nL: d", "q") and (got["k"], got["kn"]) == (["a.png"], [])
+    assert (got["uri"], got["size"], got["none"], got["id"], got["noid"]) == ("data:image/png;base64,eA==", 3, None, True, False) and got["uuid"] == "9f0c2f5a-1b2c-4d3e-8f00-0123456789ab" and got["nouuid"] is None
+    assert (round(got["usd"], 6), float(got["r"]), got["m"], got["alive"], got["over"]) == (0.021, 1.0001, "2024-02-04 00:00:00", True, False) and got["shown"] == {"name": "x"}
+    meta = ['{"a": "1"}', '{"a": "1", "FLOWISE_CHATID": "c"}', '{"b": "2", "FLOWISE_CHATID": "c"}', "{}", None]
+    assert column(spark, meta, lambda c: search.metadata_filter(c, {"a": "1"}, also={"b": "2"})) == [True, False, True, False, False]
+    docs = spark.createDataFrame([(1, ["x", "gone", "y"]), (2, ["y"]), (3, [])], "id int, keys array<string>")
+    urls = spark.createDataFrame([("x", "u:x"), ("y", "u:y")], "object_key string, url string")
+    assert {r["id"]: r["urls"] for r in search.attach_urls(docs, urls, "id", "keys").collect()} == {1: ["u:x", "u:y"], 2: ["u:y"], 3: []}
+
+
+def test_streams_of_requests_alerts_and_inputs(spark, tmp_path):
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, base + dt.timedelta(seconds=20 * i), i % 2, f"h{i % 4}") for i in range(12)] + [(99, base + dt.timedelta(days=3), 0, "late")]
+    (tmp_path / "in").mkdir()
+    pq.write_table(pa.table(dict(zip(["event_id", "ts", "user_id", "category"], map(list, zip(*rows))))), tmp_path / "in" / "events.parquet")
+    stream = counters.event_stream(spark, str(tmp_path / "in"))
+    jobs = {"counts": counters.request_counts(stream), "alerts": counters.alerts_once(stream.select("ts", "category")), "inputs": counters.distinct_inputs(stream, "category")}
+    for name, job in jobs.items():
+        counters.run_available(job, counters.to_table(str(tmp_path / name)), str(tmp_path / f"{name}-state"))
+    assert sum(r["n"] for r in spark.read.parquet(str(tmp_path / "counts")).collect()) == 12
+    assert sorted(r["category"] for r in spark.read.parquet(str(tmp_path / "alerts")).collect()) == ["h0", "h1", "h2", "h3", "late"]
+    assert spark.read.parquet(str(tmp_path / "inputs")).count() == 5
+
+
 def test_recursive_split():
     long = "\n\n".join("word " * n for n in (10, 300, 20)) + "x" * 2500
     parts = chunks.split_text(long)
