@@ -5,7 +5,7 @@ nodes, so shared text is stored once. A node is stored with its parent. The fore
 their digest: sums over subtrees and over siblings give each node its interval in the stream, and are carried
 down and up the forest by doubling, in as many rounds as the depth has bits. Each node also has the position of its first
 unit within its own conversations, and can be given the intervals of its ancestors, which are what its units may
-attend to besides earlier units of the node itself. Units are code points.
+attend to besides earlier units of the node itself. Units are code points, or tokens (``token_forest``).
 
 A conversation is read by one task, sorted and in batches; neither a task nor the driver holds a whole conversation or
 the whole stream, however many conversations share a turn.
@@ -174,6 +174,26 @@ def forest(placed: DataFrame) -> DataFrame:
     )
 
 
+def token_forest(turns: DataFrame, path: str) -> DataFrame:
+    """The forest in tokens of the vocabulary file at path: one row per node, each node's tokens once, depth-first.
+
+    node, parent, depth, ids (its tokens), positions (the position id of each, within its conversations), start and end (its interval in the
+    stream of tokens), ancestors (their intervals, root first: what its tokens attend to besides earlier ones of the node itself),
+    loss (whether its text is learned). Segments end in a line feed, which no token crosses, so the ids down to a node are those of the whole text.
+    """
+    from larkspur.llm import bpe
+
+    stored = stored_nodes(conversation_paths(turns))
+    encoded = bpe.encode_decode(stored.select("node", "parent", "depth", "head", "segment"), path, text="segment", outputs=("ids",))
+    placed = checkpoint(encoded.withColumn("units", F.size("ids").cast("bigint")))
+    laid = checkpoint(layout(placed).join(placed.select("node", "parent"), "node"))
+    spans = _climb(laid.select("node", F.col("parent").alias("up"), F.array(F.struct("start", "end")).alias("x")), lambda a, b: F.concat(a, b))
+    positions = F.when(F.col("units") > 0, F.sequence(F.col("position"), F.col("position") + F.col("units") - 1)).otherwise(F.array().cast("array<bigint>"))
+    return placed.join(laid.drop("parent"), "node").join(spans, "node").select(
+        "node", "parent", "depth", "ids", positions.alias("positions"), "start", "end", F.slice("x", F.lit(1), F.size("x") - 1).alias("ancestors"), F.col("head").isNotNull().alias("loss")
+    )
+
+
 def read_back(nodes: DataFrame, members: DataFrame) -> DataFrame:
     """(conv_id, depth, role, text, learned, units): turns as the stored segments give them; members: (conv_id, depth, node) of each turn."""
     got = members.join(nodes.select("node", "segment", "start", "loss_start", "loss_end"), "node")

@@ -29,6 +29,8 @@ from larkspur.llm.common import checkpoint, linked_members, number_rows, output_
 THRESHOLD = 0.93
 #: Vectors of a block, of an interval that is compared at once, and children of an interval of the tree.
 BLOCK, LEAF, FAN = 2048, 256, 8
+#: Right blocks that one left block is sent with at most, and runs that are made at least, if there are so many pairs.
+RUN, PARALLEL = 16, 64
 #: Documented bound of the sample that the rotation is fitted on.
 SAMPLE = 10_000
 #: Leading principal dimensions: those of the grid order, and those of the tree's boxes.
@@ -139,24 +141,37 @@ def join_intervals(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray,
 
 
 def compare(pairs: DataFrame, blocks: DataFrame, basis: np.ndarray, threshold: float, epsilon: float, kind: type = np.float32) -> DataFrame:
-    """(rep, links, root) of each linked vector of each pair of blocks; kind: the type of the packed components."""
-    packed = lambda s: blocks.select("grp", "size", F.col("block").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("ids", "counts", "vectors")))
+    """(rep, links, root) of each linked vector of each pair of blocks; kind: the type of the packed components.
+
+    The blocks that a block meets are dealt into runs. A run is sorted into its left block and then its right ones, so the left one is sent
+    once a run, and a task holds two blocks at a time.
+    """
     n = pairs.count()
-    work = pairs.join(packed("a"), ["grp", "size", "a"]).join(packed("b"), ["grp", "size", "b"]).drop("grp").repartition(max(8, n // 8))
+    length = min(max(n // PARALLEL, 1), RUN)
+    runs = pairs.withColumn("run", F.expr(f"(b - a) div {length}"))
+    left = runs.select("grp", "size", "a", "run").distinct().withColumns({"side": F.lit(0), "block": F.col("a")})
+    sides = left.unionByName(runs.select("grp", "size", "a", "run", F.lit(1).alias("side"), F.col("b").alias("block")))
+    packed = blocks.select("grp", "size", "block", "ids", "counts", "vectors")
+    keys = ["grp", "size", "a", "run"]
+    rows = sides.join(packed, ["grp", "size", "block"]).repartition(max(8, n // length // 2), *keys).sortWithinPartitions(*keys, "side", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = None
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i] for c in batch.schema.names}
-                size = row["size"].as_py()
-                part = {k: np.frombuffer(row[k].as_buffer(), np.int64 if k[2:] != "vectors" else kind) for k in row if k[1:2] == "_"}
-                x, y = (unit(part[f"{s}_vectors"].reshape(-1, size).astype(np.float64)) for s in "ab")
-                linked = np.zeros((len(x), len(y)), bool)
-                join_intervals(x, y, rotate(x, basis), rotate(y, basis), threshold, epsilon, linked)
-                found = summarise_links(linked, part["a_ids"], part["b_ids"], part["a_counts"], part["b_counts"], row["a"] == row["b"])
+                side, block, ids, counts, vectors = (batch.column(c)[i] for c in range(2, 7))
+                x = unit(np.frombuffer(vectors.as_buffer(), kind).reshape(-1, batch.column(0)[i].as_py()).astype(np.float64))
+                own = (block.as_py(), x, rotate(x, basis), np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(counts.as_buffer(), np.int64))
+                if side.as_py() == 0:
+                    # the batch goes, and its buffers with it
+                    first = (*own[:3], own[3].copy(), own[4].copy())
+                    continue
+                linked = np.zeros((len(first[1]), len(x)), bool)
+                join_intervals(first[1], x, first[2], own[2], threshold, epsilon, linked)
+                found = summarise_links(linked, first[3], own[3], first[4], own[4], first[0] == own[0])
                 yield pa.RecordBatch.from_arrays([pa.array(f) for f in found], names=["rep", "links", "root"])
 
-    return work.mapInArrow(run, "rep bigint, links bigint, root bigint")
+    return rows.select("size", "a", "side", "block", "ids", "counts", "vectors").mapInArrow(run, "rep bigint, links bigint, root bigint")
 
 
 def near_dedup(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> DataFrame:

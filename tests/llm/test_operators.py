@@ -85,6 +85,32 @@ def test_chat_reads_back(spark):
     assert chat.digests(df.limit(0)).count() == 0
 
 
+def test_chat_in_tokens(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(word_vocabulary())
+    turns = [(1, 0, "user", "what is a river?"), (1, 1, "assistant", "it's water ### that </turn> flows"), (2, 0, "user", "what is a river?"), (2, 1, "assistant", "don't know"), (2, 2, "user", "ÄÖ ß　x"), (3, 0, "system", "")]
+    df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
+    nodes = {bytes(r["node"]): r for r in chat.token_forest(df, word_vocabulary()).collect()}
+    assert len(nodes) == 5
+    stream = sorted(nodes.values(), key=lambda r: r["start"])
+    assert all(a["end"] == b["start"] for a, b in zip(stream, stream[1:])) and all(r["end"] - r["start"] == len(r["ids"]) for r in stream)
+    tokens = [i for r in stream for i in r["ids"]]
+    formatted = {r["conv_id"]: r["whole"] for r in df.orderBy("turn").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", chat.segment(F.col("role"), F.col("text")).alias("s")))), lambda x: x["s"]), "").alias("whole")).collect()}
+    for r in chat.conversation_paths(df, with_text=False).collect():
+        own, up = nodes[bytes(r["node"])], []
+        at = own
+        while at["parent"] is not None:
+            at = nodes[bytes(at["parent"])]
+            up.insert(0, at)
+        # what a node's tokens see is its conversation so far, in place
+        assert [(a["start"], a["end"]) for a in own["ancestors"]] == [(u["start"], u["end"]) for u in up]
+        seen = [i for a in own["ancestors"] for i in tokens[a["start"] : a["end"]]] + own["ids"]
+        assert own["positions"] == list(range(len(seen) - len(own["ids"]), len(seen))) and own["loss"] == (r["role"] == "assistant")
+        if r["depth"] == sum(1 for x in turns if x[0] == r["conv_id"]):
+            assert seen == t.encode(formatted[r["conv_id"]], add_special_tokens=False).ids
+
+
 def test_chat_of_a_long_conversation(spark):
     n = 300
     turns = [(None, i, "assistant" if i % 2 else "user", f"t{i % 7}") for i in range(n)] + [(c, i, "user", f"t{i}" if i < c else "end") for c in (1, 2) for i in range(3)]
