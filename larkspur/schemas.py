@@ -2,7 +2,7 @@
 
 from pyspark.sql import types as T
 
-_S, _L, _I, _B, _TS = T.StringType(), T.LongType(), T.IntegerType(), T.BooleanType(), T.TimestampType()
+_S, _L, _I, _B = T.StringType(), T.LongType(), T.IntegerType(), T.BooleanType()
 
 
 def _struct(**fields: T.DataType) -> T.StructType:
@@ -15,9 +15,3 @@ ITEM = _struct(
     contentForEmbedding=_S, contentHash=_S, attributes=T.MapType(_S, _S),
 )
 SNAPSHOT = _struct(syncMode=_S, sourceSystem=_S, syncedAt=_S, items=T.ArrayType(ITEM))
-CHUNK = _struct(id=_S, doc_id=_S, store_id=_S, chunk_no=_I, page_content=_S, metadata=_S, embedding=T.ArrayType(T.FloatType()))
-SOURCE = _struct(
-    id=_S, user_id=_S, source_type=_S, status=_S, progress=_I, title=_S, storage_key=_S, source_url=_S, raw_text=_S, extracted_text=_S, metadata=_S, error=_S,
-    created_at=_TS, updated_at=_TS, started_at=_TS, completed_at=_TS,
-)
-MESSAGE = _struct(id=_S, role=_S, chatflowid=_S, chat_id=_S, content=_S, chat_type=_S, session_id=_S, created_date=_TS)
