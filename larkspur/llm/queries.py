@@ -82,10 +82,38 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_candidates", "n_secrets", places.alias("secrets"), F.array_max("secrets.score").alias("score"))
 
 
+def media_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op4_media that SQL can give as well."""
+    return audio.media_columns(read(spark, sf_dir, "documents").select("doc_id", "text"), outputs=("n_bytes", "payload_bytes", "payload_sha256", "media_bytes"))
+
+
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op7_licenses that SQL can give as well."""
+    return op7_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_bpe, op2_chat, op3_quality, op4_media, op5_vectors, op6_mixing, op7_licenses, op8_ngrams, op9_lines, op10_secrets)
+    own = (op1_bpe, op2_chat, op3_quality, op4_media, op5_vectors, op6_mixing, op7_licenses, op8_ngrams, op9_lines, op10_secrets, media_payload, license_base)
     return {f.__name__: f for f in own}
 
 
+MEDIA_ORACLE = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) AS n FROM documents),
+p AS (SELECT *, greatest((n + 63) // 64, 1) * 64 AS size FROM t)
+SELECT doc_id, n AS n_bytes, size AS payload_bytes, sha256(t || repeat(chr(0), CAST(size - n AS BIGINT))) AS payload_sha256, size + 44 AS media_bytes FROM p
+"""
+
+_FOUND = ", ".join(
+    f"list_transform(list_filter(range(len(w)), lambda i: w[i + 1:i + {len(phrase.split(' '))}] = {phrase.split(' ')}), lambda i: {{'i': i, 'label': '{label}'}})" for phrase, label in licenses.BASE.items()
+)
+LICENSE_ORACLE = rf"""
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+f AS (SELECT doc_id, len(w) AS n, flatten([{_FOUND}]) AS found FROM t)
+SELECT doc_id, n AS n_words, len(found) AS n_base, list_min(list_transform(found, lambda x: x.i)) AS first_word, list_max(list_transform(found, lambda x: x.i)) AS last_word,
+       coalesce(array_to_string(list_sort(list_distinct(list_transform(found, lambda x: x.label))), ','), '') AS base_labels FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": chat.ORACLE, "op5_vectors": vectors.ORACLE, "op8_ngrams": ngrams.ORACLE, "op9_lines": lines.ORACLE}
+    own = {"op2_chat": chat.ORACLE, "op5_vectors": vectors.ORACLE, "op8_ngrams": ngrams.ORACLE, "op9_lines": lines.ORACLE}
+    return own | {"media_payload": MEDIA_ORACLE, "license_base": LICENSE_ORACLE}
