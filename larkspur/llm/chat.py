@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -104,30 +105,36 @@ def stored_nodes(paths: DataFrame) -> DataFrame:
     return checkpoint(shaped.withColumn("units", F.length("segment").cast("bigint")))
 
 
-def _key(up: Column) -> Column:
-    """up, or where there is none a key that no node has, so that roots don't meet in one task."""
-    return F.coalesce(up, F.concat("node", F.lit(b"-")))
-
-
 def _climb(rows: DataFrame, add) -> DataFrame:
-    """(node, x) with the x of all ancestors added, root first, in as many rounds as the depth has bits; rows: (node, up, x)."""
+    """(node, x) with the x of all ancestors added, root first, in as many rounds as the depth has bits; rows: (node, up, x).
+
+    A round joins only the nodes whose way up is not at its end, so one deep conversation costs its own nodes alone.
+    """
     rows = checkpoint(rows)
-    while not rows.filter("up is not null").isEmpty():
-        above = rows.select(F.col("node").alias("_key"), F.col("up").alias("_up"), F.col("x").alias("_x"))
-        joined = rows.withColumn("_key", _key(F.col("up"))).join(above, "_key", "left")
-        rows = checkpoint(joined.select("node", F.col("_up").alias("up"), F.when(F.col("_x").isNull(), F.col("x")).otherwise(add(F.col("_x"), F.col("x"))).alias("x")))
-    return rows.select("node", "x")
+    done, active = [rows.filter("up is null")], rows.filter("up is not null")
+    while not active.isEmpty():
+        above = reduce(DataFrame.unionByName, [*done, active]).select(F.col("node").alias("_key"), F.col("up").alias("_up"), F.col("x").alias("_x"))
+        climbed = checkpoint(active.join(above, F.col("up") == F.col("_key")).select("node", F.col("_up").alias("up"), add(F.col("_x"), F.col("x")).alias("x")))
+        done.append(climbed.filter("up is null"))
+        active = climbed.filter("up is not null")
+    return reduce(DataFrame.unionByName, done).select("node", "x")
 
 
 def _subtrees(placed: DataFrame) -> DataFrame:
-    """(node, total): the units of each node and all below it. After k rounds those less than 2^k turns below are counted."""
-    rows = checkpoint(placed.select("node", F.col("parent").alias("up"), F.col("units").alias("total")))
-    while not rows.filter("up is not null").isEmpty():
-        below = rows.filter("up is not null").groupBy(F.col("up").alias("node")).agg(F.sum("total").alias("_more"))
-        above = rows.select(F.col("node").alias("_key"), F.col("up").alias("_up"))
-        joined = rows.withColumn("_key", _key(F.col("up"))).join(above, "_key", "left").join(below, "node", "left")
-        rows = checkpoint(joined.select("node", F.col("_up").alias("up"), (F.col("total") + F.coalesce("_more", F.lit(0))).alias("total")))
-    return rows.select("node", "total")
+    """(node, total): the units of each node and all below it. After k rounds those less than 2^k turns below are counted.
+
+    What a round adds to a node is kept beside the others and summed at the end; nodes whose way up is at its end take no part in later rounds.
+    """
+    parts = [placed.select("node", F.col("units").alias("total"))]
+    active = checkpoint(placed.filter("parent is not null").select("node", F.col("parent").alias("up"), F.col("units").alias("total")))
+    while not active.isEmpty():
+        below = checkpoint(active.groupBy(F.col("up").alias("node")).agg(F.sum("total").alias("total")))
+        parts.append(below)
+        above = active.select(F.col("node").alias("_key"), F.col("up").alias("_up"))
+        more = below.select(F.col("node").alias("_node"), F.col("total").alias("_more"))
+        risen = active.join(above, F.col("up") == F.col("_key")).join(more, F.col("node") == F.col("_node"), "left")
+        active = checkpoint(risen.select("node", F.col("_up").alias("up"), (F.col("total") + F.coalesce("_more", F.lit(0))).alias("total")))
+    return reduce(DataFrame.unionByName, parts).groupBy("node").agg(F.sum("total").alias("total"))
 
 
 def layout(placed: DataFrame) -> DataFrame:
