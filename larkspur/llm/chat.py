@@ -108,13 +108,14 @@ def stored_nodes(paths: DataFrame) -> DataFrame:
 def _climb(rows: DataFrame, add) -> DataFrame:
     """(node, x) with the x of all ancestors added, root first, in as many rounds as the depth has bits; rows: (node, up, x).
 
-    A round joins only the nodes whose way up is not at its end, so one deep conversation costs its own nodes alone.
+    A round joins only the nodes whose way up is not at its end, so one deep conversation costs its own nodes alone. Nothing of the
+    forest is broadcast, however small it seems to be.
     """
     rows = checkpoint(rows)
     done, active = [rows.filter("up is null")], rows.filter("up is not null")
     while not active.isEmpty():
         above = reduce(DataFrame.unionByName, [*done, active]).select(F.col("node").alias("_key"), F.col("up").alias("_up"), F.col("x").alias("_x"))
-        climbed = checkpoint(active.join(above, F.col("up") == F.col("_key")).select("node", F.col("_up").alias("up"), add(F.col("_x"), F.col("x")).alias("x")))
+        climbed = checkpoint(active.join(above.hint("merge"), F.col("up") == F.col("_key")).select("node", F.col("_up").alias("up"), add(F.col("_x"), F.col("x")).alias("x")))
         done.append(climbed.filter("up is null"))
         active = climbed.filter("up is not null")
     return reduce(DataFrame.unionByName, done).select("node", "x")
@@ -132,7 +133,7 @@ def _subtrees(placed: DataFrame) -> DataFrame:
         parts.append(below)
         above = active.select(F.col("node").alias("_key"), F.col("up").alias("_up"))
         more = below.select(F.col("node").alias("_node"), F.col("total").alias("_more"))
-        risen = active.join(above, F.col("up") == F.col("_key")).join(more, F.col("node") == F.col("_node"), "left")
+        risen = active.join(above.hint("merge"), F.col("up") == F.col("_key")).join(more.hint("merge"), F.col("node") == F.col("_node"), "left")
         active = checkpoint(risen.select("node", F.col("_up").alias("up"), (F.col("total") + F.coalesce("_more", F.lit(0))).alias("total")))
     return reduce(DataFrame.unionByName, parts).groupBy("node").agg(F.sum("total").alias("total"))
 
