@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import audio, bpe, chat, licenses, lines, mixing, ngrams, quality, secrets, vectors
+from larkspur.llm import audio, bpe, chat, codes, licenses, lines, mixing, ngrams, quality, repair, secrets, topk, vectors
 from larkspur.llm.common import read
 
 
@@ -82,6 +82,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_candidates", "n_secrets", places.alias("secrets"), F.array_max("secrets.score").alias("score"))
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.code_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search_multiples(read(spark, sf_dir, "embeddings"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(read(spark, sf_dir, "conversations"))
+
+
 def media_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op4_media that SQL can give as well."""
     return audio.media_columns(read(spark, sf_dir, "documents").select("doc_id", "text"), outputs=("n_bytes", "payload_bytes", "payload_sha256", "media_bytes"))
@@ -93,7 +105,7 @@ def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_bpe, op2_chat, op3_quality, op4_media, op5_vectors, op6_mixing, op7_licenses, op8_ngrams, op9_lines, op10_secrets, media_payload, license_base)
+    own = (op1_bpe, op2_chat, op3_quality, op4_media, op5_vectors, op6_mixing, op7_licenses, op8_ngrams, op9_lines, op10_secrets, op11_codes, op12_topk, op13_repair, media_payload, license_base)
     return {f.__name__: f for f in own}
 
 
@@ -115,5 +127,5 @@ SELECT doc_id, n AS n_words, len(found) AS n_base, list_min(list_transform(found
 
 
 def oracle_sql() -> dict[str, str]:
-    own = {"op2_chat": chat.ORACLE, "op5_vectors": vectors.ORACLE, "op8_ngrams": ngrams.ORACLE, "op9_lines": lines.ORACLE}
+    own = {"op2_chat": chat.ORACLE, "op5_vectors": vectors.ORACLE, "op8_ngrams": ngrams.ORACLE, "op9_lines": lines.ORACLE, "op11_codes": codes.ORACLE, "op12_topk": topk.ORACLE, "op13_repair": repair.ORACLE}
     return own | {"media_payload": MEDIA_ORACLE, "license_base": LICENSE_ORACLE}
