@@ -98,6 +98,13 @@ def fuse(ranked: Sequence[DataFrame], key: str, k: int) -> DataFrame:
     return all_ranks.groupBy(key).agg(F.sum((F.lit(1) / (RECIPROCAL + F.col("rank"))).cast("decimal(18,12)")).cast("double").alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
+def fuse_each(ranked: Sequence[DataFrame], query: str, key: str, k: int) -> DataFrame:
+    """(query, rank, key, score): reciprocal rank fusion of results (query, key, rank), for each query."""
+    summed = reduce(DataFrame.unionByName, ranked).groupBy(query, key).agg(F.sum((F.lit(1) / (RECIPROCAL + F.col("rank"))).cast("decimal(18,12)")).cast("double").alias("score"))
+    order = Window.partitionBy(query).orderBy(F.desc("score"), key)
+    return summed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(query, "rank", key, "score")
+
+
 def attach_urls(docs: DataFrame, urls: DataFrame, key: str, keys: str) -> DataFrame:
     """docs with the URLs of their keys, in the keys' order; each distinct key is looked up once, misses are left out."""
     asked = docs.select(key, F.posexplode(keys).alias("pos", "object_key"))
