@@ -11,10 +11,14 @@ An alternative without anything that must occur finds nothing. A document is sco
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Fixed values of BM25.
 K1, B = 1.2, 0.75
@@ -55,32 +59,44 @@ _SUPERLATIVE = "(ейш|ейше)$"
 _VOWEL = "[аеиоуыэюя]"
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value), with value worked out once however often it is used."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
-def russian_stem(word: Column) -> Column:
-    """A Russian word without its inflection; words without a Russian vowel stay as they are."""
-    cut = lambda x, ending: F.regexp_replace(x, ending, "")
-    inflected = lambda x: _let(cut(x, _ADJECTIVE), lambda y: F.when(y != x, cut(y, _PARTICIPLE)).otherwise(_let(cut(x, _VERB), lambda z: F.when(z != x, z).otherwise(cut(x, _NOUN)))))
-    first = lambda x: _let(cut(x, _GERUND), lambda y: F.when(y != x, y).otherwise(_let(cut(x, _REFLEXIVE), inflected)))
+def russian_stem(word: str) -> str:
+    """A Russian word without its inflection; one without a Russian vowel stays as it is."""
+    word = word.replace("ё", "е")
+    head, vowel, rest = re.match(f"([^аеиоуыэюя]*)({_VOWEL}?)(.*)", word, re.DOTALL).groups()
+    if not vowel:
+        return word
+    cut = lambda x, ending: re.sub(ending, "", x, count=1)
+    first = cut(rest, _GERUND)
+    if first == rest:
+        plain = cut(rest, _REFLEXIVE)
+        adjective, verb = cut(plain, _ADJECTIVE), cut(plain, _VERB)
+        first = cut(adjective, _PARTICIPLE) if adjective != plain else verb if verb != plain else cut(plain, _NOUN)
+    second = cut(first, "и$")
     # a derivational ending goes only where it begins after the second syllable of the rest
-    region = lambda x: F.regexp_extract(x, f"^.*?[^аеиоуыэюя].*?{_VOWEL}[^аеиоуыэюя](.*)$", 1)
-    derived = lambda x: F.when(region(x).rlike(_DERIVED), cut(x, _DERIVED)).otherwise(x)
-    last = lambda x: F.when(x.rlike("нн$"), cut(x, "н$")).otherwise(_let(cut(x, _SUPERLATIVE), lambda y: F.when(y != x, F.regexp_replace(y, "нн$", "н")).otherwise(cut(x, "ь$"))))
-    rest = lambda x: _let(_let(cut(_let(x, first), "и$"), derived), last)
-
-    def whole(x: Column) -> Column:
-        head = F.regexp_extract(x, f"^(.*?{_VOWEL})", 1)
-        return _let(head, lambda h: F.when(h == "", x).otherwise(F.concat(h, rest(F.substring(x, F.length(h) + 1, F.length(x))))))
-
-    return _let(F.translate(word, "ё", "е"), whole)
+    region = re.match(f".*?[^аеиоуыэюя].*?{_VOWEL}[^аеиоуыэюя](.*)$", second)
+    third = cut(second, _DERIVED) if region and re.search(_DERIVED, region[1]) else second
+    superlative = cut(third, _SUPERLATIVE)
+    if third.endswith("нн"):
+        last = third[:-1]
+    elif superlative != third:
+        last = re.sub("нн$", "н", superlative)
+    else:
+        last = cut(third, "ь$")
+    return head + vowel + last
+
+
+@F.arrow_udf(StringType())
+def russian_stems(found: pa.Array) -> pa.Array:
+    """Stems of words; each distinct word of a batch is worked out once."""
+    coded = found.dictionary_encode()
+    known = pa.array([None if w is None else russian_stem(w) for w in coded.dictionary.to_pylist()], pa.string())
+    return known.take(coded.indices)
 
 
 def stem(word: Column) -> Column:
-    """Russian words lose their inflection, others the ending of a plural."""
-    return F.when(word.rlike("[а-яё]"), russian_stem(word)).otherwise(plural_stem(word))
+    """Russian words without their inflection, others without the ending of a plural."""
+    # other words don't go to Python
+    return F.coalesce(russian_stems(F.when(word.rlike("[а-яё]"), word)), plural_stem(word))
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", stemmer: Stemmer = stem) -> DataFrame:
@@ -88,9 +104,11 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", stemmer:
 
     A document's words are gone through where it is read: a very long text is exploded, never gathered, and summed by term before the shuffle.
     """
-    spoken = docs.select(F.col(key).alias("doc_id"), words(F.col(text)).alias("words")).filter(F.size("words") > 0)
-    each = spoken.select("doc_id", F.size("words").alias("doc_length"), F.posexplode("words").alias("position", "word"))
-    return each.groupBy(stemmer(F.col("word")).alias("term"), "doc_id", "doc_length").agg(F.array_sort(F.collect_list("position")).alias("positions"))
+    spoken = docs.select(F.col(key).alias("doc_id"), words(F.col(text)).alias("words"))
+    # the length is taken before words are exploded, so that no row carries them all
+    counted = spoken.select("doc_id", F.size("words").alias("doc_length"), "words").filter("doc_length > 0")
+    each = counted.select("doc_id", "doc_length", F.posexplode("words").alias("position", "word"))
+    return each.withColumn("term", stemmer(F.col("word"))).groupBy("term", "doc_id", "doc_length").agg(F.array_sort(F.collect_list("position")).alias("positions"))
 
 
 def write_index(index: DataFrame, path: str, files: int | None = None) -> None:
@@ -112,7 +130,8 @@ def literals(queries: DataFrame, stemmer: Stemmer = stem) -> DataFrame:
     ended = F.sum((F.lower("piece") == "or").cast("int")).over(Window.partitionBy("query_id").orderBy("literal"))
     shaped = each.withColumn("alternative", ended).filter(F.lower("piece") != "or").withColumn("negated", F.startswith("piece", F.lit("-")) & (F.length("piece") > 1))
     spoken = shaped.withColumn("words", words(F.col("piece"))).filter(F.size("words") > 0)
-    return spoken.select("query_id", "alternative", "literal", "negated", F.size("words").alias("size"), F.posexplode("words").alias("offset", "word")).withColumn("term", stemmer(F.col("word"))).drop("word")
+    each = spoken.select("query_id", "alternative", "literal", "negated", F.size("words").alias("size"), F.posexplode("words").alias("offset", "word"))
+    return each.withColumn("term", stemmer(F.col("word"))).drop("word")
 
 
 def matches(wanted: DataFrame, index: DataFrame) -> DataFrame:
@@ -135,14 +154,13 @@ def bm25(queries: DataFrame, index: DataFrame, totals: DataFrame, k: int, stemme
 
     The queries' literals are counted first; more than MOST_LITERALS are searched in parts by query, so what is broadcast stays bounded.
     """
-    all_literals = literals(queries, stemmer)
-    parts = max(1, -(-all_literals.count() // MOST_LITERALS))
-    found = None
+    asked = literals(queries, stemmer)
+    parts = max(1, -(-asked.count() // MOST_LITERALS))
+    found = []
     for p in range(parts):
-        own = all_literals.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p) if parts > 1 else all_literals
-        one = _best(own, index, totals, k)
-        found = one if found is None else found.unionByName(one)
-    return found
+        own = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p).toArrow()  # about MOST_LITERALS rows
+        found.append(_best(queries.sparkSession.createDataFrame(own, asked.schema), index, totals, k))
+    return reduce(DataFrame.unionByName, found)
 
 
 def _best(wanted: DataFrame, index: DataFrame, totals: DataFrame, k: int) -> DataFrame:
