@@ -157,3 +157,10 @@ def linked_members(reps: DataFrame, links: DataFrame) -> DataFrame:
         reps.select("rep", "copies").join(found, "rep", "left").join(components, "rep", "left")
         .select("rep", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     )
+
+
+def least_of_each(found: DataFrame, reps: DataFrame) -> DataFrame:
+    """found (rep, n_links, component) with least: the smallest id of a component's members; reps: rep and the smallest id of each, least."""
+    own = found.join(reps.select("rep", "least"), "rep")
+    smallest = own.groupBy("component").agg(F.min("least").alias("least"))
+    return own.drop("least").join(smallest, "component")

@@ -11,8 +11,8 @@ are joined once, as one representative with a number of copies. A pair of blocks
 links, and a member of its local component), so a dense group of n vectors gives n * n / BLOCK rows, never its n * n pairs.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label or id,
-link with nothing: n_links 0, component their own id, kept. Repeated rows are vectors of their own. Vectors of different
-lengths never link.
+link with nothing: n_links 0, component their own id, kept. Repeated rows are vectors of their own, and so are different vectors of one id,
+each with its own row and links. Vectors of different lengths never link. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import checkpoint, linked_members, number_rows, output_schema, summarise_links
+from larkspur.llm.common import checkpoint, least_of_each, linked_members, number_rows, output_schema, summarise_links
 
 THRESHOLD = 0.93
 #: Vectors of a block, of an interval that is compared at once, and children of an interval of the tree.
@@ -181,13 +181,15 @@ def near_dedup(df: DataFrame, key: str = "vec_id", vector: str = "embedding", la
     single = df.schema[vector].dataType.simpleString() == "array<float>"
     rows = checkpoint(df.select(F.col(key).cast("bigint").alias("id"), F.col(label).cast("string").alias("grp"), F.col(vector).cast("array<float>" if single else "array<double>").alias("vec"), usable(vector, label, key).alias("good")))
     good = rows.filter("good").withColumn("size", F.size("vec"))
-    reps = checkpoint(good.groupBy("grp", "size", "vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    # vectors go by numbers of their own, as ids may repeat
+    grouped = good.groupBy("grp", "size", "vec").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    reps = checkpoint(grouped.withColumn("rep", F.monotonically_increasing_id()))
     basis = rotation(reps)
     numbered = number_rows(grid_cells(reps, basis, epsilon), "grp", "size", *(f"c{i}" for i in range(GRID)), "rep")
     blocks = checkpoint(blocks_of(numbered, basis))
     found = linked_members(reps, compare(near_pairs(blocks, epsilon), blocks, basis, threshold, epsilon, np.float32 if single else np.float64))
-    known = checkpoint(reps.select("grp", "size", "vec", "rep").join(found, "rep"))
-    joined = good.select("id", "grp", "size", "vec").join(known, ["grp", "size", "vec"]).select("id", "n_links", "component")
+    known = checkpoint(reps.select("grp", "size", "vec", "rep").join(least_of_each(found, reps), "rep"))
+    joined = good.select("id", "grp", "size", "vec").join(known, ["grp", "size", "vec"]).select("id", "n_links", F.col("least").alias("component"))
     alone = rows.filter("not good").select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component"))
     return joined.unionAll(alone).select(F.col("id").alias(key), "n_links", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 

@@ -595,3 +595,21 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 130)}, 200: 200, 201: 200}
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_one_id_on_two_texts(spark):
+    a = " ".join(f"word{i}" for i in range(300))
+    rows = [(1, a), (1, "something else that nobody wrote before at all"), (2, a + " more"), (3, "a third text of some words, also alone")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert sorted(map(tuple, ngrams.jaccard_join(df).collect())) == [(1, 1, 0), (1, 1, 1), (2, 1, 1), (3, 3, 0)]
+    assert sorted(map(tuple, ngrams.first_of_each(df).collect())) == sorted([rows[0], rows[1], rows[3]])
+    # near copies under one id: one stays
+    twice = spark.createDataFrame([(1, a), (1, a + " more"), (1, a), (4, a)], "doc_id bigint, text string")
+    assert sorted(map(tuple, ngrams.jaccard_join(twice).collect())) == [(1, 1, 3)] * 3 + [(4, 1, 3)]
+    assert len({r["text"] for r in ngrams.first_of_each(twice).collect()}) == 1
+
+
+def test_one_id_on_two_vectors(spark):
+    rows = [(1, [1.0, 0.0, 0.0], 1), (1, [0.0, 1.0, 0.0], 1), (2, [1.0, 0.01, 0.0], 1), (3, [0.0, 0.0, 1.0], 1), (3, [0.0, 0.0, 1.0], 1)]
+    found = vectors.near_dedup(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"))
+    assert sorted(map(tuple, found.collect())) == [(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (3, 1, 3, True)]
