@@ -61,6 +61,12 @@ def _nearest(queries: DataFrame, chunks: DataFrame, k: int, strategy: str) -> Da
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))).filter(F.col("rank") <= k)
 
 
+def of_sources(chunks: DataFrame, sources: DataFrame, source: str = "source_id") -> DataFrame:
+    """The chunks of a list of sources (source_id), as a table of any length; without sources all chunks."""
+    none = sources.isEmpty()
+    return chunks if none else chunks.join(sources.select(F.col("source_id").alias("_source")).distinct(), F.col(source) == F.col("_source"), "left_semi")
+
+
 def metadata_filter(metadata: Column, contains: dict[str, str], also: dict[str, str] | None = None, absent: str = "FLOWISE_CHATID") -> Column:
     """JSON metadata holds all of ``contains`` and not the key ``absent``, or holds all of ``also``."""
 

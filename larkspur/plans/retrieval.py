@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larkspur.operators import fulltext, search, vector_index
-from larkspur.plans.catalogue import _E, query, table
+from larkspur.operators import fulltext, metadata, search, vector_index
+from larkspur.plans.catalogue import _E, _Q, first_vector, query, table
+from larkspur.sources import json_loader
 from larkspur.streaming.runs import shared_folder
 
 # vector index
@@ -105,3 +106,87 @@ def hybrid_fulltext(spark, folder):
     asked = _asked(spark, folder).select("query_id").join(vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), "query_id")
     near = vector_index.exact(asked, vectors.select("vec_id", "embedding"), 20).select("query_id", F.col("vec_id").alias("doc_id"), "rank")
     return search.fuse_each([near, _lexical(spark, folder, 20).select("query_id", "doc_id", "rank")], "query_id", "doc_id", 10)
+
+
+@query(f"SELECT vec_id, label, round(1 - list_cosine_similarity({_E}, {_Q}), 9) AS distance FROM embeddings WHERE label IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0) ORDER BY 1 - list_cosine_similarity({_E}, {_Q}), vec_id LIMIT 10")
+def search_in_sources(spark, folder):
+    """The nearest vectors of a list of sources (labels), which a table gives."""
+    sources = table(spark, folder, "nation").filter("n_regionkey = 0").select(F.col("n_nationkey").alias("source_id"))
+    found = search.top_k(search.of_sources(table(spark, folder, "embeddings"), sources, "label"), first_vector(spark, folder))
+    return found.select("vec_id", "label", F.round("distance", 9).alias("distance"))
+
+
+# JSON
+
+
+def _customers(spark, folder):
+    """Each customer as a JSON value with its orders."""
+    own = table(spark, folder, "orders").select("o_custkey", F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), F.struct(F.col("o_orderpriority").alias("a/b"), F.lit("").alias("none")).alias("meta")).alias("o"))
+    listed = own.groupBy("o_custkey").agg(F.array_sort(F.collect_list("o")).alias("orders"))
+    joined = table(spark, folder, "customer").join(listed, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return joined.select("c_custkey", F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.coalesce("orders", F.array()).alias("orders"))).alias("json"))
+
+
+_NUMBERED = "o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders JOIN customer ON c_custkey = o_custkey)"
+
+
+@query(f"""
+WITH {_NUMBERED}
+SELECT c_custkey, '/name' AS pointer, c_name AS text, c_name AS who FROM customer UNION ALL SELECT o_custkey, '/orders/' || i || '/status', o_orderstatus, c_name FROM o UNION ALL SELECT o_custkey, '/orders/' || i || '/meta/a~1b', o_orderpriority, c_name FROM o
+""")
+def json_all_strings(spark, folder):
+    """Every string of a nested value is a document; pointers of other metadata are ignored."""
+    docs = json_loader.json_strings(_customers(spark, folder), "json", given={"who": "/name", "bad": "name", "left": "/balance"}, omit=["left"])
+    return docs.select("c_custkey", "pointer", "text", F.col("metadata")["who"].alias("who"))
+
+
+@query(f"WITH {_NUMBERED} SELECT o_custkey AS c_custkey, '/orders/' || i || '/meta/a~1b' AS pointer, o_orderpriority AS text, 0 AS n_metadata FROM o UNION ALL SELECT c_custkey, '/name', c_name, 0 FROM customer")
+def json_pointers(spark, folder):
+    """Strings at or below pointers, from any level."""
+    docs = json_loader.json_strings(_customers(spark, folder), "json", ["/meta", "/name", "status"], {"who": "/name"}, ["*"])
+    return docs.select("c_custkey", "pointer", "text", F.size("metadata").alias("n_metadata"))
+
+
+@query("SELECT o_custkey, count(*) AS n, max(o_orderstatus) AS last_status, CAST(sum(length('{\"k\":' || o_orderkey || ',\"status\":\"' || o_orderstatus || '\"}')) AS BIGINT) AS chars FROM orders GROUP BY 1")
+def json_by_object(spark, folder):
+    """One document for each object of an array."""
+    listed = table(spark, folder, "orders").groupBy("o_custkey").agg(F.to_json(F.collect_list(F.struct(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status")))).alias("json"))
+    docs = json_loader.json_objects(listed, "json", {"status": "/status", "none": "/orders/0"})
+    return docs.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("metadata")["status"]).alias("last_status"), F.sum(F.length("text")).alias("chars"))
+
+
+def _described(spark, folder):
+    """Orders with JSON metadata: a key that is a number for some and a text for others, one with a dot, a nested object, a list, and one that is null for some and missing for others."""
+    n = F.col("o_orderkey")
+    text = F.concat(
+        F.lit('{"user_id":'), F.when(n % 2 == 0, F.col("o_custkey").cast("string")).otherwise(F.concat(F.lit('"'), F.col("o_custkey").cast("string"), F.lit('"'))), F.lit(',"a.b":"'), F.col("o_orderstatus"),
+        F.lit('","deep":{"priority":"'), F.col("o_orderpriority"), F.lit('","flag":'), (n % 3 == 0).cast("string"), F.lit('},"tags":["'), F.col("o_orderstatus"), F.lit('",'), (n % 5).cast("string"), F.lit("]"),
+        F.when(n % 4 == 0, ',"chat_id":null').when(n % 4 == 1, ',"chat_id":"c"').otherwise(""), F.lit("}"),
+    )
+    return table(spark, folder, "orders").select("o_orderkey", text.alias("metadata"))
+
+
+#: Filters, and what each means in SQL.
+_FILTERS = {
+    "number": ({"user_id": 5}, "o_custkey = 5 AND o_orderkey % 2 = 0"),
+    "text": ({"user_id": "5"}, "o_custkey = 5 AND o_orderkey % 2 = 1"),
+    "dotted": ({"a.b": "F"}, "o_orderstatus = 'F'"),
+    "nested": ({"deep": {"flag": True, "priority": "1-URGENT"}}, "o_orderkey % 3 = 0 AND o_orderpriority = '1-URGENT'"),
+    "any_of": ({"tags": [3, "O"]}, "o_orderkey % 5 = 3 AND o_orderstatus = 'O'"),
+    "null": ({"chat_id": None}, "o_orderkey % 4 = 0"),
+    "wrong_kind": ({"deep": {"flag": "true"}}, "false"),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS filter, o_orderkey FROM orders WHERE {sql}" for name, (_, sql) in _FILTERS.items()) + " UNION ALL SELECT 'absent', o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 4 NOT IN (0, 1) OR o_custkey = 5 AND o_orderkey % 2 = 0")
+def metadata_containment(spark, folder):
+    """Orders whose metadata contain each of some filters, and those of one filter without a key or with another."""
+    path = shared_folder(spark)
+    metadata.shredded(_described(spark, folder), "metadata", {"user_id": "bigint"}).write.parquet(path)
+    rows = spark.read.parquet(path)
+    found = [metadata.filtered(rows, "metadata", wanted, {"user_id": "bigint"}).select(F.lit(name).alias("filter"), "o_orderkey") for name, (wanted, _) in _FILTERS.items()]
+    found.append(metadata.filtered(rows, "metadata", {"a.b": "O"}, {}, {"user_id": 5}, "chat_id").select(F.lit("absent").alias("filter"), "o_orderkey"))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionAll(f)
+    return out
