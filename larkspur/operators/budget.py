@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +55,46 @@ def first_breaches(events: DataFrame, category: str, ts: str, amount: str, key:
     return found.select("category", "day", F.col("place.key").alias(key), F.col("place.at").alias("at"))
 
 
+def alert_text(category: Column, spent: Column, cap: Column, day: Column, labels: dict[str, str] | None = None) -> Column:
+    """What an alert says: the category by its label, what was spent (to four places), the cap, by how much it is over, and when the counter starts again."""
+    pairs = [F.lit(x) for p in (labels or {}).items() for x in p]
+    label = F.coalesce(F.try_element_at(F.create_map(*pairs), category), category) if pairs else category
+    number = lambda c: F.regexp_replace(c.cast("decimal(20,4)").cast("string"), r"\.?0+$", "")
+    over = F.floor((spent - cap) / cap * 100 + 0.5).cast("string")
+    resets = F.date_format(F.date_add(F.to_date(day, "yyyyMMdd"), 1), "yyyy-MM-dd")
+    return F.concat(
+        F.lit("<b>Budget exceeded</b>\n\n<b>Category:</b> "), label, F.lit("\n<b>Spent:</b> $"), number(F.floor(spent * 10000 + 0.5) / 10000), F.lit(" (cap $"), number(cap), F.lit(", +"), over, F.lit("%)\n<b>Resets:</b> "),
+        resets, F.lit("T00:00:00.000Z"),
+    )
+
+
+def first_hit(events: DataFrame, tracker: str, ts: str, key: str, limit: int, seconds: int) -> DataFrame:
+    """events with index, allowed and opened: a window opens at a tracker's first request outside of one and is over after some seconds.
+
+    A tracker's requests are gone through in order of ts and key as a sorted stream, with one window held at a time.
+    """
+    names = events.columns
+    at = "_at"
+    rows = events.withColumn(at, F.unix_micros(F.col(ts).cast("timestamp"))).filter(F.col(at).isNotNull()).repartition(tracker).sortWithinPartitions(tracker, at, key)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields) + ", index bigint, allowed boolean, opened bigint"
+    width, own, place = seconds * 1_000_000, names.index(tracker), len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, opened, hits = object(), 0, 0
+        for batch in batches:
+            index, starts = [], []
+            for who, when in zip(batch.column(own).to_pylist(), batch.column(place).to_pylist()):
+                if who != last or when >= opened + width:
+                    last, opened, hits = who, when, 0
+                hits += 1
+                index.append(hits)
+                starts.append(opened)
+            added = [pa.array(index, pa.int64()), pa.array([n <= limit for n in index], pa.bool_()), pa.array(starts, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:place], *added], names=[*names, "index", "allowed", "opened"])
+
+    return rows.mapInArrow(run, schema)
+
+
 def throttled(events: DataFrame, tracker: str, ts: str, key: str, limit: int, width: str = "minute") -> DataFrame:
     """events with their index in their tracker's window of a minute, and whether they are let through."""
     own = Window.partitionBy(tracker, F.date_trunc(width, F.col(ts))).orderBy(ts, key)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larkspur.operators import fulltext, metadata, search, vector_index
+from larkspur.operators import budget, fulltext, metadata, search, vector_index
 from larkspur.plans.catalogue import _E, _Q, first_vector, query, table
 from larkspur.sources import json_loader
-from larkspur.streaming.runs import shared_folder
+from larkspur.streaming.runs import shared_folder, stream_alerts, stream_limits
 
 # vector index
 
@@ -190,3 +190,53 @@ def metadata_containment(spark, folder):
     for f in found[1:]:
         out = out.unionAll(f)
     return out
+
+
+# limits and alerts
+
+
+def _windows(keys: str, seconds: int) -> str:
+    """Windows that a first request opens, found one after another for all keys at once."""
+    return f"""
+WITH RECURSIVE e AS (SELECT *, epoch_us(ts) AS t FROM events),
+o AS (
+  SELECT {keys}, min(t) AS opened FROM e GROUP BY {keys}
+  UNION ALL SELECT {keys}, min(t) FROM o JOIN e USING ({keys}) WHERE t >= opened + {seconds}000000 GROUP BY {keys}
+),
+placed AS (SELECT e.*, opened FROM e ASOF JOIN o ON {" AND ".join(f"e.{k.strip()} = o.{k.strip()}" for k in keys.split(","))} AND e.t >= o.opened),
+counted AS (SELECT *, row_number() OVER (PARTITION BY {keys}, opened ORDER BY t, event_id) AS i FROM placed),
+passed AS (SELECT (max(t) - 3600000000) // 1000 * 1000 AS watermark FROM e)
+"""
+
+
+@query(_windows("user_id", 86400) + " SELECT event_id, i AS index, i <= 2 AS allowed, opened FROM counted")
+def throttle_first_hit(spark, folder):
+    """A user's window of a day opens at the first event outside of one; two events are let through in each."""
+    return budget.first_hit(table(spark, folder, "events"), "user_id", "ts", "event_id", 2, 86400).select("event_id", "index", "allowed", "opened")
+
+
+@query(_windows("user_id, event_type", 172800) + """
+SELECT CAST(user_id AS VARCHAR) AS tracker, event_type AS route, CAST(event_id AS VARCHAR) AS id, i AS index, i <= CASE event_type WHEN 'click' THEN 1 ELSE 2 END AS allowed,
+       CASE WHEN i > CASE event_type WHEN 'click' THEN 1 ELSE 2 END THEN CAST(-floor((t - opened - 172800000000) / 1000000.0) AS BIGINT) END AS retry_after FROM counted, passed WHERE t < watermark
+""")
+def limits_stream(spark, folder):
+    """Decisions on each request by windows of each user and route, worked off as a stream; requests that the watermark has not passed wait."""
+    return stream_limits(spark, folder, {"click": 1}, 2, 172800)
+
+
+_CHATS = ["100", "200"]
+
+
+@query("""
+WITH p AS (SELECT to_timestamp(((max(epoch_us(ts)) - 3600000000) // 1000 * 1000) / 1e6)::TIMESTAMP AS w, (max(epoch_us(ts)) - 3600000000) // 1000 * 1000 AS us FROM events),
+r AS (SELECT event_type AS category, strftime(ts, '%Y%m%d') AS day, ts, event_id, coalesce(sum(CAST(value AS DECIMAL(18,8))) OVER (PARTITION BY event_type, strftime(ts, '%Y%m%d') ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM events),
+f AS (SELECT category, day, arg_min(CAST(before AS DOUBLE), (ts, event_id)) AS spent FROM r, p WHERE before >= 300 AND epoch_us(ts) < us GROUP BY 1, 2)
+SELECT category, day, chat_id, '<b>Budget exceeded</b>' || chr(10) || chr(10) || '<b>Category:</b> ' || CASE category WHEN 'click' THEN 'Clicks' ELSE category END || chr(10)
+       || '<b>Spent:</b> $' || regexp_replace(CAST(CAST(floor(spent * 10000 + 0.5) / 10000 AS DECIMAL(20,4)) AS VARCHAR), '\\.?0+$', '') || ' (cap $300, +' || CAST(floor((spent - 300) / 300 * 100 + 0.5) AS BIGINT) || '%)' || chr(10)
+       || '<b>Resets:</b> ' || strftime(strptime(day, '%Y%m%d') + INTERVAL 1 DAY, '%Y-%m-%d') || 'T00:00:00.000Z' AS text
+FROM f, (VALUES ('100'), ('200')) c(chat_id)
+""")
+def alerts_stream(spark, folder):
+    """A message to each chat at the first event of a day and category that comes with the budget spent, worked off as a stream."""
+    caps = {k: 300.0 for k in ("view", "signup", "click", "error", "purchase")}
+    return stream_alerts(spark, folder, caps, _CHATS, {"click": "Clicks"})
