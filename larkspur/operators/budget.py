@@ -16,11 +16,11 @@ def daily_spend(events: DataFrame, category: str, ts: str, amount: str) -> DataF
 
 
 #: A number at the start of a text.
-_NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
+_NUMBER = r"^\s*([+-]?(?:Infinity|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?))"
 
 
 def spent_number(spent: Column) -> Column:
-    """The number that a counter's text begins with, 0 if there is none: 5abc is 5, and NaN and null are 0."""
+    """The number that a counter's text begins with, 0 if there is none: 5abc is 5, Infinity is that, and NaN and null are 0."""
     return F.coalesce(F.nullif(F.regexp_extract(spent, _NUMBER, 1), F.lit("")).try_cast("double"), F.lit(0.0))
 
 

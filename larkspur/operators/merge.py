@@ -20,12 +20,13 @@ def stable_hash(fields: dict[str, Column], arrays: tuple[str, ...] = ()) -> Colu
     return F.sha2(F.to_json(F.struct(*(c.alias(k) for k, c in sorted(sorted_.items()))), {"ignoreNullFields": "false"}), 256)
 
 
-def delta(stored: DataFrame, incoming: DataFrame, source: str = "source_id", digest: str = "hash") -> DataFrame:
+def delta(stored: DataFrame, incoming: DataFrame, source: str = "source_id", digest: str = "hash", touched: DataFrame | None = None) -> DataFrame:
     """(source, digest, change) with change added, skipped or deleted.
 
-    Chunks are deleted only of sources that come in again; others stay untouched and are not in the result.
+    Chunks are deleted only of sources that come in again; others stay untouched and are not in the result. Sources that come in without any chunk are
+    in touched, if that is given.
     """
-    touched = incoming.select(source).distinct()
+    touched = (incoming if touched is None else touched).select(source).distinct()
     old = stored.select(source, digest).distinct().join(touched, source, "left_semi").withColumn("old", F.lit(True))
     new = incoming.select(source, digest).distinct().withColumn("new", F.lit(True))
     both = old.join(new, [source, digest], "full")
@@ -50,9 +51,9 @@ def loaders_to_delete(gone: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     return gone.filter(F.coalesce(F.col(doc_id), F.lit("")) != "")
 
 
-def apply_delta(stored: DataFrame, incoming: DataFrame, source: str = "source_id", digest: str = "hash") -> DataFrame:
-    """The new version of the stored chunks."""
-    touched = incoming.select(source).distinct()
+def apply_delta(stored: DataFrame, incoming: DataFrame, source: str = "source_id", digest: str = "hash", touched: DataFrame | None = None) -> DataFrame:
+    """The new version of the stored chunks; touched as for delta()."""
+    touched = (incoming if touched is None else touched).select(source).distinct()
     kept = stored.join(touched, source, "left_anti").unionByName(stored.join(incoming.select(source, digest).distinct(), [source, digest], "left_semi"))
     added = incoming.join(stored.select(source, digest).distinct(), [source, digest], "left_anti").dropDuplicates([source, digest])
     return kept.unionByName(added)

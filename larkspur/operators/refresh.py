@@ -52,23 +52,29 @@ class Refreshed:
     counters: DataFrame  # one row: upserted, skipped, removed, failed
 
 
-def merge_items(items: DataFrame, mapping: DataFrame, stored: DataFrame, sync_mode: str = "full", legacy_sweep: bool = False) -> Refreshed:
+def merge_items(items: DataFrame, mapping: DataFrame, stored: DataFrame, sync_mode: str = "full", legacy_sweep: bool = False, undeleted: DataFrame | None = None) -> Refreshed:
     """items: external_id, pos, content, visual_description; mapping: external_id, doc_id; stored: the chunk table.
 
-    New items get a document id from their own; chunks are compared by their hash; chunks of removed items go with them.
+    Of several items of one id the last by pos is taken. New items get a document id from their own; chunks are compared by their hash; an item
+    that has become empty loses its chunks; chunks of removed items go with them, but for those whose deletion failed (undeleted: doc_id), which are not counted as removed.
     """
+    whole_row = F.struct(*items.columns)
+    items = items.groupBy("external_id").agg(F.max_by(whole_row, F.struct("pos", *(c for c in ("content", "visual_description") if c in items.columns))).alias("_last")).select("_last.*")
     known = items.join(mapping.select("external_id", F.col("doc_id").alias("_known")), "external_id", "left")
     named = known.withColumn("doc_id", F.coalesce("_known", F.concat(F.lit("doc-"), F.substring(F.sha2(F.col("external_id").cast("string"), 256), 1, 16)))).drop("_known")
     whole = named.withColumn("content", augmented(F.col("content"), F.col("visual_description"), LABEL))
     parts = chunks.fixed_windows(whole, "external_id", "content").join(whole.select("external_id", "doc_id"), "external_id")
     incoming = parts.select(F.col("external_id").alias("source_id"), "doc_id", "chunk_no", "chunk").withColumn("hash", merge.content_hash("chunk", "doc_id"))
-    counts = merge.delta(stored, incoming).groupBy(F.col("source_id").alias("external_id")).agg(*(F.count_if(F.col("change") == c).alias(f"num_{c}") for c in ("added", "skipped", "deleted")))
+    touched = named.select(F.col("external_id").alias("source_id"))
+    counts = merge.delta(stored, incoming, touched=touched).groupBy(F.col("source_id").alias("external_id")).agg(*(F.count_if(F.col("change") == c).alias(f"num_{c}") for c in ("added", "skipped", "deleted")))
     zero = {f"num_{c}": F.coalesce(F.col(f"num_{c}"), F.lit(0)) for c in ("added", "skipped", "deleted")}
     outcomes = named.select("external_id", "doc_id").join(counts, "external_id", "left").withColumns(zero)
     outcomes = outcomes.withColumn("outcome", merge.outcome(F.col("doc_id"), F.col("num_added"), F.lit(0), F.col("num_skipped")))
     gone = merge.removed(mapping, items, sync_mode=sync_mode, legacy_sweep=legacy_sweep)
     swept = merge.loaders_to_delete(gone)
-    kept = merge.apply_delta(stored, incoming).join(swept.select(F.col("external_id").alias("source_id")), "source_id", "left_anti")
+    if undeleted is not None:
+        swept = swept.join(undeleted.select("doc_id"), "doc_id", "left_anti").select("external_id", "doc_id")
+    kept = merge.apply_delta(stored, incoming, touched=touched).join(swept.select(F.col("external_id").alias("source_id")), "source_id", "left_anti")
     next_mapping = merge.upsert_mapping(mapping, named.filter(F.col("doc_id") != "").select("external_id", "doc_id", "pos"), gone)
     kinds = outcomes.select(F.col("outcome").alias("kind")).unionByName(swept.select(F.lit("removed").alias("kind")))
     return Refreshed(outcomes, next_mapping, kept, gone, merge.refresh_counters(kinds))
@@ -80,9 +86,24 @@ def recovered_mapping(mapping: DataFrame, loaders: DataFrame) -> DataFrame:
     return mapping.unionByName(loaders.select("external_id", "doc_id").crossJoin(F.broadcast(empty)).filter("_empty").drop("_empty"))
 
 
-def recovered_descriptions(stored: DataFrame, hashes: DataFrame) -> DataFrame:
-    """(external_id, image_hash, visual_description) read back from chunk texts, for items whose images (external_id, image_hash) are known."""
-    found = F.regexp_extract("chunk", rf"(?s)\n\n{LABEL}: (.*)$", 1)
-    texts = stored.withColumn("visual_description", found).filter(F.col("visual_description") != "")
-    last = texts.groupBy(F.col("source_id").alias("external_id")).agg(F.max_by("visual_description", "chunk_no").alias("visual_description"))
-    return last.join(hashes, "external_id").select("external_id", "image_hash", "visual_description")
+def recovered_texts(stored: DataFrame, overlap: int = chunks.OVERLAP) -> DataFrame:
+    """(source_id, text): chunks (source_id, chunk_no, chunk) put together again, each without what it repeats of the one before.
+
+    What is repeated is the longest beginning, of overlap characters at most, that the text so far ends in. A source's chunks are as long as its text.
+    """
+    parts = stored.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "chunk"))).alias("parts"))
+    longest = lambda text, part: F.coalesce(F.get(F.filter(F.sequence(F.lit(overlap), F.lit(1), F.lit(-1)), lambda n: F.endswith(text, F.left(part, n)) & (F.length(part) >= n)), F.lit(0)), F.lit(0))
+    # windows of fixed size repeat overlap characters, which is looked for first
+    repeated = lambda text, part: F.when(F.endswith(text, F.left(part, F.lit(overlap))) & (F.length(part) >= overlap), overlap).otherwise(longest(text, part))
+    joined = F.aggregate("parts", F.lit("").cast("string"), lambda text, p: F.when(text == "", p["chunk"]).otherwise(F.concat(text, F.substring(p["chunk"], repeated(F.right(text, F.lit(overlap)), p["chunk"]) + 1, F.length(p["chunk"])))))
+    return parts.select("source_id", joined.alias("text"))
+
+
+def recovered_descriptions(stored: DataFrame, hashes: DataFrame, overlap: int = chunks.OVERLAP) -> DataFrame:
+    """(external_id, image_hash, visual_description) read back from chunk texts, for items whose images (external_id, image_hash) are known.
+
+    Chunks are put together first, as a description, or its label, may be cut between them.
+    """
+    whole = recovered_texts(stored.join(hashes.select(F.col("external_id").alias("source_id")).distinct(), "source_id", "left_semi"), overlap)
+    found = whole.select(F.col("source_id").alias("external_id"), F.regexp_extract("text", rf"(?s)^.*\n\n{LABEL}: (.*)$", 1).alias("visual_description")).filter("visual_description <> ''")
+    return found.join(hashes, "external_id").select("external_id", "image_hash", "visual_description")

@@ -54,9 +54,9 @@ def page(rows: DataFrame, newest: str, key: str, number: int = 1, size: int = DE
 
 
 def page_with_total(rows: DataFrame, newest: str, key: str, number: int = 1, size: int = DEFAULT_PAGE) -> DataFrame:
-    """A page with the number of all rows in ``total``; the rows are read once, with partial counts before the shuffle, if the caller has them cached."""
+    """A page with the number of all rows in ``total``, counted by a scan of its own that reads only the columns of the filter."""
     total = rows.agg(F.count(F.lit(1)).alias("total"))
-    return page(rows, newest, key, number, size).crossJoin(F.broadcast(total))
+    return page(rows, newest, key, number, size).crossJoin(F.broadcast(total))  # one row
 
 
 def text_source(rows: DataFrame, now: Column) -> DataFrame:
@@ -126,8 +126,8 @@ def listing(rows: DataFrame, order: str, key: str, descending: bool = False, lim
 
 
 def last_each(rows: DataFrame, session: str, order: str, k: int) -> DataFrame:
-    """The last k rows of each session."""
-    own = Window.partitionBy(session).orderBy(F.desc(order))
+    """The last k rows of each session; of rows of equal order those whose whole content is greatest."""
+    own = Window.partitionBy(session).orderBy(F.desc(order), F.desc(F.struct(*(c for c in sorted(rows.columns) if c not in (session, order)))))
     return rows.withColumn("_r", F.row_number().over(own)).filter(F.col("_r") <= k).drop("_r")
 
 

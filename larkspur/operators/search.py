@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.functions.variants import Json
 from larkspur.functions.vectors import DISTANCES
+from larkspur.operators.metadata import holds
 
 #: Metadata that a result may show, weights of the signals, and the constant of reciprocal ranks.
 SHOWN = ["externalId", "externalType", "externalSource", "categoryPath", "name", "description", "salePriceKopecks", "rangForApp"]
@@ -67,17 +69,9 @@ def of_sources(chunks: DataFrame, sources: DataFrame, source: str = "source_id")
     return chunks if none else chunks.join(sources.select(F.col("source_id").alias("_source")).distinct(), F.col(source) == F.col("_source"), "left_semi")
 
 
-def metadata_filter(metadata: Column, contains: dict[str, str], also: dict[str, str] | None = None, absent: str = "FLOWISE_CHATID") -> Column:
-    """JSON metadata holds all of ``contains`` and not the key ``absent``, or holds all of ``also``."""
-
-    def holds(pairs: dict[str, str]) -> Column:
-        out = F.lit(True)
-        for k, v in pairs.items():
-            out = out & (F.get_json_object(metadata, f"$.{k}").eqNullSafe(F.lit(v)))
-        return out
-
-    first = holds(contains) & F.get_json_object(metadata, f"$.{absent}").isNull()
-    return first if also is None else first | holds(also)
+def metadata_filter(metadata: Column, contains: Mapping[str, Json], also: Mapping[str, Json] | None = None, absent: str | None = None) -> Column:
+    """JSON metadata (text) contain ``contains`` and do not have the key ``absent``, or contain ``also``."""
+    return holds(F.try_parse_json(metadata), contains, also, absent)
 
 
 def shown(metadata: Column) -> Column:
@@ -86,8 +80,9 @@ def shown(metadata: Column) -> Column:
 
 
 def hybrid(found: DataFrame, rank: str, category: str, wanted: str | None, k: int) -> DataFrame:
-    """Results (with distance) ranked again by similarity, an item's own rank and its category. The highest rank is one row, which is joined to all."""
-    found = found.crossJoin(F.broadcast(found.agg(F.max(rank).alias("_top"))))
+    """Results (with distance), a bounded number of them, ranked again by similarity, an item's own rank and its category."""
+    # one window over a top-k, so that its plan is worked out once
+    found = found.withColumn("_top", F.max(rank).over(Window.partitionBy(F.lit(0))))
     top = F.col("_top")
     vector_score = 1 - F.col("distance")
     rank_score = F.coalesce(F.try_divide(F.col(rank).cast("double"), top.cast("double")), F.lit(0.0))

@@ -87,12 +87,6 @@ def vector_topk_per_query(spark, folder):
     return search.top_k_each(_hundredths(vectors), vectors, 5).select("query_id", "vec_id", F.round("distance", 9).alias("distance"), "rank")
 
 
-@query(_EACH)
-def vector_topk_hundredths(spark, folder):
-    """vector_topk_per_query under its former name."""
-    return vector_topk_per_query(spark, folder)
-
-
 @query(f"""
 WITH t AS (SELECT vec_id, 1 - list_cosine_similarity({_E}, {_Q}) AS d FROM embeddings ORDER BY d, vec_id LIMIT 10)
 SELECT vec_id, round(d, 9) AS distance, substr(text, 1, 80) AS preview, lang FROM t JOIN documents ON doc_id = vec_id
@@ -153,12 +147,6 @@ def enrich_related(spark, folder):
     return lines.groupBy("o_orderkey").agg(F.array_sort(F.collect_set(F.concat_ws(" ", F.lpad(F.col("l_partkey").cast("string"), 12, "0"), "p_name"))).alias("related"))
 
 
-@query(_RELATED)
-def enrich_related_all(spark, folder):
-    """enrich_related under its former name."""
-    return enrich_related(spark, folder)
-
-
 _RECALL = f"""
 WITH q AS (SELECT vec_id AS q, {_E} AS query FROM embeddings WHERE vec_id % 100 = 0 AND embedding IS NOT NULL),
 s AS (SELECT q, vec_id, row_number() OVER (PARTITION BY q ORDER BY 1 - list_cosine_similarity({_E}, query), vec_id) AS r FROM embeddings, q WHERE embedding IS NOT NULL AND vec_id <> q)
@@ -176,12 +164,6 @@ def retrieval_recall(spark, folder):
     return named.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("a") == F.col("b")).cast("double")).alias("recall"))
 
 
-@query(_RECALL)
-def retrieval_recall_hundredths(spark, folder):
-    """retrieval_recall under its former name."""
-    return retrieval_recall(spark, folder)
-
-
 # registries
 
 
@@ -472,12 +454,6 @@ def redact_secrets(spark, folder):
     return table(spark, folder, "documents").select("doc_id", text.cut_error(text.redact(error)).alias("error"))
 
 
-@query(_REDACTED)
-def redact_secrets_whole(spark, folder):
-    """redact_secrets under its former name."""
-    return redact_secrets(spark, folder)
-
-
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN props ELSE trim(props) END AS stripped FROM events")
 def strip_fence(spark, folder):
     fence = "```"
@@ -528,7 +504,7 @@ def approx_tokens_cost(spark, folder):
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_extract(props, '$.k') IS NOT NULL AND CAST(json_extract(props, '$.k') AS BIGINT) = 7 AS matches FROM events")
 def json_extract(spark, folder):
     docs = objects.json_documents(table(spark, folder, "events"), "props", "/k")
-    return docs.select("event_id", F.col("text").cast("bigint").alias("k"), search.metadata_filter(F.col("props"), {"k": "7"}).alias("matches"))
+    return docs.select("event_id", F.col("text").cast("bigint").alias("k"), search.metadata_filter(F.col("props"), {"k": 7}).alias("matches"))
 
 
 # spend and rates
@@ -636,7 +612,7 @@ WITH req AS (
 vision AS (SELECT doc_id, bool_and(quality = 1) AS rel FROM labels GROUP BY doc_id),
 judged AS (
   SELECT req.*, n_images > 0 AND NOT coalesce(doc_id % 400 = 0, false) AS fresh, concat_ws(' ', query, CASE WHEN n_images > 0 AND doc_id IS NOT NULL THEN 'seen' END) AS asked,
-         CASE WHEN query IS NULL AND n_images = 0 THEN 'no input' WHEN query IS NOT NULL AND NOT length(query) BETWEEN 1 AND 500 THEN 'query length' WHEN n_images > 0 AND NOT coalesce(rel, false) THEN 'not relevant' END AS problem
+         CASE WHEN query IS NULL AND n_images = 0 THEN 'no input' WHEN query IS NOT NULL AND NOT length(query) BETWEEN 1 AND 500 THEN 'query length' WHEN n_images > 0 AND doc_id IS NULL THEN 'not understood' WHEN n_images > 0 AND NOT coalesce(rel, false) THEN 'not relevant' END AS problem
   FROM req LEFT JOIN vision ON doc_id = request_id
 )
 """
@@ -708,7 +684,7 @@ def remembered_results(spark, folder):
 _WINDOWS = "unnest(range(0, CAST(greatest(0, floor((greatest(length(content) - 200, 1) - 1) / 800)) AS BIGINT) + 1))"
 _RUN_TABLES = f"""
 WITH items AS (
-  SELECT doc_id AS external_id, CASE WHEN doc_id % 7 = 0 THEN text || ' changed' ELSE text END || CASE WHEN doc_id % 11 = 0 THEN chr(10) || chr(10) || 'Visual description: seen' ELSE '' END AS content FROM documents WHERE doc_id % 13 <> 0
+  SELECT doc_id AS external_id, CASE WHEN doc_id % 19 = 0 THEN '' ELSE CASE WHEN doc_id % 7 = 0 THEN text || ' changed' ELSE text END || CASE WHEN doc_id % 11 = 0 THEN chr(10) || chr(10) || 'Visual description: seen' ELSE '' END END AS content FROM documents WHERE doc_id % 13 <> 0
 ),
 mapping AS (SELECT doc_id AS external_id, CASE WHEN doc_id % 17 = 0 THEN '' ELSE 'd' || doc_id END AS doc_id FROM documents WHERE doc_id % 5 <> 0),
 named AS (SELECT i.*, coalesce(m.doc_id, 'doc-' || substr(sha256(CAST(external_id AS VARCHAR)), 1, 16)) AS doc_id FROM items i LEFT JOIN mapping m USING (external_id)),
@@ -720,7 +696,7 @@ ih AS (SELECT *, sha256(length(chunk) || ':' || chunk || length(doc_id) || ':' |
 sh AS (SELECT *, sha256(length(chunk) || ':' || chunk || length(doc_id) || ':' || doc_id) AS hash FROM stored),
 j AS (
   SELECT coalesce(o.source_id, n.source_id) AS source_id, o.hash AS oh, n.hash AS nh
-  FROM (SELECT DISTINCT source_id, hash FROM sh WHERE source_id IN (SELECT source_id FROM ih)) o FULL JOIN (SELECT DISTINCT source_id, hash FROM ih) n ON o.source_id = n.source_id AND o.hash = n.hash
+  FROM (SELECT DISTINCT source_id, hash FROM sh WHERE source_id IN (SELECT external_id FROM items)) o FULL JOIN (SELECT DISTINCT source_id, hash FROM ih) n ON o.source_id = n.source_id AND o.hash = n.hash
 ),
 c AS (SELECT source_id, count(*) FILTER (oh IS NULL) AS a, count(*) FILTER (oh IS NOT NULL AND nh IS NOT NULL) AS s, count(*) FILTER (nh IS NULL) AS d FROM j GROUP BY 1),
 outcomes AS (
@@ -733,10 +709,12 @@ gone AS (SELECT * FROM mapping WHERE external_id NOT IN (SELECT external_id FROM
 
 
 def _refreshed(spark, folder):
-    """A snapshot without every thirteenth document, in which every seventh has changed, against what was stored of four fifths of them."""
+    """A snapshot without every thirteenth document, in which every seventh has changed, every nineteenth has become empty and every twenty-third
+    stands twice, against what was stored of four fifths of them."""
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("external_id"), "text")
     n = F.col("external_id")
-    items = docs.filter(n % 13 != 0).select("external_id", n.alias("pos"), F.when(n % 7 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text")).alias("content"), F.when(n % 11 == 0, "seen").alias("visual_description"))
+    items = docs.filter(n % 13 != 0).select("external_id", n.alias("pos"), F.when(n % 19 == 0, "").when(n % 7 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text")).alias("content"), F.when((n % 11 == 0) & (n % 19 != 0), "seen").alias("visual_description"))
+    items = items.unionByName(items.filter(n % 23 == 0).withColumns({"pos": F.lit(-1).cast("bigint"), "content": F.concat(F.lit("old "), F.coalesce("content", F.lit("")))}))
     before = docs.filter(n % 5 != 0).withColumn("doc_id", F.concat(F.lit("d"), n.cast("string")))
     mapping = before.select("external_id", F.when(n % 17 == 0, "").otherwise(F.col("doc_id")).alias("doc_id"))
     parts = chunks.fixed_windows(before, "external_id", "text").join(before.select("external_id", "doc_id"), "external_id")
@@ -755,7 +733,7 @@ def refresh_mapping(spark, folder):
 
 
 @query(_RUN_TABLES + """
-, touched AS (SELECT DISTINCT source_id FROM ih),
+, touched AS (SELECT external_id FROM items),
 kept AS (SELECT * FROM sh WHERE source_id NOT IN (FROM touched) UNION ALL SELECT sh.* FROM sh SEMI JOIN ih ON sh.source_id = ih.source_id AND sh.hash = ih.hash),
 new AS (SELECT source_id, hash, min(chunk_no) AS chunk_no FROM ih WHERE NOT EXISTS (SELECT 1 FROM sh WHERE sh.source_id = ih.source_id AND sh.hash = ih.hash) GROUP BY 1, 2)
 SELECT source_id, count(*) AS n, count(DISTINCT hash) AS n_distinct FROM (SELECT source_id, hash FROM kept UNION ALL SELECT source_id, hash FROM new)
@@ -792,22 +770,25 @@ def mapping_recovery(spark, folder):
     return refresh.recovered_mapping(loaders.limit(0), loaders)
 
 
-@query("SELECT doc_id AS external_id, 'h' || doc_id AS image_hash, 'seen ' || doc_id AS visual_description FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id AS external_id, 'h' || doc_id AS image_hash, 'seen ' || doc_id || left(regexp_replace(text, '\\s', '_', 'g'), 450) AS visual_description FROM documents WHERE text IS NOT NULL")
 def description_recovery(spark, folder):
+    """Descriptions that follow whole texts, in the chunks that these were cut into."""
     docs = table(spark, folder, "documents").filter("text is not null")
     name = F.col("doc_id").cast("string")
-    stored = docs.select(F.col("doc_id").alias("source_id"), F.lit(1).alias("chunk_no"), F.concat("text", F.lit(f"\n\n{refresh.LABEL}: seen "), name).alias("chunk"))
+    whole = docs.select(F.col("doc_id").alias("source_id"), F.concat("text", F.lit(f"\n\n{refresh.LABEL}: seen "), name, F.substring(F.regexp_replace("text", r"\s", "_"), 1, 450)).alias("content"))
+    stored = chunks.fixed_windows(whole, "source_id", "content")
     return refresh.recovered_descriptions(stored, docs.select(F.col("doc_id").alias("external_id"), F.concat(F.lit("h"), name).alias("image_hash")))
 
 
 # registered rows
 
 
-@query("SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN false WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN true ELSE false END AS blocked FROM orders")
+@query("SELECT o_orderkey AS id, CASE o_orderkey % 7 WHEN 1 THEN o_custkey >= 5 WHEN 3 THEN true WHEN 4 THEN o_totalprice >= 5 WHEN 5 THEN true ELSE false END AS blocked FROM orders")
 def budget_garbage(spark, folder):
-    """Counters that are no plain numbers: NaN allows, and a text counts as the number that it begins with."""
-    n = F.col("o_orderkey") % 5
-    spent = F.when(n == 0, "NaN").when(n == 1, "5abc").when(n == 2, "abc5").when(n == 3, " 7.25e0 usd").otherwise("-6")
+    """Counters that are no plain numbers: NaN allows, Infinity does not, and a text counts as the number that it begins with."""
+    n = F.col("o_orderkey") % 7
+    own = F.when(n == 1, F.concat(F.col("o_custkey").cast("string"), F.lit("abc"))).when(n == 4, F.concat(F.lit(" "), F.col("o_totalprice").cast("string"), F.lit("e0 usd")))
+    spent = F.when(n == 0, "NaN").when(n == 2, "abc5").when(n == 3, " 7.25e0 usd").when(n == 5, "Infinity and more").when(n == 6, "-Infinity").otherwise(own)
     return table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), budget.blocked(spent, 5.0).alias("blocked"))
 
 

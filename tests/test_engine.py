@@ -195,8 +195,8 @@ def test_small_functions(spark):
     assert (got["qd"], got["nd"], got["nn"], got["au"], got["an"]) == ("q d", "d", None, "q\n\nL: d", "q") and (got["k"], got["kn"]) == (["a.png"], [])
     assert (got["uri"], got["size"], got["none"], got["id"], got["noid"]) == ("data:image/png;base64,eA==", 3, None, True, False) and got["uuid"] == "9f0c2f5a-1b2c-4d3e-8f00-0123456789ab" and got["nouuid"] is None
     assert (round(got["usd"], 6), float(got["r"]), got["m"], got["alive"], got["over"]) == (0.021, 1.0001, "2024-02-04 00:00:00", True, False) and got["shown"] == {"name": "x"}
-    meta = ['{"a": "1"}', '{"a": "1", "FLOWISE_CHATID": "c"}', '{"b": "2", "FLOWISE_CHATID": "c"}', "{}", None]
-    assert column(spark, meta, lambda c: search.metadata_filter(c, {"a": "1"}, also={"b": "2"})) == [True, False, True, False, False]
+    meta = ['{"a": "1"}', '{"a": "1", "chat_id": "c"}', '{"b": "2", "chat_id": "c"}', "{}", None]
+    assert column(spark, meta, lambda c: search.metadata_filter(c, {"a": "1"}, also={"b": "2"}, absent="chat_id")) == [True, False, True, False, False]
     docs = spark.createDataFrame([(1, ["x", "gone", "y"]), (2, ["y"]), (3, [])], "id int, keys array<string>")
     urls = spark.createDataFrame([("x", "u:x"), ("y", "u:y")], "object_key string, url string")
     assert {r["id"]: r["urls"] for r in search.attach_urls(docs, urls, "id", "keys").collect()} == {1: ["u:x", "u:y"], 2: ["u:y"], 3: []}
