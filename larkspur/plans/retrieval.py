@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from larkspur.operators import budget, fulltext, metadata, search, vector_index
+from larkspur.operators import budget, flows, fulltext, fuzzy, metadata, registered, search, tenants, vector_index
 from larkspur.plans.catalogue import _E, _Q, first_vector, query, table
 from larkspur.sources import json_loader
 from larkspur.streaming.runs import shared_folder, stream_alerts, stream_limits
@@ -240,3 +241,102 @@ def alerts_stream(spark, folder):
     """A message to each chat at the first event of a day and category that comes with the budget spent, worked off as a stream."""
     caps = {k: 300.0 for k in ("view", "signup", "click", "error", "purchase")}
     return stream_alerts(spark, folder, caps, _CHATS, {"click": "Clicks"})
+
+
+# flows
+
+
+def _chain(spark, folder):
+    """Orders lead to customers, these to nations, and these to regions and, in a ring, to each other's region."""
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    orders, customers, nations = table(spark, folder, "orders"), table(spark, folder, "customer"), table(spark, folder, "nation")
+    links = orders.select(key("o", "o_orderkey").alias("source"), key("c", "o_custkey").alias("target")).unionAll(customers.select(key("c", "c_custkey"), key("n", "c_nationkey"))).unionAll(nations.select(key("n", "n_nationkey"), key("r", "n_regionkey")))
+    nodes = links.select(F.col("source").alias("id")).unionAll(links.select("target")).distinct()
+    return nodes, links
+
+
+_CHAIN = """
+WITH RECURSIVE links AS (SELECT 'o' || o_orderkey AS source, 'c' || o_custkey AS target FROM orders UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
+up AS (SELECT DISTINCT target AS stop, target AS node, 0 AS distance FROM links WHERE target[1] = 'r' UNION SELECT stop, source, distance + 1 FROM up JOIN links ON target = node),
+low AS (SELECT node, max(d) AS level FROM (WITH RECURSIVE down AS (SELECT DISTINCT source AS node, 0 AS d FROM links WHERE source NOT IN (SELECT target FROM links) UNION SELECT target, d + 1 FROM down JOIN links ON source = node) FROM down) GROUP BY 1)
+"""
+
+
+@query(_CHAIN + "SELECT stop, node AS id, CAST(level AS INTEGER) AS level, CAST(min(distance) AS INTEGER) AS distance FROM up JOIN low USING (node) GROUP BY 1, 2, 3")
+def flow_run_order(spark, folder):
+    """What has to run for each region as a stop node, in order of level."""
+    nodes, links = _chain(spark, folder)
+    return flows.run_order(nodes, links, nodes.filter("id like 'r%'"))[0]
+
+
+@query("SELECT 'n' || n_nationkey AS id, CASE WHEN n_nationkey < 20 THEN 'cycle' ELSE 'behind a cycle' END AS problem FROM nation UNION ALL SELECT 'r' || r_regionkey, 'behind a cycle' FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)")
+def flow_cycles(spark, folder):
+    """Nations in rings of four, the last ones behind the first ring, and regions behind them."""
+    key = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    n = F.col("n_nationkey")
+    nation = table(spark, folder, "nation")
+    ring = nation.filter("n_nationkey < 20").select(key("n", n).alias("source"), key("n", (n / 4).cast("int") * 4 + (n + 1) % 4).alias("target"))
+    links = ring.unionAll(nation.filter("n_nationkey >= 20").select(F.lit("n0"), key("n", n))).unionAll(nation.select(key("n", n), key("r", F.col("n_regionkey"))))
+    nodes = links.select(F.col("source").alias("id")).unionAll(links.select("target")).distinct()
+    return flows.run_order(nodes, links, nodes.filter("id like 'r%'"))[1].select("id", "problem").distinct()
+
+
+# registered operators and variables
+
+
+@query()
+def chunk_recursive_sql(spark, folder):
+    """The recursive splitter as a table function."""
+    registered.register(spark, ["split_recursive"])
+    return spark.sql("SELECT d.doc_id, c.chunk_no, c.chunk FROM {docs} d, LATERAL split_recursive(d.text) c", docs=table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("SELECT 'two' AS run, vec_id FROM embeddings WHERE label = 2 UNION ALL SELECT 'five', vec_id FROM embeddings WHERE label = 5")
+def variable_search(spark, folder):
+    """One statement, run with two values of a session variable."""
+    table(spark, folder, "embeddings").createOrReplaceTempView("larkspur_vectors")
+    found = []
+    for run, value in (("two", "2"), ("five", "5")):
+        registered.set_variable(spark, "larkspur_tenant", value, "BIGINT")
+        found.append(registered.with_variables(spark, "SELECT vec_id FROM larkspur_vectors WHERE label = ?", "larkspur_tenant").select(F.lit(run).alias("run"), "vec_id"))
+    return found[0].unionAll(found[1])
+
+
+@query(f"""
+WITH v AS (SELECT vec_id, label, {_E} AS e FROM embeddings WHERE embedding IS NOT NULL),
+p AS (SELECT a.vec_id AS q, a.e AS query, min(b.vec_id) AS expected FROM v a JOIN v b ON b.label = a.label AND b.vec_id <> a.vec_id WHERE a.vec_id % 10 = 0 GROUP BY 1, 2),
+r AS (SELECT q, expected, vec_id, row_number() OVER (PARTITION BY q ORDER BY 1 - list_cosine_similarity(e, query), vec_id) AS rank FROM p, v WHERE vec_id <> q)
+SELECT count(DISTINCT q) AS n, round(count(*) FILTER (vec_id = expected) / count(DISTINCT q), 9) AS recall FROM r WHERE rank <= 10
+""")
+def recall_at_10(spark, folder):
+    """Of pairs of a query and an expected chunk (here the first other one of its label), how many have it among the ten nearest."""
+    v = table(spark, folder, "embeddings").filter(vector_index.searchable("embedding")).select("vec_id", "label", "embedding")
+    pairs = v.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "label").join(v.select("vec_id", "label"), "label").filter("vec_id <> query_id").groupBy("query_id").agg(F.min("vec_id").alias("vec_id"))
+    queries = pairs.select("query_id").join(v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), "query_id")
+    near = vector_index.exact(queries, v.select("vec_id", "embedding"), 11).filter("vec_id <> query_id")
+    own = near.join(pairs.select("query_id"), "query_id", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))).filter("rank <= 10")
+    return vector_index.recall_of(own, pairs).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("recall"), 9).alias("recall"))
+
+
+# fuzzy matches and tenants
+
+
+@query("""
+WITH p AS (SELECT lower(p_name || ' ' || p_brand) AS t, p_name || ' ' || p_brand AS class, count(*) AS copies FROM part GROUP BY 1, 2),
+g AS (SELECT class, copies, list_distinct(list_transform(range(1, length(t) + 2), lambda i: substr('  ' || t || ' ', i, 3))) AS g FROM p),
+l AS (SELECT a.class, sum(b.copies) AS others FROM g a JOIN g b ON a.class <> b.class AND len(list_intersect(a.g, b.g)) >= 0.6 * (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) - 1e-9 GROUP BY 1)
+SELECT class, copies, CAST(copies - 1 + coalesce(others, 0) AS BIGINT) AS n_links FROM g LEFT JOIN l USING (class)
+""")
+def fuzzy_names(spark, folder):
+    """Names with brands that are alike: all against all."""
+    named = table(spark, folder, "part").select(F.concat_ws(" ", "p_name", "p_brand").alias("name"))
+    return fuzzy.link_counts(named, "name", 0.6)
+
+
+@query(f"SELECT vec_id, round(1 - list_cosine_similarity({_E}, {_Q}), 9) AS distance FROM embeddings WHERE label = 3 ORDER BY 1 - list_cosine_similarity({_E}, {_Q}), vec_id LIMIT 5")
+def tenant_search(spark, folder):
+    """The nearest vectors of one tenant (a label), read from its own folder."""
+    path = shared_folder(spark)
+    tenants.write(table(spark, folder, "embeddings"), path, "label")
+    found = tenants.top_k(spark, path, "label", 3, first_vector(spark, folder), 5)
+    return found.select("vec_id", F.round("distance", 9).alias("distance"))
