@@ -2,8 +2,9 @@
 
 A node is a turn together with all turns before it. Conversations with the same initial turns meet in the same
 nodes, so shared text is stored once. A node is stored with its parent. The forest is laid out depth-first, siblings by
-their digest: sums over subtrees and over siblings give each node its interval in the stream, and are carried
-down and up the forest by doubling, in as many rounds as the depth has bits. Each node also has the position of its first
+their digest: sums over subtrees and over siblings give each node its interval in the stream. Nodes without a choice are contracted first: a chain of only
+children is walked as a sorted stream along the longest conversation through it, and becomes one node. Sums are then carried down and up the chains by
+doubling, in as many rounds as the branchings on a way have bits, however long a conversation is. Each node also has the position of its first
 unit within its own conversations, and can be given the intervals of its ancestors, which are what its units may
 attend to besides earlier units of the node itself. Units are code points, or tokens (``token_forest``).
 
@@ -63,16 +64,19 @@ def segment(role: Column, text: Column) -> Column:
 
 
 def conversation_paths(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", with_text: bool = True) -> DataFrame:
-    """(conv_id, depth, role, text, node, parent): one row per turn; node digests the turn and all before it (128 bits).
+    """(conv_id, length, depth, role, text, node, parent): one row per turn; node digests the turn and all before it (128 bits), length is the conversation's.
 
     Conversations are sorted within partitions and read once, so a task holds a batch of turns, however long one is.
-    Without text only digests are shuffled.
+    Without text only digests are shuffled, and there is no length.
     """
     whole_text = F.coalesce(text, F.lit(""))
-    kept = ["text"] if with_text else []
+    kept = ["length", "text"] if with_text else []
     rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), _digest(whole_text).alias("digest"), *([whole_text.alias("text")] if with_text else []))
-    placed = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "digest").select("conv_id", "role", "digest", *kept)
-    schema = f"conv_id {rows.schema['conv_id'].dataType.simpleString()}, role string, {'text string, ' if with_text else ''}depth int, node binary, parent binary"
+    dealt = rows.repartition("conv_id")
+    if with_text:
+        dealt = dealt.withColumn("length", F.count(F.lit(1)).over(Window.partitionBy("conv_id")))
+    placed = dealt.sortWithinPartitions("conv_id", "turn", "role", "digest").select("conv_id", "role", "digest", *kept)
+    schema = f"conv_id {rows.schema['conv_id'].dataType.simpleString()}, role string, {'length bigint, text string, ' if with_text else ''}depth int, node binary, parent binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, node, depth = object(), None, 0
@@ -86,7 +90,7 @@ def conversation_paths(turns: DataFrame, conv: str = "conv_id", turn: str = "tur
                 depth += 1
                 depths.append(depth)
                 nodes.append(node)
-            passed = [batch.column(i) for i in (0, 1, *([3] if with_text else []))]
+            passed = [batch.column(i) for i in (0, 1, *range(3, 3 + len(kept)))]
             yield pa.RecordBatch.from_arrays([*passed, pa.array(depths, pa.int32()), pa.array(nodes, pa.binary()), pa.array(parents, pa.binary())], names=["conv_id", "role", *kept, "depth", "node", "parent"])
 
     return placed.mapInArrow(run, schema)
@@ -97,10 +101,11 @@ def _digest(x: Column) -> Column:
 
 
 def stored_nodes(paths: DataFrame) -> DataFrame:
-    """The nodes with their parents and segments, written; all that layout() and forest() add follows from these."""
-    nodes = paths.groupBy("node").agg(*(F.first(c).alias(c) for c in ("parent", "depth", "role", "text")), F.count(F.lit(1)).alias("n_conversations"))
+    """The nodes with their parents and segments, written; all that layout() and forest() add follows from these. along: the longest conversation through a node."""
+    longest = F.max(F.struct("length", "conv_id"))["conv_id"].alias("along")
+    nodes = paths.groupBy("node").agg(*(F.first(c).alias(c) for c in ("parent", "depth", "role", "text")), longest, F.count(F.lit(1)).alias("n_conversations"))
     head = F.length(F.concat(F.lit(BEGIN), escape_role(F.col("role")), F.lit(AFTER_ROLE)))
-    shaped = nodes.select("node", "parent", "depth", "n_conversations", segment(F.col("role"), F.col("text")).alias("segment"), F.when(F.col("role") == LEARNED, head).alias("head"))
+    shaped = nodes.select("node", "parent", "depth", "along", "n_conversations", segment(F.col("role"), F.col("text")).alias("segment"), F.when(F.col("role") == LEARNED, head).alias("head"))
     return checkpoint(shaped.withColumn("units", F.length("segment").cast("bigint")))
 
 
@@ -130,8 +135,45 @@ def _subtrees(placed: DataFrame) -> DataFrame:
     return rows.select("node", "total")
 
 
+def chains(placed: DataFrame) -> DataFrame:
+    """(node, top, before, parent, units): the first node of each node's chain, and the units of the chain before it; only a chain's last node has several children.
+
+    The longest conversation through a chain's first node goes along all of it, so a chain lies together when nodes are sorted by it and by depth; a task holds
+    the chain that it is in, however many nodes it has.
+    """
+    children = placed.filter("parent is not null").groupBy(F.col("parent").alias("_key")).agg(F.count(F.lit(1)).alias("_children"))
+    flagged = placed.select("node", "parent", "depth", "along", "units", _key(F.col("parent")).alias("_key")).join(children, "_key", "left")
+    rows = flagged.select("node", "parent", "units", "along", "depth", (F.coalesce("_children", F.lit(2)) > 1).alias("first"))
+    sorted_ = rows.repartition("along").sortWithinPartitions("along", "depth").select("node", "parent", "units", "first")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top, total = None, 0
+        for batch in batches:
+            tops, before = [], []
+            for node, units, first in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+                if first:
+                    top, total = node, 0
+                tops.append(top)
+                before.append(total)
+                total += units
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tops, pa.binary()), pa.array(before, pa.int64()), batch.column(1), batch.column(2)], names=["node", "top", "before", "parent", "units"])
+
+    return checkpoint(sorted_.mapInArrow(run, "node binary, top binary, before bigint, parent binary, units bigint"))
+
+
 def layout(placed: DataFrame) -> DataFrame:
-    """(node, start, end, position) of the stored nodes in the depth-first stream, where siblings go by digest.
+    """(node, start, end, position) of the stored nodes in the depth-first stream, where siblings go by digest."""
+    own = chains(placed)
+    sums = own.groupBy("top").agg(F.sum("units").alias("units"))
+    above = own.filter("node = top").select("top", _key(F.col("parent")).alias("_key")).join(own.select(F.col("node").alias("_key"), F.col("top").alias("parent")), "_key", "left")
+    laid = _laid(checkpoint(sums.join(above, "top").select(F.col("top").alias("node"), "parent", "units")))
+    joined = own.join(laid.select(F.col("node").alias("top"), F.col("start").alias("_start"), F.col("position").alias("_position")), "top")
+    start = F.col("_start") + F.col("before")
+    return checkpoint(joined.select("node", start.alias("start"), (start + F.col("units")).alias("end"), (F.col("_position") + F.col("before")).alias("position")))
+
+
+def _laid(placed: DataFrame) -> DataFrame:
+    """(node, start, end, position) of nodes (node, parent, units).
 
     A node starts after its parent's units and its earlier siblings' subtrees. All siblings are in one range sort, and
     a table of one row per partition is added to sums within partitions, so however many siblings there are, no task sees all.
@@ -184,7 +226,7 @@ def token_forest(turns: DataFrame, path: str) -> DataFrame:
     from larkspur.llm import bpe
 
     stored = stored_nodes(conversation_paths(turns))
-    encoded = bpe.encode_decode(stored.select("node", "parent", "depth", "head", "segment"), path, text="segment", outputs=("ids",))
+    encoded = bpe.encode_decode(stored.select("node", "parent", "depth", "along", "head", "segment"), path, text="segment", outputs=("ids",))
     placed = checkpoint(encoded.withColumn("units", F.size("ids").cast("bigint")))
     laid = checkpoint(layout(placed).join(placed.select("node", "parent"), "node"))
     spans = _climb(laid.select("node", F.col("parent").alias("up"), F.array(F.struct("start", "end")).alias("x")), lambda a, b: F.concat(a, b))

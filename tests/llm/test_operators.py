@@ -115,7 +115,7 @@ def test_chat_of_a_long_conversation(spark):
     n = 300
     turns = [(None, i, "assistant" if i % 2 else "user", f"t{i % 7}") for i in range(n)] + [(c, i, "user", f"t{i}" if i < c else "end") for c in (1, 2) for i in range(3)]
     df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").repartition(5)
-    assert set(chat.conversation_paths(df).columns) == {"conv_id", "depth", "role", "text", "node", "parent"}  # no row holds a whole path
+    assert set(chat.conversation_paths(df).columns) == {"conv_id", "length", "depth", "role", "text", "node", "parent"}  # no row holds a whole path
     got = rows_of(chat.digests(df), "conv_id")
     for c in (None, 1, 2):
         own = [r for r in turns if r[0] == c]
@@ -613,3 +613,19 @@ def test_one_id_on_two_vectors(spark):
     rows = [(1, [1.0, 0.0, 0.0], 1), (1, [0.0, 1.0, 0.0], 1), (2, [1.0, 0.01, 0.0], 1), (3, [0.0, 0.0, 1.0], 1), (3, [0.0, 0.0, 1.0], 1)]
     found = vectors.near_dedup(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"))
     assert sorted(map(tuple, found.collect())) == [(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (3, 1, 3, True)]
+
+
+def test_chat_of_long_conversations_takes_no_more_rounds(spark, monkeypatch):
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"turn {i}") for i in range(400)] + [(2, i, "user" if i % 2 == 0 else "assistant", f"turn {i}") for i in range(150)] + [(2, 150, "user", "another end")] + [(3, i, "user" if i % 2 == 0 else "assistant", f"turn {i}") for i in range(90)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    written = []
+    keep = chat.checkpoint
+    monkeypatch.setattr(chat, "checkpoint", lambda d: written.append(1) or keep(d))
+    nodes = {bytes(r["node"]): r for r in chat.layout(chat.stored_nodes(chat.conversation_paths(df))).collect()}
+    assert len(written) < 16 and len(nodes) == 401
+    spans = sorted((r["start"], r["end"]) for r in nodes.values())
+    assert all(a[1] == b[0] for a, b in zip(spans, spans[1:])) and spans[0][0] == 0
+    got = rows_of(chat.digests(df), "conv_id")
+    for c in (1, 2, 3):
+        own = [r for r in rows if r[0] == c]
+        assert got[c]["n_turns"] == len(own) and got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r[2]}\n{r[3]}\n" for r in own).encode()).hexdigest()
