@@ -20,8 +20,8 @@ def stable_hash(fields: dict[str, Column], arrays: tuple[str, ...] = ()) -> Colu
     return F.sha2(F.to_json(F.struct(*(c.alias(k) for k, c in sorted(sorted_.items()))), {"ignoreNullFields": "false"}), 256)
 
 
-def delta(stored: DataFrame, incoming: DataFrame, source: str = "source_id", digest: str = "hash", touched: DataFrame | None = None) -> DataFrame:
-    """(source, digest, change) with change added, skipped or deleted.
+def delta(stored: DataFrame, incoming: DataFrame, source: str = "source_id", digest: str = "hash", touched: DataFrame | None = None, force_update: bool = False) -> DataFrame:
+    """(source, digest, change) with change added, skipped (updated, if what is there already is written again all the same) or deleted.
 
     Chunks are deleted only of sources that come in again; others stay untouched and are not in the result. Sources that come in without any chunk are
     in touched, if that is given.
@@ -30,14 +30,18 @@ def delta(stored: DataFrame, incoming: DataFrame, source: str = "source_id", dig
     old = stored.select(source, digest).distinct().join(touched, source, "left_semi").withColumn("old", F.lit(True))
     new = incoming.select(source, digest).distinct().withColumn("new", F.lit(True))
     both = old.join(new, [source, digest], "full")
-    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "deleted").otherwise("skipped")
+    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "deleted").otherwise("updated" if force_update else "skipped")
     return both.select(source, digest, change.alias("change"))
 
 
 def outcomes(changes: DataFrame, source: str = "source_id") -> DataFrame:
     """Per source: counts and the outcome. A source is skipped if something was and nothing was added."""
-    counts = changes.groupBy(source).agg(*(F.count_if(F.col("change") == c).alias(f"num_{c}") for c in ("added", "skipped", "deleted")))
-    return counts.withColumn("outcome", outcome(F.lit("d"), F.col("num_added"), F.lit(0), F.col("num_skipped")))
+    return upsert_counts(changes, source).withColumn("outcome", outcome(F.lit("d"), F.col("num_added"), F.col("num_updated"), F.col("num_skipped"))).drop("num_updated")
+
+
+def upsert_counts(changes: DataFrame, source: str = "source_id") -> DataFrame:
+    """Per source: num_added, num_updated, num_skipped and num_deleted."""
+    return changes.groupBy(source).agg(*(F.count_if(F.col("change") == c).alias(f"num_{c}") for c in ("added", "updated", "skipped", "deleted")))
 
 
 def outcome(doc_id: Column, added: Column, updated: Column, skipped: Column) -> Column:

@@ -83,6 +83,13 @@ def predict(df: DataFrame, question: str, model: Model, out: str = "answer") ->
     return _asked(df, question, out, "string", answers)
 
 
+def described_stores(stores: DataFrame, chunks: DataFrame, model: Model, samples: int = 3) -> DataFrame:
+    """stores (id, name) with description: what a model says of a store's name and its first chunks (store_id, chunk_no, chunk); null if it fails."""
+    few = chunks.filter(F.col("chunk_no") <= samples).groupBy(F.col("store_id").alias("id")).agg(F.slice(F.array_sort(F.collect_set(F.struct("chunk_no", F.substring("chunk", 1, 200).alias("chunk")))), 1, samples).alias("_few"))
+    asked = stores.join(few, "id", "left").withColumn("_question", F.to_json(F.struct(F.col("name"), F.transform(F.coalesce("_few", F.array()), lambda c: c["chunk"]).alias("samples"))))
+    return predict(asked, "_question", model, "description").drop("_question", "_few")
+
+
 def question(form: dict[str, object]) -> str:
     """One question from a form of named values, as text that does not depend on their order."""
     return json.dumps(form, sort_keys=True, ensure_ascii=False)

@@ -80,6 +80,19 @@ def merge_items(items: DataFrame, mapping: DataFrame, stored: DataFrame, sync_mo
     return Refreshed(outcomes, next_mapping, kept, gone, merge.refresh_counters(kinds))
 
 
+def snapshot_digest(items: DataFrame) -> str:
+    """One digest of what a snapshot's items say, whatever their order; bucket by bucket, so no task has all of them."""
+    parts = items.select(F.lit(0).alias("_all"), merge.content_hash("external_id", "content", "visual_description").alias("_h"))
+    found = augment.bucketed_hash(parts, "_all", "_h").select("set_hash").collect()
+    return found[0]["set_hash"] if found else ""
+
+
+def refresh_snapshot(items: DataFrame, mapping: DataFrame, stored: DataFrame, last_digest: str | None, **options) -> tuple[Refreshed | None, str]:
+    """The refresh of a snapshot, or None if its digest is the last one: then no chunk is made or compared. The digest is kept for the next run."""
+    digest = snapshot_digest(items)
+    return (None if digest == last_digest else merge_items(items, mapping, stored, **options)), digest
+
+
 def recovered_mapping(mapping: DataFrame, loaders: DataFrame) -> DataFrame:
     """The mapping, or, if it is empty and there are loaders (external_id, doc_id), what the loaders say."""
     empty = mapping.agg((F.count(F.lit(1)) == 0).alias("_empty"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from larkspur.operators import budget, flows, fulltext, fuzzy, metadata, registered, search, tenants, vector_index
+from larkspur.operators import budget, flows, fulltext, fuzzy, merge, metadata, refresh, registered, search, tenants, vector_index
 from larkspur.plans.catalogue import _E, _Q, first_vector, query, table
 from larkspur.sources import json_loader
 from larkspur.streaming.runs import shared_folder, stream_alerts, stream_limits
@@ -340,3 +340,36 @@ def tenant_search(spark, folder):
     tenants.write(table(spark, folder, "embeddings"), path, "label")
     found = tenants.top_k(spark, path, "label", 3, first_vector(spark, folder), 5)
     return found.select("vec_id", F.round("distance", 9).alias("distance"))
+
+
+# refreshes
+
+
+@query("""
+WITH h AS (SELECT sha256(length(CAST(doc_id AS VARCHAR)) || ':' || doc_id || coalesce(length(text) || ':' || text, '-') || '-') AS h FROM documents),
+b AS (SELECT substr(h, 1, 3) AS b, sha256(string_agg(h, ':' ORDER BY h)) AS d FROM h GROUP BY 1),
+t AS (SELECT sha256(string_agg(d, ':' ORDER BY d)) AS digest FROM b)
+SELECT 'first' AS run, digest, false AS skipped, (SELECT count(*) FROM documents) AS upserted FROM t UNION ALL SELECT 'same', digest, true, 0 FROM t
+""")
+def refresh_skip(spark, folder):
+    """A snapshot is refreshed once; the same one again is skipped by its digest before any chunk is made."""
+    items = table(spark, folder, "documents").select(F.col("doc_id").alias("external_id"), F.col("doc_id").alias("pos"), F.col("text").alias("content"), F.lit(None).cast("string").alias("visual_description"))
+    mapping = items.limit(0).select("external_id", F.lit("").alias("doc_id"))
+    stored = items.limit(0).select(F.col("external_id").alias("source_id"), F.lit("").alias("doc_id"), F.lit(0).alias("chunk_no"), F.lit("").alias("chunk"), F.lit("").alias("hash"))
+    first, digest = refresh.refresh_snapshot(items, mapping, stored, None)
+    again, same = refresh.refresh_snapshot(items.orderBy(F.desc("external_id")), mapping, stored, digest)
+    row = lambda run, d, skipped: [F.lit(run).alias("run"), F.lit(d).alias("digest"), F.lit(skipped).alias("skipped")]
+    done = first.counters.select(*row("first", digest, first is None), "upserted")
+    return done.unionByName(spark.range(1).select(*row("same", same, again is None), F.lit(0).cast("bigint").alias("upserted")))
+
+
+@query("""
+WITH stored AS (SELECT DISTINCT doc_id % 50 AS source_id, sha256(coalesce(length(text) || ':' || text, '-')) AS hash FROM documents WHERE doc_id % 5 <> 0),
+incoming AS (SELECT DISTINCT doc_id % 50 AS source_id, sha256(coalesce(length(text) || ':' || text, '-')) AS hash FROM documents WHERE doc_id % 3 <> 0),
+j AS (SELECT coalesce(o.source_id, n.source_id) AS source_id, o.hash AS oh, n.hash AS nh FROM (SELECT * FROM stored WHERE source_id IN (SELECT source_id FROM incoming)) o FULL JOIN incoming n ON o.source_id = n.source_id AND o.hash = n.hash)
+SELECT source_id, count(*) FILTER (oh IS NULL) AS num_added, count(*) FILTER (oh IS NOT NULL AND nh IS NOT NULL) AS num_updated, 0::BIGINT AS num_skipped, count(*) FILTER (nh IS NULL) AS num_deleted FROM j GROUP BY source_id
+""")
+def upsert_forced(spark, folder):
+    """Counts of an upsert that writes again what is there already."""
+    docs = table(spark, folder, "documents").select((F.col("doc_id") % 50).alias("source_id"), "doc_id", merge.content_hash("text").alias("hash"))
+    return merge.upsert_counts(merge.delta(docs.filter("doc_id % 5 <> 0").select("source_id", "hash"), docs.filter("doc_id % 3 <> 0").select("source_id", "hash"), force_update=True))

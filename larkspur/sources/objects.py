@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import mime_of
@@ -56,6 +56,17 @@ def delete_objects(objects: DataFrame, object_keys_: list[str]) -> DataFrame:
     return objects.filter(~F.col("object_key").isin(object_keys_))
 
 
+def put_objects(stored: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+    """The next version of an object table (object_key, content, etag, length, modified): new objects (object_key, content) replace those of their keys.
+
+    The etag is the content's MD5; an object whose content is what it was keeps its time. Of several new objects of a key that of the greatest etag is taken.
+    """
+    one = new.withColumn("etag", F.md5("content")).groupBy("object_key").agg(F.max_by("content", "etag").alias("content"), F.max("etag").alias("etag"))
+    before = stored.select("object_key", F.col("etag").alias("_etag"), F.col("modified").alias("_modified"))
+    put = one.join(before, "object_key", "left").select("object_key", "content", "etag", F.length("content").alias("length"), F.when(F.col("etag") == F.col("_etag"), F.col("_modified")).otherwise(now).alias("modified"))
+    return stored.select(put.columns).join(new.select("object_key"), "object_key", "left_anti").unionByName(put)
+
+
 def json_documents(raw: DataFrame, column: str, pointer: str, metadata: dict[str, str] | None = None) -> DataFrame:
     """raw with text at a JSON path, and metadata from other paths (those without a leading slash are ignored)."""
     at = lambda p: F.get_json_object(column, "$" + p.replace("/", "."))

@@ -5,7 +5,8 @@ import json
 from pyspark.sql import functions as F
 
 from larkspur.operators import answers, augment, budget, chunks, merge, refresh, registry
-from larkspur.operators.models import ScriptedModel
+from larkspur.operators.models import ScriptedModel, described_stores
+from larkspur.sources import objects
 
 ITEM = "external_id string, pos int, content string, visual_description string"
 
@@ -87,3 +88,27 @@ def test_last_rows_of_equal_turns_are_the_same_every_time(spark):
     for parts in (1, 3):
         got = registry.last_each(spark.createDataFrame(rows, "session string, turn int, text string").repartition(parts), "session", "turn", 2).collect()
         assert {r["text"] for r in got} == {"c", "d"}
+
+
+def test_a_snapshot_is_skipped_by_its_digest(spark):
+    items = spark.createDataFrame([("a", 1, "x", None), ("b", 2, "y", "seen")], ITEM)
+    mapping, stored = spark.createDataFrame([], "external_id string, doc_id string"), stored_of(spark, [])
+    done, digest = refresh.refresh_snapshot(items, mapping, stored, None)
+    assert done.counters.first()["upserted"] == 2
+    assert refresh.refresh_snapshot(items.orderBy(F.desc("pos")), mapping, stored, digest) == (None, digest)
+    changed, other = refresh.refresh_snapshot(items.withColumn("visual_description", F.lit("seen")), mapping, stored, digest)
+    assert changed is not None and other != digest and refresh.snapshot_digest(items.limit(0)) == ""
+
+
+def test_objects_are_put_with_etags(spark):
+    stored = spark.createDataFrame([("a", b"1", "c4ca4238a0b923820dcc509a6f75849b", 1, "t0"), ("b", b"2", "x", 1, "t0")], "object_key string, content binary, etag string, length int, modified string")
+    new = spark.createDataFrame([("a", b"1"), ("b", b"22"), ("c", b""), ("c", b"")], "object_key string, content binary")
+    got = {r["object_key"]: (bytes(r["content"]), r["length"], r["modified"]) for r in objects.put_objects(stored, new, F.lit("t1")).collect()}
+    assert got == {"a": (b"1", 1, "t0"), "b": (b"22", 2, "t1"), "c": (b"", 0, "t1")}
+
+
+def test_stores_are_described_by_a_model(spark):
+    stores = spark.createDataFrame([(1, "filters"), (2, "empty"), (3, "odd")], "id int, name string")
+    rows = spark.createDataFrame([(1, n, f"chunk {n}") for n in range(1, 6)], "store_id int, chunk_no int, chunk string")
+    model = ScriptedModel({'"samples":["chunk 1","chunk 2","chunk 3"]': "About filters.", '"empty","samples":[]': "Nothing yet."})
+    assert {r["id"]: r["description"] for r in described_stores(stores, rows, model).collect()} == {1: "About filters.", 2: "Nothing yet.", 3: None}
