@@ -2,7 +2,7 @@
 
 A text is first passed through a keyword test, which most texts fail at once. What passes is lower-cased (A to
 Z), cut into words, and joined again by single spaces, so that rules see words only. Each rule has a keyword,
-and only rules whose keyword stands in the text run their regular expression. A rule has a priority;
+which stands in every match of its regular expression, and only rules whose keyword stands in the text run theirs. A rule has a priority;
 a detection that lies inside the interval of another whose priority is as good or better is suppressed, so that a name
 inside a full title, or a hint inside a name, gives no label of its own. Rules of what speaks against a license have no label:
 they hide what they contain.
@@ -11,8 +11,8 @@ The base phrases are looked for word by word at every place, apart from the rule
 
 Everything happens within the row: no shuffle, no join, and nothing that grows with other documents.
 
-Defined cases: null and empty texts have no words, no labels and score 0; equal rows give equal rows; columns
-other than the text pass through.
+Defined cases: null and empty texts have no words, no labels and score 0; equal rows give equal rows; very long texts are scanned whole; an empty table
+gives an empty table; columns other than the text pass through, but for those of a result's name in any spelling.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.common import free_names
+
 #: What separates words, and the base phrases with their labels.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NOT_WORD_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -183,8 +185,8 @@ NOTICES = [
     ("affero general public", r"under the terms of the gnu affero general public license as published by the free software foundation either version 3(?: of the license)? or at your option any later version", "agpl-3-or-later", 1, 1.0),
     ("affero general public", r"under the terms of the gnu affero general public license version 3 as published", "agpl-3-only", 1, 1.0),
     ("remote network interaction", r"remote network interaction use with the gnu general public license", "agpl-3", 2, 0.9),
-    ("general public", r"either version 3(?: of the license)? or at your option any later version", "gpl-3", 3, 0.7),
-    ("general public", r"either version 2(?: of the license)? or at your option any later version", "gpl-2", 3, 0.7),
+    ("any later version", r"either version 3(?: of the license)? or at your option any later version", "gpl-3", 3, 0.7),
+    ("any later version", r"either version 2(?: of the license)? or at your option any later version", "gpl-2", 3, 0.7),
     ("general public", r"you should have received a copy of the gnu general public license along with", "gpl", 4, 0.8),
     ("lesser general public", r"you should have received a copy of the gnu lesser general public license along with", "lgpl", 3, 0.8),
     ("affero general public", r"you should have received a copy of the gnu affero general public license along with", "agpl", 3, 0.8),
@@ -234,7 +236,7 @@ NOTICES = [
     ("eclipse", r"eclipse distribution license(?: v| version)? ?1 0", "edl-1.0", 2, 0.95),
     ("common development", r"the contents of this file are subject to the terms of the common development and distribution license", "cddl-1.0", 1, 1.0),
     ("common public", r"this program and the accompanying materials are made available under the terms of the common public license", "cpl-1.0", 1, 1.0),
-    ("european union", r"licensed under the eupl(?: version)? 1 [0-2]", "eupl-1.2", 1, 1.0),
+    ("eupl", r"licensed under the eupl(?: version)? 1 [0-2]", "eupl-1.2", 1, 1.0),
     ("cecill", r"cecill(?: free software)? licen[cs]e(?: agreement)?(?: version)?(?: 2 [01])?", "cecill-2.1", 2, 0.9),
     ("cecill", r"governed by the cecill [bc] licen[cs]e under french law", "cecill-b", 1, 0.95),
     ("accompanied by information", r"redistributions in any form must be accompanied by information on how to obtain complete source code", "sleepycat", 1, 0.95),
@@ -256,7 +258,7 @@ NOTICES = [
     ("public domain", r"nist software(?: [^ ]+){0,12} public domain|is not subject to copyright protection and is in the public domain", "nist-pd", 2, 0.85),
     ("latex project", r"latex project public licen[cs]e(?: version)?(?: 1 3)?", "lppl-1.3c", 2, 0.95),
     ("perl", r"(?:free software|licensed|distributed)(?: [^ ]+){0,12} under the same terms as perl itself", "artistic-1.0-or-gpl-1", 1, 0.95),
-    ("artistic", r"the intent of this document is to state the conditions under which a package may be copied such that the copyright holder", "artistic-1.0", 2, 0.95),
+    ("copyright holder", r"the intent of this document is to state the conditions under which a package may be copied such that the copyright holder", "artistic-1.0", 2, 0.95),
     ("psf license", r"psf license agreement for python", "python-2.0", 2, 0.95),
     ("cnri", r"cnri (?:open source )?licen[cs]e(?: agreement)?", "cnri-python", 2, 0.9),
     ("php", r"this source file is subject to version 3 01 of the php license", "php-3.01", 1, 1.0),
@@ -298,30 +300,30 @@ NOTICES = [
     ("licen", r"responsible ai licen[cs]e|open rail licen[cs]e", "openrail", 3, 0.85),
     ("community license", r"llama(?: [0-9](?: [0-9])?)? community license(?: agreement)?", "llama-community", 2, 0.95),
     ("gemma terms", r"gemma terms of use licen[cs]e", "gemma", 2, 0.9),
-    ("business source", r"the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use", "bsl-1.1", 2, 0.95),
+    ("licensor hereby grants", r"the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use", "bsl-1.1", 2, 0.95),
     ("change date", r"change date(?: [^ ]+){1,6} change license", "bsl-1.1", 3, 0.8),
     ("hosted or managed service", r"you may not provide the software to third parties as a hosted or managed service", "elastic-2.0", 2, 0.95),
     ("commons clause", r"commons clause licen[cs]e condition(?: v| version)? ?(?:1 0)?", "commons-clause", 1, 0.95),
     ("polyform", r"polyform (?:noncommercial|small business|free trial|shield|strict|perimeter|internal use) licen[cs]e(?: 1 0 0)?", "polyform", 1, 0.95),
     ("functional source", r"functional source licen[cs]e(?: version)?(?: 1 [01])?", "fsl-1.1", 2, 0.95),
     ("confluent community", r"confluent community licen[cs]e(?: agreement)?(?: version)?(?: 1 0)?", "confluent-1.0", 2, 0.95),
-    ("timescale license", r"timescale licen[cs]e(?: agreement)?", "tsl", 2, 0.95),
+    ("timescale licen", r"timescale licen[cs]e(?: agreement)?", "tsl", 2, 0.95),
     ("hippocratic", r"hippocratic licen[cs]e(?: version)?(?: [123] [01])?", "hippocratic", 2, 0.95),
     ("anti 996", r"anti 996 licen[cs]e(?: version)?(?: 1 0)?", "anti-996", 2, 0.95),
     # proprietary terms
     ("all rights reserved", r"all rights reserved", "proprietary", 5, 0.5),
     ("not be reproduced", r"(?:may|must|shall) not be reproduced(?: [^ ]+){0,10} without (?:the )?(?:express )?(?:prior )?(?:written )?permission", "proprietary", 3, 0.8),
     ("confidential", r"proprietary and confidential|confidential and proprietary", "proprietary", 4, 0.6),
-    ("unauthorized copying", r"unauthori[sz]ed (?:copying|distribution)(?: [^ ]+){0,14} (?:is )?(?:strictly )?prohibited", "proprietary", 2, 0.9),
+    ("prohibited", r"unauthori[sz]ed (?:copying|distribution)(?: [^ ]+){0,14} (?:is )?(?:strictly )?prohibited", "proprietary", 2, 0.9),
     ("contains", r"contains (?:trade secrets|confidential information)(?: [^ ]+){0,12} (?:licen[cs]e|permission)", "proprietary", 2, 0.85),
-    ("end user license", r"end user licen[cs]e agreement", "proprietary", 3, 0.85),
+    ("end user licen", r"end user licen[cs]e agreement", "proprietary", 3, 0.85),
     ("eula", r"(?:subject to|accept) (?:the )?(?:terms of (?:the|this) )?eula(?: [^ ]+){0,6} licen[cs]e", "proprietary", 3, 0.8),
     ("transferable", r"(?:limited )?non ?exclusive non ?transferable(?: [^ ]+){0,4} licen[cs]e", "proprietary", 3, 0.75),
     ("reverse engineer", r"you (?:may|shall|must) not reverse engineer decompile or disassemble the software", "proprietary", 2, 0.9),
     ("evaluation purposes", r"licen[cs]ed? (?:solely )?for evaluation purposes only", "evaluation-only", 2, 0.9),
     ("use only", r"(?:free )?for (?:academic|research|educational) (?:and [^ ]+ )?use only(?: [^ ]+){0,6} licen[cs]e|licen[cs]ed? for (?:academic|research|educational) use only", "academic-only", 2, 0.85),
     ("commercial use", r"(?:not licen[cs]ed for commercial use|commercial use requires a (?:separate )?(?:commercial )?licen[cs]e)", "non-commercial", 2, 0.9),
-    ("commercial license", r"available under a commercial licen[cs]e", "commercial", 2, 0.85),
+    ("commercial licen", r"available under a commercial licen[cs]e", "commercial", 2, 0.85),
     ("use only", r"licen[cs]ed? for (?:personal|private) (?:and non ?commercial )?use only", "non-commercial", 2, 0.85),
     ("may be reproduced", r"no part of this (?:publication|work|book|document) may be reproduced", "proprietary", 2, 0.9),
     ("freeware", r"(?:this|the) (?:software|program) is freeware", "freeware", 3, 0.8),
@@ -333,13 +335,13 @@ NOTICES = [
     ("public domain", r"works? of the (?:united states|u s) government(?: [^ ]+){0,12} public domain", "public-domain-us-gov", 2, 0.9),
     ("public domain", r"public domain", "public-domain", 5, 0.5),
     # references
-    ("license", r"(?:see|read|refer to) the (?:accompanying )?(?:licen[cs]e|copying|notice) file", "unknown-license", 5, 0.3),
-    ("license", r"(?:see|read) (?:licen[cs]e|copying)(?: txt| md)? for (?:details|more|the full)", "unknown-license", 5, 0.3),
-    ("found in the license", r"(?:that can|which can|can) be found in the licen[cs]e file", "bsd", 4, 0.5),
+    (" file", r"(?:see|read|refer to) the (?:accompanying )?(?:licen[cs]e|copying|notice) file", "unknown-license", 5, 0.3),
+    (" for ", r"(?:see|read) (?:licen[cs]e|copying)(?: txt| md)? for (?:details|more|the full)", "unknown-license", 5, 0.3),
+    ("found in the licen", r"(?:that can|which can|can) be found in the licen[cs]e file", "bsd", 4, 0.5),
     ("licensed under", r"(?:dual )?licensed under the terms", "unknown-license", 5, 0.3),
     ("copying", r"see copying for details", "unknown-license", 5, 0.3),
     # what speaks against a license
-    ("not licensed", r"(?:is|are|was|were) not (?:licensed|released|available|distributed) under(?: the| a| an)?(?: [^ ]+){1,5} licen[cs]e", "", 1, 0.0),
+    ("licen", r"(?:is|are|was|were) not (?:licensed|released|available|distributed) under(?: the| a| an)?(?: [^ ]+){1,5} licen[cs]e", "", 1, 0.0),
     ("not released", r"(?:is|are|was|were) not released under(?: the| a| an)?(?: [^ ]+){1,5} licen[cs]e", "", 1, 0.0),
     ("no longer", r"no longer (?:licensed|released|available|distributed) under(?: the| a| an)?(?: [^ ]+){1,5} licen[cs]e", "", 1, 0.0),
     ("incompatible with", r"incompatible with(?: the| a| an)?(?: [^ ]+){1,5} licen[cs]e", "", 1, 0.0),
@@ -361,14 +363,16 @@ USES = [
 LISTED = [(r"(?:or|and) {i}", "spdx license identifier", 2, 0.9)]
 
 #: A lower-cased text without any of these has no detection: every rule and every base phrase needs one of them.
-GATE = ("licen", "spdx", "public", "rights", "copying", "warranty", "confidential", "permission", "redistribution", "software", "cc0", "creative", "neither", "unencumbered", "reproduced", "copyright", "exception", "freeware", "shareware", "distribut")
-#: The short names of Creative Commons licenses have no such word.
-CC_GATE = r"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by"
+GATE = ("licen", "spdx", "public", "rights", "copying", "warranty", "confidential", "permission", "redistribution", "software", "cc0", "creative", "neither", "unencumbered", "reproduced", "copyright", "exception", "freeware", "shareware", "distribut", "openstreetmap")
+#: Pairs of words for what has no such word: the short names of Creative Commons licenses, and two notices.
+GATE_PAIRS = (("cc", "by"), ("later", "version"), ("notice", "file"))
 
 
 def passes(text: Column) -> Column:
     low = F.lower(text)
-    found = F.contains(low, F.lit("cc")) & low.rlike(CC_GATE)
+    found = F.lit(False)
+    for first, second in GATE_PAIRS:
+        found = found | (F.contains(low, F.lit(first)) & low.rlike(rf"{first}[\x00-\x2F\x3A-\x60\x7B-\x7F]+{second}"))
     for word in reversed(GATE):
         found = F.contains(low, F.lit(word)) | found
     return found
@@ -452,23 +456,24 @@ def _resolve(found: Column) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs without the text, with n_words, n_base, first_word, last_word, base_labels, labels and score."""
+    """docs without the text, with n_words, n_base, first_word, last_word, base_labels, labels and score, which replace columns of these names in any spelling."""
     added = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
-    kept = [c for c in docs.columns if c != text and c not in added]
-    whole = F.coalesce(F.col(text), F.lit(""))
-    gated = docs.select(*kept, whole.alias("_text")).withColumn("_pass", passes(F.col("_text")))
-    lowered = F.translate("_text", UPPER, LOWER)
-    words = gated.withColumn("_joined", F.when(F.col("_pass"), F.concat(F.lit(" "), F.trim(F.regexp_replace(lowered, NOT_WORD, " ")), F.lit(" ")))).select(
-        *kept, F.when(F.col("_joined").isNull() | (F.col("_joined") == "  "), F.array().cast("array<string>")).otherwise(F.split(F.trim("_joined"), " ")).alias("_words"), "_joined",
-        F.when(~F.col("_pass"), _count_words(F.col("_text"))).alias("_count"),
+    kept = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c.lower() != text.lower() and c.lower() not in added]
+    raw, passed, joined, words, count, base, found = free_names(docs, "_text", "_pass", "_joined", "_words", "_count", "_base", "_found")
+    gated = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias(raw)).withColumn(passed, passes(F.col(raw)))
+    lowered = F.translate(raw, UPPER, LOWER)
+    cut = gated.withColumn(joined, F.when(F.col(passed), F.concat(F.lit(" "), F.trim(F.regexp_replace(lowered, NOT_WORD, " ")), F.lit(" ")))).select(
+        *kept, F.when(F.col(joined).isNull() | (F.col(joined) == "  "), F.array().cast("array<string>")).otherwise(F.split(F.trim(joined), " ")).alias(words), joined,
+        F.when(~F.col(passed), _count_words(F.col(raw))).alias(count),
     )
-    found = F.array_sort(F.flatten(F.transform(_candidates(F.col("_joined")), lambda r: _detections(F.col("_joined"), r))))
-    base = F.concat(*(_places(F.col("_words"), phrase) for phrase in BASE))
-    scanned = words.select(*kept, F.coalesce("_count", F.size("_words")).cast("bigint").alias("n_words"), base.alias("_base"), F.when(F.col("_joined").isNotNull(), _resolve(found)).alias("_found"))
-    base_labels = F.array_sort(F.array_distinct(F.col("_base.label")))
-    labels = F.array_sort(F.array_union(base_labels, F.coalesce("_found.labels", F.array().cast("array<string>"))))
+    detected = F.array_sort(F.flatten(F.transform(_candidates(F.col(joined)), lambda r: _detections(F.col(joined), r))))
+    places = F.concat(*(_places(F.col(words), phrase) for phrase in BASE))
+    scanned = cut.select(*kept, F.coalesce(count, F.size(words)).cast("bigint").alias("n_words"), places.alias(base), F.when(F.col(joined).isNotNull(), _resolve(detected)).alias(found))
+    starts, own = F.col(base)["start"], F.col(base)
+    base_labels = F.array_sort(F.array_distinct(own["label"]))
+    labels = F.array_sort(F.array_union(base_labels, F.coalesce(F.col(found)["labels"], F.array().cast("array<string>"))))
     return scanned.select(
-        *kept, "n_words", F.size("_base").cast("bigint").alias("n_base"), F.array_min("_base.start").cast("bigint").alias("first_word"), F.array_max("_base.start").cast("bigint").alias("last_word"),
+        *kept, "n_words", F.size(own).cast("bigint").alias("n_base"), F.array_min(starts).cast("bigint").alias("first_word"), F.array_max(starts).cast("bigint").alias("last_word"),
         F.array_join(base_labels, ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"),
-        F.greatest(F.coalesce("_found.weight", F.lit(0.0)), F.when(F.size("_base") > 0, F.lit(0.95)).otherwise(F.lit(0.0))).alias("score"),
+        F.greatest(F.coalesce(F.col(found)["weight"], F.lit(0.0)), F.when(F.size(own) > 0, F.lit(0.95)).otherwise(F.lit(0.0))).alias("score"),
     )

@@ -366,7 +366,8 @@ def plain_labels(text):
     joined = f" {' '.join(words)} "
     found = []
     for keyword, also, expression, label, priority, weight in licenses.rules():
-        if keyword in joined and also in joined:
+        # no keyword is asked for; only a further license of an expression needs its beginning
+        if also != "spdx license identifier" or also in joined:
             for m in re.finditer(f"(?<= )(?:{expression})(?= )", joined):
                 first = joined[: m.start()].count(" ") - 1
                 found.append((first, first + m.group().count(" "), priority, label, weight))
@@ -383,7 +384,7 @@ def test_license_rules_against_an_interpreter(spark):
     texts = ODD + ["It is not licensed under the GNU General Public License.", "A driving licence, please", "(MIT OR Apache-2.0) SPDX-License-Identifier: MIT OR Apache-2.0", "dual licensed under MIT or Apache-2.0, see the LICENSE file"]
     used = licenses.rules()
     # each rule by itself, and some next to others
-    own = [f"{sample_of(r[2], rng)} x {r[0]} {r[1]}" for r in used]
+    own = [sample_of(r[2], rng) + (" x spdx license identifier" if r[1] == "spdx license identifier" else "") for r in used]
     texts += own + [". ".join([own[i], own[j], own[i]]) for i, j in rng.integers(0, len(own), (150, 2))]
     for text, rule in zip(own, used):
         assert re.search(f"(?<= )(?:{rule[2]})(?= )", f" {text} "), rule  # the sample is one
@@ -629,3 +630,22 @@ def test_chat_of_long_conversations_takes_no_more_rounds(spark, monkeypatch):
     for c in (1, 2, 3):
         own = [r for r in rows if r[0] == c]
         assert got[c]["n_turns"] == len(own) and got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r[2]}\n{r[3]}\n" for r in own).encode()).hexdigest()
+
+
+def test_license_keywords_alone_hide_nothing(spark):
+    texts = {
+        "Timescale Licence agreement": "timescale", "licensed under the EUPL 1.1": "eupl-1.2", "unauthorised distribution of this file is strictly prohibited": "proprietary", "available under a commercial licence": "commercial",
+        "openstreetmap contributors odbl": "odbl-1.0", "either version 3, or (at your option) any later version": "gpl-3", "read the notice file": "unknown-license", "Read COPYING for more": "unknown-license", "It is not distributed under the Zlib license.": "",
+    }
+    got = rows_of(licenses.scan(docs(spark, list(texts))))
+    assert [bool(got[i]["labels"]) for i in range(len(texts))] == [bool(v) for v in texts.values()]
+    assert [got[i]["labels"] for i in (1, 3, 4, 5, 6, 7, 8)] == [list(texts.values())[i] for i in (1, 3, 4, 5, 6, 7, 8)]
+
+
+def test_license_columns_of_any_name(spark):
+    df = docs(spark, ["under the MIT license", None])
+    for c in ("_text", "_PASS", "_joined", "_words", "_count", "_base", "_found", "N_words", "Labels", "a.b"):
+        df = df.withColumn(c, F.lit("own"))
+    out = licenses.scan(df)
+    assert out.columns == ["doc_id", "lang", "_text", "_PASS", "_joined", "_words", "_count", "_base", "_found", "a.b", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    assert {r["doc_id"]: (r["_PASS"], r["n_words"], r["labels"]) for r in out.collect()} == {0: ("own", 4, "mit"), 1: ("own", 0, "")}
