@@ -160,7 +160,7 @@ def linked_members(reps: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def least_of_each(found: DataFrame, reps: DataFrame) -> DataFrame:
-    """found (rep, n_links, component) with least: the smallest id of a component's members; reps: rep and the smallest id of each, least."""
-    own = found.join(reps.select("rep", "least"), "rep")
+    """found (rep, n_links, component) with the columns of reps (rep, least: the smallest id of each), where least is the smallest of the component's members."""
+    own = found.join(reps, "rep")
     smallest = own.groupBy("component").agg(F.min("least").alias("least"))
     return own.drop("least").join(smallest, "component")

@@ -188,7 +188,7 @@ def near_dedup(df: DataFrame, key: str = "vec_id", vector: str = "embedding", la
     numbered = number_rows(grid_cells(reps, basis, epsilon), "grp", "size", *(f"c{i}" for i in range(GRID)), "rep")
     blocks = checkpoint(blocks_of(numbered, basis))
     found = linked_members(reps, compare(near_pairs(blocks, epsilon), blocks, basis, threshold, epsilon, np.float32 if single else np.float64))
-    known = checkpoint(reps.select("grp", "size", "vec", "rep").join(least_of_each(found, reps), "rep"))
+    known = checkpoint(least_of_each(found, reps.select("rep", "least", "grp", "size", "vec")))
     joined = good.select("id", "grp", "size", "vec").join(known, ["grp", "size", "vec"]).select("id", "n_links", F.col("least").alias("component"))
     alone = rows.filter("not good").select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component"))
     return joined.unionAll(alone).select(F.col("id").alias(key), "n_links", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
