@@ -258,10 +258,10 @@ def test_every_hundredth_vector_is_searched(spark, tmp_path):
     del v[1995]
     cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.hypot(*a) / math.hypot(*b)
     near = {q: sorted(v, key=lambda i: (round(1 - cosine(v[q][0], v[i][0]), 12), i)) for q in v if q % 100 == 0}
-    got = QUERIES["vector_topk_hundredths"](spark, str(tmp_path)).collect()
+    got = QUERIES["vector_topk_per_query"](spark, str(tmp_path)).collect()
     assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == sorted((q, k + 1, i) for q, order in near.items() for k, i in enumerate(order[:5]))
     hits = [v[q][1] == v[next(i for i in order if i != q)][1] for q, order in near.items()]
-    (row,) = QUERIES["retrieval_recall_hundredths"](spark, str(tmp_path)).collect()
+    (row,) = QUERIES["retrieval_recall"](spark, str(tmp_path)).collect()
     assert (row["n"], row["recall"]) == (20, pytest.approx(sum(hits) / 20))
     # more queries than one block holds
     vectors = spark.read.parquet(str(tmp_path / "embeddings.parquet")).filter("embedding is not null")
@@ -275,7 +275,7 @@ def test_all_orders_have_their_parts(spark, tmp_path):
     spark.createDataFrame([(1,), (49,), (50,), (51,), (7000,)], "o_orderkey bigint").write.parquet(str(tmp_path / "orders.parquet"))
     spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint").write.parquet(str(tmp_path / "lineitem.parquet"))
     spark.createDataFrame([(p, f"p{p}") for p in range(12)], "p_partkey bigint, p_name string").write.parquet(str(tmp_path / "part.parquet"))
-    got = {r["o_orderkey"]: r["related"] for r in QUERIES["enrich_related_all"](spark, str(tmp_path)).collect()}
+    got = {r["o_orderkey"]: r["related"] for r in QUERIES["enrich_related"](spark, str(tmp_path)).collect()}
     assert got == {o: [f"{p:012d} p{p}" for p in sorted({p for a, p in lines if a == o})] for o, _ in lines}
 
 
@@ -286,7 +286,7 @@ def test_whole_documents_are_paged_and_redacted(spark, tmp_path):
     got = {(r["doc_id"], r["chunk_no"]): (r["page"], r["chunk"]) for r in QUERIES["chunk_pages"](spark, str(tmp_path)).collect()}
     starts = {i: range(0, max(1, len(t) - 200), 800) for i, t in enumerate(texts) if t}
     assert got == {(i, k + 1): (k // 2 + 1, texts[i][a : a + 1000]) for i, at in starts.items() for k, a in enumerate(at)}
-    error = {r["doc_id"]: r["error"] for r in QUERIES["redact_secrets_whole"](spark, str(tmp_path)).collect()}
+    error = {r["doc_id"]: r["error"] for r in QUERIES["redact_secrets"](spark, str(tmp_path)).collect()}
     assert error[0] is None and error[1] == " [REDACTED]" and error[2] == "short [REDACTED]"
     # a text that shrinks shows what lies beyond its first 3,000 characters
     assert error[4] == ("[REDACTED]" + " z" * 1500)[:2045] + "..."
