@@ -60,12 +60,14 @@ class Postings:
 
 
 def padded(vectors: pa.Array) -> np.ndarray:
-    """Rows of whole numbers, as long as the longest."""
+    """Rows of whole numbers, as long as the longest, in as few bytes as they need."""
     sizes = vectors.value_lengths().to_numpy(zero_copy_only=False)
     flat = whole(vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64), SCALE)
     out = np.zeros((len(sizes), sizes.max(initial=0)), flat.dtype)
     out[np.arange(out.shape[1]) < sizes[:, None]] = flat
-    return out
+    if out.dtype == object:
+        return out
+    return out.astype(np.int16 if np.abs(out).max(initial=0) < 1 << 15 else np.int32)
 
 
 def invert(rows: np.ndarray, ids: np.ndarray, null: np.ndarray, x: np.ndarray) -> Postings:
@@ -93,7 +95,8 @@ class Query:
     def __init__(self, row: int, weights: np.ndarray, k: int):
         self.row, self.k = row, k
         self.terms = np.flatnonzero(weights)
-        self.weights = weights[self.terms]
+        # products and sums are longs
+        self.weights = weights[self.terms].astype(object if weights.dtype == object else np.int64)
         self.scores = np.zeros(0, np.int64)
         self.rows = self.ids = np.zeros(0, np.int64)
         self.null = np.zeros(0, bool)
