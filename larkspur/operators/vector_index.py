@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.vectors import norm
+from larkspur.operators.search import SLICE, Nearest, top_k_each
 
 #: Documented bounds: of the sample that centroids are fitted on, of the queries that probes are measured with, and of lists.
 SAMPLE, CALIBRATION, MOST_LISTS = 50_000, 200, 4096
@@ -71,8 +72,10 @@ def assign(rows: DataFrame, centroids: np.ndarray, vector: str, probes: int = 1,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = -(unit(batch.column(at), size) @ centroids.T)
-            order = np.argsort(near, axis=1, kind="stable")[:, :n].astype(np.int32)
+            # a slice at a time, so that memory does not grow with the number of centroids
+            x = unit(batch.column(at), size)
+            parts = [np.argsort(-(x[a : a + SLICE] @ centroids.T), axis=1, kind="stable")[:, :n].astype(np.int32) for a in range(0, len(x), SLICE)]
+            order = np.concatenate([np.zeros((0, n), np.int32), *parts])
             found = pa.ListArray.from_arrays(pa.array(np.arange(0, order.size + 1, n), pa.int32()), pa.array(order.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, into])
 
@@ -83,7 +86,8 @@ def nearest_in_groups(queries: DataFrame, chunks: DataFrame, k: int) -> DataFram
     """(query_id, vec_id, distance): the k nearest chunks of each query within each group that it is in.
 
     queries: grp, query_id, query; chunks: grp, vec_id, embedding; vectors of one length that have a direction. A group's queries come
-    first in its sorted stream and are held, QUERIES at most by how groups are made; its chunks pass by in batches, each compared by one matrix product.
+    first in its sorted stream and are held, QUERIES at most by how groups are made; its chunks pass by in batches, which are compared in slices, so that memory
+    depends neither on the batches nor on the lists.
     """
     key, query = queries.schema["query_id"].dataType.simpleString(), chunks.schema["vec_id"].dataType.simpleString()
     none = lambda kind: F.lit(None).cast(kind)
@@ -99,66 +103,36 @@ def nearest_in_groups(queries: DataFrame, chunks: DataFrame, k: int) -> DataFram
             for a, b in zip(change, [*change[1:], batch.num_rows]):
                 part = batch.slice(a, b - a)
                 if groups[a] != last:
-                    yield from packed(kept)
+                    yield from packed(kept, ids)
                     last, ids, held, kept = groups[a], [], [], None
                 if sides[a] == 0:
                     ids.append(part.column(2))
-                    held.append(unit(part.column(4), part.column(4)[0].values.__len__()))
+                    held.append(rows_of(part.column(4)))
                 elif ids:
                     if kept is None:
-                        kept = Nearest(pa.concat_arrays(ids), np.concatenate(held), k)
-                    kept.add(part.column(3), part.column(4))
-        yield from packed(kept)
+                        kept = Nearest(np.concatenate(held), k)
+                    kept.add(part.column(3).to_numpy(zero_copy_only=False), rows_of(part.column(4)))
+        yield from packed(kept, ids)
 
-    def packed(kept: Nearest | None) -> Iterator[pa.RecordBatch]:
+    def rows_of(vectors: pa.Array) -> np.ndarray:
+        return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+    def packed(kept: Nearest | None, ids: list[pa.Array]) -> Iterator[pa.RecordBatch]:
         if kept is not None:
-            yield kept.rows()
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids).take(pa.array(kept.rows)), pa.array(kept.ids), pa.array(kept.distances)], names=["query_id", "vec_id", "distance"])
 
     return rows.select("grp", "side", "query_id", "vec_id", "v").mapInArrow(run, f"query_id {key}, vec_id {query}, distance double")
 
 
-class Nearest:
-    """The k nearest vectors so far of each of some queries."""
-
-    def __init__(self, ids: pa.Array, x: np.ndarray, k: int):
-        self.query_ids, self.x, self.k = ids, x, k
-        self.distances = np.zeros((len(x), 0))
-        self.found: np.ndarray | None = None
-
-    def add(self, ids: pa.Array, vectors: pa.Array) -> None:
-        names = ids.to_numpy(zero_copy_only=False)
-        distances = 1 - self.x @ unit(vectors, self.x.shape[1]).T
-        found = np.broadcast_to(names, distances.shape)
-        if self.found is not None:
-            distances, found = np.concatenate([self.distances, distances], axis=1), np.concatenate([self.found, found], axis=1)
-        if distances.shape[1] > self.k:
-            # nearer first, equal ones by id; what is further than the k-th goes before the sort
-            edge = np.partition(distances, self.k - 1, axis=1)[:, self.k - 1]
-            cut = [np.flatnonzero(d <= e) for d, e in zip(distances, edge)]
-            own = [c[np.lexsort((f[c], d[c]))[: self.k]] for c, d, f in zip(cut, distances, found)]
-            distances, found = (np.stack([m[i, o] for i, o in enumerate(own)]) for m in (distances, found))
-        self.distances, self.found = distances, found
-
-    def rows(self) -> pa.RecordBatch:
-        n, k = self.distances.shape
-        ids = self.query_ids.take(pa.array(np.repeat(np.arange(n), k)))
-        return pa.RecordBatch.from_arrays([ids, pa.array(self.found.ravel()), pa.array(self.distances.ravel())], names=["query_id", "vec_id", "distance"])
-
-
 def ranked(found: DataFrame, k: int) -> DataFrame:
     """found (query_id, vec_id, distance) with rank, the k nearest of each query."""
     order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def exact(queries: DataFrame, chunks: DataFrame, k: int, parts: int = 64) -> DataFrame:
-    """(query_id, vec_id, distance, rank) by comparing every chunk with every query, in blocks of either; vectors are searchable and of one length."""
-    groups = max(1, -(-queries.count() // QUERIES))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")
-    spread = queries.select("query_id", "query", (block * parts).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("p"))
-    given = chunks.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
-    left, right = spread.select((F.col("b") + F.col("p")).alias("grp"), "query_id", "query"), given.select((F.col("g") * parts + F.col("p")).alias("grp"), "vec_id", "embedding")
-    return ranked(nearest_in_groups(left, right, k), k)
+def exact(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, distance, rank) by comparing every chunk with every query; vectors are searchable and of one length."""
+    return top_k_each(queries, chunks, k)
 
 
 @dataclass
