@@ -1,9 +1,10 @@
 """Lexical search: an inverted index with positions, web-search syntax, BM25, and fusion with vector search.
 
-Texts become stemmed terms with their positions. The index has one row per term and document (its positions, the document's length) and is
-written sorted by term, so a search for a few terms reads the row groups that hold them. Queries are a table: their literals (words and phrases,
-negated or not, in alternatives) are worked out by columns, counted and broadcast, so the postings are read where they lie, filtered and
-summed by query and document; a very frequent term is spread over as many tasks as its postings are.
+Texts become stemmed terms with their positions. The index is cut into shards of whole documents; within one, a row per term lists its documents
+with counts, lengths and positions, so it is made where the texts are read and no posting is shuffled one by one. Queries are a table: their literals (words and
+phrases, negated or not, in alternatives) are worked out by columns and counted; the rows of their terms are found by a broadcast join and meet by shard, where
+every query is matched and its best documents stay. What is shuffled is thus the asked part of the index and k rows per query and shard, however
+many documents match.
 
 Web-search syntax: words must all occur; "a phrase" must stand as it is; ``or`` separates alternatives; ``-word`` and ``-"a phrase"`` must not occur.
 An alternative without anything that must occur finds nothing. A document is scored by the wanted terms of all alternatives.
@@ -12,18 +13,25 @@ An alternative without anything that must occur finds nothing. A document is sco
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from larkspur.session import checkpoint
+
 #: Fixed values of BM25.
 K1, B = 1.2, 0.75
-#: Literals of a batch of queries that are broadcast at once; more are searched in parts.
+#: Literals of a batch of queries that go to the tasks at once; more are searched in parts.
 MOST_LITERALS = 100_000
+#: Words of a shard, after which it ends with its document.
+SHARD_WORDS = 2_000_000
 
 WORD = r"[\p{L}\p{N}]+"
 
@@ -100,22 +108,71 @@ def stem(word: Column) -> Column:
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", stemmer: Stemmer = stem) -> DataFrame:
-    """(term, doc_id, positions, doc_length): one row per term of a document; documents without words have none.
+    """The index of docs as shards of about SHARD_WORDS words of whole documents: (shard, term, n, words, docs, lengths, counts, positions).
 
-    A document's words are gone through where it is read: a very long text is exploded, never gathered, and summed by term before the shuffle.
+    A row per shard and term lists the n documents that have it by id, each with its number of words, how often it has the term, and where; counts
+    cut positions. The row of the empty term has the shard's number of texts and of words. Documents without words are in none. Texts meet by id in one task,
+    which goes through their words as a stream, so that a word is in no shuffle.
     """
-    spoken = docs.select(F.col(key).alias("doc_id"), words(F.col(text)).alias("words"))
+    own = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null").repartition("doc_id")
     # the length is taken before words are exploded, so that no row carries them all
-    counted = spoken.select("doc_id", F.size("words").alias("doc_length"), "words").filter("doc_length > 0")
-    each = counted.select("doc_id", "doc_length", F.posexplode("words").alias("position", "word"))
-    return each.withColumn("term", stemmer(F.col("word"))).groupBy("term", "doc_id", "doc_length").agg(F.array_sort(F.collect_list("position")).alias("positions"))
+    counted = own.select("doc_id", words(F.col("text")).alias("words")).select("doc_id", F.size("words").alias("doc_length"), "words").filter("doc_length > 0")
+    each = counted.sortWithinPartitions("doc_id", "doc_length").select("doc_id", "doc_length", F.posexplode("words").alias("position", "word"))
+    rows = each.select(F.spark_partition_id().alias("part"), "doc_id", "doc_length", "position", stemmer(F.col("word")).alias("term"))
+    kind = own.schema["doc_id"].dataType.simpleString()
+    names = ["shard", "term", "n", "words", "docs", "lengths", "counts", "positions"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, shard = [], 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if size >= SHARD_WORDS:
+                # a shard ends where another document begins
+                same = pc.equal(batch.column(1), held[-1].column(1)[-1]).to_numpy(zero_copy_only=False)
+                cut = batch.num_rows if same.all() else int(same.argmin())
+                held.append(batch.slice(0, cut))
+                batch = batch.slice(cut)
+                if batch.num_rows:
+                    yield packed(held, shard)
+                    held, size, shard = [], 0, shard + 1
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+        if held:
+            yield packed(held, shard)
+
+    def packed(held: list[pa.RecordBatch], shard: int) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        part = table.column(0)[0].as_py()
+        ids, terms = (table.column(i).combine_chunks().dictionary_encode() for i in (1, 4))
+        doc, length, position = ids.indices.to_numpy(), table.column(2).to_numpy(), table.column(3).to_numpy()
+        order = pc.sort_indices(terms.dictionary)
+        rank = np.empty(len(order), np.int32)
+        rank[order.to_numpy()] = np.arange(len(order))
+        code = rank[terms.indices.to_numpy()]
+        by = np.argsort(code, kind="stable")  # documents are in order already
+        code, doc, length, at = code[by], doc[by], length[by], position[by]
+        new_term = np.r_[True, code[1:] != code[:-1]]
+        entry = np.flatnonzero(new_term | np.r_[True, (doc[1:] != doc[:-1]) | (length[1:] != length[:-1])])
+        first = np.flatnonzero(new_term)
+        # row 0 is that of the empty term
+        of_entries, of_words = (np.r_[0, x, n].astype(np.int32) for x, n in ((np.searchsorted(entry, first), len(entry)), (first, len(code))))
+        listed = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets), values)
+        columns = [
+            pa.array(np.full(len(first) + 1, part << 32 | shard)), pa.concat_arrays([pa.array([""], terms.dictionary.type), terms.dictionary.take(order)]),
+            pa.array(np.r_[int((position == 0).sum()), np.diff(of_entries[1:])].astype(np.int64)), pa.array(np.r_[len(code), np.diff(of_words[1:])].astype(np.int64)),
+            listed(of_entries, ids.dictionary.take(pa.array(doc[entry]))), listed(of_entries, pa.array(length[entry])), listed(of_entries, pa.array(np.diff(np.r_[entry, len(code)]).astype(np.int32))), listed(of_words, pa.array(at)),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    return rows.mapInArrow(run, f"shard bigint, term string, n bigint, words bigint, docs array<{kind}>, lengths array<int>, counts array<int>, positions array<int>")
 
 
 def write_index(index: DataFrame, path: str, files: int | None = None) -> None:
-    """Postings sorted by term, so that a term is found by the statistics of row groups; equal terms may span files."""
-    n = files or int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    index.repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    index.groupBy("doc_id").agg(F.first("doc_length").alias("doc_length")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("doc_length").alias("n_words")).write.mode("overwrite").parquet(f"{path}/totals")
+    """Postings as their tasks make them, each shard in order of terms; files: how many at most."""
+    (index.coalesce(files) if files else index).write.mode("overwrite").parquet(f"{path}/postings")
+    index.sparkSession.read.parquet(f"{path}/postings").filter("term = ''").agg(F.sum("n").alias("n_docs"), F.sum("words").alias("n_words")).write.mode("overwrite").parquet(f"{path}/totals")
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -134,46 +191,152 @@ def literals(queries: DataFrame, stemmer: Stemmer = stem) -> DataFrame:
     return each.withColumn("term", stemmer(F.col("word"))).drop("word")
 
 
-def matches(wanted: DataFrame, index: DataFrame) -> DataFrame:
-    """(query_id, doc_id) of documents that some alternative of the literals matches."""
-    small = F.broadcast(wanted)
-    keys = ["query_id", "alternative", "literal", "negated", "size", "doc_id"]
-    hits = index.join(small, "term")
-    plain = hits.filter("size = 1").select(*keys)
-    # a phrase stands where each of its words is at its offset
-    starts = hits.filter("size > 1").select(*keys, "offset", F.explode("positions").alias("position"))
-    phrases = starts.groupBy(*keys, (F.col("position") - F.col("offset")).alias("start")).agg(F.count(F.lit(1)).alias("n")).filter("n = size").select(*keys).distinct()
-    met = plain.unionByName(phrases)
-    counted = met.groupBy("query_id", "alternative", "doc_id").agg(F.count_if(~F.col("negated")).alias("met"), F.count_if("negated").alias("barred"))
-    needed = wanted.select("query_id", "alternative", "literal", "negated").distinct().groupBy("query_id", "alternative").agg(F.count_if(~F.col("negated")).alias("needed")).filter("needed > 0")
-    return counted.join(F.broadcast(needed), ["query_id", "alternative"]).filter("met = needed and barred = 0").select("query_id", "doc_id").distinct()
-
-
 def bm25(queries: DataFrame, index: DataFrame, totals: DataFrame, k: int, stemmer: Stemmer = stem) -> DataFrame:
     """(query_id, doc_id, score, rank): the k best matches of each of queries (query_id, query); ties go by doc_id.
 
-    The queries' literals are counted first; more than MOST_LITERALS are searched in parts by query, so what is broadcast stays bounded.
+    The queries' literals are counted first; more than MOST_LITERALS are searched in parts by query, so what goes to the tasks stays bounded.
     """
-    asked = literals(queries, stemmer)
+    asked = checkpoint(literals(queries, stemmer))
     parts = max(1, -(-asked.count() // MOST_LITERALS))
     found = []
     for p in range(parts):
         own = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p).toArrow()  # about MOST_LITERALS rows
-        found.append(_best(queries.sparkSession.createDataFrame(own, asked.schema), index, totals, k))
+        found.append(_best(queries.sparkSession.createDataFrame(own, asked.schema), own, index, totals, k))
     return reduce(DataFrame.unionByName, found)
 
 
-def _best(wanted: DataFrame, index: DataFrame, totals: DataFrame, k: int) -> DataFrame:
-    matched = matches(wanted, index)
-    terms = wanted.filter("not negated").select("query_id", "term").distinct()
-    asked = index.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
-    frequency = asked.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # one row of totals, and one per term of the queries
-    weighed = terms.join(F.broadcast(frequency), "term").crossJoin(F.broadcast(totals))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = weighed.select("query_id", "term", idf.alias("idf"), (F.col("n_words") / F.col("n_docs")).alias("mean"))
-    tf = F.size("positions")
-    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_length") / F.col("mean")))
-    scores = asked.join(F.broadcast(weights), "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+@dataclass
+class Asked:
+    """A query: its place among the queries, its alternatives (literals that must occur and that must not, each the terms of its words), and what it is scored by."""
+
+    place: int
+    alternatives: list[tuple[list[tuple[str, ...]], list[tuple[str, ...]]]]
+    terms: list[str]
+
+
+def arranged(wanted: pa.Table) -> tuple[pa.Array, list[Asked]]:
+    """The ids of the queries of literals, and the queries; an alternative without anything that must occur is left out."""
+    ids = wanted.column("query_id").combine_chunks().dictionary_encode()
+    found: dict[tuple, dict[int, str]] = {}
+    rest = zip(ids.indices.to_pylist(), *(wanted.column(c).to_pylist() for c in ("alternative", "literal", "negated", "offset", "term")))
+    for place, alternative, literal, negated, offset, term in rest:
+        found.setdefault((place, alternative, literal, negated), {})[offset] = term
+    queries: dict[int, dict[int, tuple[list, list]]] = {}
+    for (place, alternative, _, negated), by_offset in sorted(found.items(), key=lambda x: x[0]):
+        queries.setdefault(place, {}).setdefault(alternative, ([], []))[negated].append(tuple(by_offset[i] for i in sorted(by_offset)))
+    out = []
+    for place, alternatives in queries.items():
+        scored = sorted({t for must, _ in alternatives.values() for terms in must for t in terms})
+        out.append(Asked(place, [(must, barred) for must, barred in alternatives.values() if must], scored))
+    return ids.dictionary, [q for q in out if q.alternatives]
+
+
+class Shard:
+    """The postings of some terms in one shard, (term, weight, docs, lengths, counts, positions) with the mean length of all documents."""
+
+    def __init__(self, rows: pa.Table, mean: float, longest: int):
+        value = lambda name: pc.list_flatten(rows.column(name).combine_chunks())
+        ids = value("docs").dictionary_encode()
+        order = pc.sort_indices(ids.dictionary)
+        rank = np.empty(len(order), np.int64)
+        rank[order.to_numpy()] = np.arange(len(order))
+        self.ids, self.docs = ids.dictionary.take(order), rank[ids.indices.to_numpy()]
+        counts, lengths, positions = (value(c).to_numpy(zero_copy_only=False) for c in ("counts", "lengths", "positions"))
+        sizes, spans = (np.r_[0, np.cumsum(pc.list_value_length(rows.column(c)).to_numpy())] for c in ("docs", "positions"))
+        weight = np.repeat(rows.column("weight").to_numpy(), np.diff(sizes))
+        self.parts = weight * counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths / mean))
+        # a place for each position, with room between documents for the longest phrase
+        self.stride = int(lengths.max(initial=0)) + longest + 1
+        # only terms of phrases have positions
+        placed = np.repeat(np.diff(spans) > 0, np.diff(sizes))
+        term = np.repeat(np.arange(len(sizes) - 1), np.diff(spans))
+        self.places = np.repeat(self.docs[placed], counts[placed]) * self.stride + positions
+        # copies of one id have places of their own twice
+        by = np.lexsort((self.places, term))
+        self.places = self.places[by]
+        self.at = {t: (a, b, c, d) for t, a, b, c, d in zip(rows.column("term").to_pylist(), sizes.tolist(), sizes[1:].tolist(), spans.tolist(), spans[1:].tolist())}
+
+    def having(self, terms: tuple[str, ...]) -> np.ndarray:
+        """Which documents have a literal."""
+        out = np.zeros(len(self.ids), bool)
+        if any(t not in self.at for t in terms):
+            return out
+        if len(terms) == 1:
+            a, b, _, _ = self.at[terms[0]]
+            out[self.docs[a:b]] = True
+            return out
+        # starts of the rarest word, and of those the ones where all others are at their places
+        own = sorted((self.at[t][3] - self.at[t][2], i, t) for i, t in enumerate(terms))
+        starts = None
+        for _, i, t in own:
+            places = self.places[self.at[t][2] : self.at[t][3]]
+            if starts is None:
+                starts = places - i
+            else:
+                near = np.searchsorted(places, starts + i)
+                starts = starts[places[np.minimum(near, len(places) - 1)] == starts + i]
+            if not len(starts):
+                return out
+        out[(starts + own[0][1]) // self.stride] = True
+        return out
+
+    def best(self, query: Asked, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best matches, as numbers of documents, and their scores; ties go by id."""
+        matched = np.zeros(len(self.ids), bool)
+        for must, barred in query.alternatives:
+            if any(t not in self.at for terms in must for t in terms):
+                continue
+            own = self.having(must[0])
+            for terms in must[1:]:
+                own &= self.having(terms)
+            for terms in barred:
+                own &= ~self.having(terms)
+            matched |= own
+        found = np.flatnonzero(matched)
+        if not len(found):
+            return found, np.zeros(0)
+        scores = np.zeros(len(self.ids))
+        for t in query.terms:
+            if t in self.at:
+                a, b, _, _ = self.at[t]
+                scores += np.bincount(self.docs[a:b], self.parts[a:b], len(scores))
+        order = np.lexsort((found, -np.round(scores[found], 9)))[:k]
+        return found[order], scores[found[order]]
+
+
+def _best(wanted: DataFrame, literal_rows: pa.Table, index: DataFrame, totals: DataFrame, k: int) -> DataFrame:
+    """The k best matches of the queries of some literals: each shard's, and of those the best of all. The postings of their terms meet by shard; a match is in no shuffle."""
+    ids, queries = arranged(literal_rows)
+    longest = max([len(terms) for q in queries for alternative in q.alternatives for own in alternative for terms in own], default=1)
+    # one row per term of the queries, and one of totals
+    terms = F.broadcast(wanted.groupBy("term").agg(F.max(F.col("size") > 1).alias("in_phrase")))
+    frequency = index.select("term", "n").join(terms.select("term"), "term").groupBy("term").agg(F.sum("n").alias("df"))
+    weight = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = frequency.crossJoin(F.broadcast(totals)).select("term", weight.alias("weight"), (F.col("n_words") / F.col("n_docs")).alias("mean"))
+    positions = F.when(F.col("in_phrase"), F.col("positions")).otherwise(F.array().cast("array<int>")).alias("positions")
+    asked = index.join(terms, "term").join(F.broadcast(weights), "term").select("shard", "mean", "term", "weight", "docs", "lengths", "counts", positions)
+    rows = asked.repartition("shard").sortWithinPartitions("shard")
+    schema = f"query_id {wanted.schema['query_id'].dataType.simpleString()}, doc_id {index.schema['docs'].dataType.elementType.simpleString()}, score double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            shards = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(shards[1:] != shards[:-1]) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
+            for a, b in zip(cuts, cuts[1:]):
+                if held and held[0].column(0)[0].as_py() != shards[a]:
+                    yield searched(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield searched(held)
+
+    def searched(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        shard = Shard(pa.Table.from_batches(held), held[0].column(1)[0].as_py(), longest)
+        found = [(q.place, *shard.best(q, k)) for q in queries]
+        places = np.repeat(np.array([f[0] for f in found], np.int64), np.array([len(f[1]) for f in found], np.int64))
+        docs, scores = (np.concatenate([np.zeros(0, kind), *(f[i] for f in found)]) for i, kind in ((1, np.int64), (2, np.float64)))
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(places)), shard.ids.take(pa.array(docs)), pa.array(scores, pa.float64())], names=["query_id", "doc_id", "score"])
+
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
-    return scores.join(matched, ["query_id", "doc_id"]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return rows.mapInArrow(run, schema).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -150,3 +150,34 @@ def test_fusion_of_each_query(spark):
     b = spark.createDataFrame([(1, 11, 1), (1, 12, 2)], "query_id int, doc_id int, rank int")
     found = [(r["query_id"], r["rank"], r["doc_id"]) for r in search.fuse_each([a, b], "query_id", "doc_id", 2).orderBy("query_id", "rank").collect()]
     assert found == [(1, 1, 11), (1, 2, 10), (2, 1, 10)]
+
+
+def test_postings_and_matches_are_not_shuffled_one_by_one(spark, tmp_path):
+    # one row per term of a shard, however many documents have it, and copies of an id are one document
+    rows = [(i, "common words here" + " common" * (i % 3)) for i in range(300)] + [(7, "other words")]
+    index = fulltext.postings(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1))
+    fulltext.write_index(index, str(tmp_path))
+    stored, totals = fulltext.read_index(spark, str(tmp_path))
+    assert stored.count() <= 8 * 5 and tuple(totals.collect()[0]) == (301, 300 * 3 + 300 + 2)
+    found = fulltext.bm25(spark.createDataFrame([(1, "common other"), (2, '"common words" -other')], "query_id bigint, query string"), stored, totals, 400)
+    assert "hashpartitioning(query_id, doc_id" not in found._jdf.queryExecution().toString().replace("#", "").translate(str.maketrans("", "", "0123456789L"))
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["query_id"], set()).add(r["doc_id"])
+    assert got == {1: {7}, 2: set(range(300)) - {7}}
+
+
+def test_nearest_holds_slices_and_exact_ties(spark):
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(2000, 16)), np.repeat(rng.normal(size=(2500, 16)), 4, axis=0)
+    tracemalloc.start()
+    kept = vector_index.Nearest(x, 6)
+    kept.add(np.arange(10_000)[::-1].copy(), y[::-1])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150_000_000  # a batch's distances to all queries would be 160 MB at once, and several of them
+    for q in (0, 1234):
+        d = 1 - (x[q] * y).cumsum(axis=1)[:, -1] / (np.sqrt((x[q] ** 2).cumsum()[-1]) * np.sqrt((y**2).cumsum(axis=1)[:, -1]))
+        assert kept.ids[kept.rows == q].tolist() == np.lexsort((np.arange(10_000), d))[:6].tolist()
