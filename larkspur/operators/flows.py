@@ -55,9 +55,11 @@ def levels(nodes: DataFrame, links: DataFrame) -> DataFrame:
     raise ValueError(f"a way of more than {DEEPEST} nodes")
 
 
-def cycles(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(id): the nodes on cycles or between two. What has no level forwards and none backwards is on one."""
-    ahead = levels(nodes, links).filter("level is null").select("id")
+def cycles(nodes: DataFrame, links: DataFrame, placed: DataFrame | None = None) -> DataFrame:
+    """(id): the nodes on cycles or between two. What has no level forwards and none backwards is on one. placed: the levels, if they are known."""
+    ahead = checkpoint((levels(nodes, links) if placed is None else placed).filter("level is null").select("id"))
+    if ahead.isEmpty():
+        return ahead
     rest = links.join(ahead.select(F.col("id").alias("source")), "source", "left_semi").join(ahead.select(F.col("id").alias("target")), "target", "left_semi")
     return levels(ahead, rest.select(F.col("target").alias("source"), F.col("source").alias("target"))).filter("level is null").select("id")
 
@@ -72,7 +74,7 @@ def run_order(nodes: DataFrame, links: DataFrame, stops: DataFrame) -> tuple[Dat
     involved = checkpoint(up.select(F.col("node").alias("id")).distinct())
     inside = links.join(involved.select(F.col("id").alias("target")), "target", "left_semi")
     placed = checkpoint(levels(involved, inside))
-    looped = checkpoint(cycles(involved, inside))
+    looped = checkpoint(cycles(involved, inside, placed))
     run = up.select("stop", F.col("node").alias("id"), "distance").join(placed.filter("level is not null"), "id").join(known, "id", "left_semi").select("stop", "id", "level", "distance")
     at = up.select("stop", F.col("node").alias("id"))
     missing = at.join(known, "id", "left_anti").select("stop", "id", F.lit("no node").alias("problem"))

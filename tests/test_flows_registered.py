@@ -121,3 +121,13 @@ def test_a_search_reads_one_tenant_and_hot_ones_are_cut(spark, tmp_path):
     assert all(r["vec_id"] % 5 == 1 for r in found.collect())
     plan = found._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(tenant" in plan and "(tenant" in plan
+
+
+def test_levels_are_worked_out_once_without_cycles(spark, monkeypatch):
+    asked, real = [], flows.levels
+    monkeypatch.setattr(flows, "levels", lambda *args: asked.append(1) or real(*args))
+    links = spark.createDataFrame([("a", "b"), ("b", "c")], "source string, target string")
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    run, problems = flows.run_order(nodes, links, nodes.filter("id = 'c'"))
+    assert {(r["id"], r["level"], r["distance"]) for r in run.collect()} == {("a", 0, 2), ("b", 1, 1), ("c", 2, 0)} and problems.isEmpty()
+    assert len(asked) == 1
