@@ -255,9 +255,9 @@ def corpus_sample(docs: DataFrame, key: str = "doc_id", text: str = "text", path
     return checkpoint(named.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("path").alias("path")))
 
 
-def frequent_words(sample: DataFrame, most: int = WORDS_MOST) -> tuple[str, ...]:
-    """The sample's words of letters, most frequent first."""
-    words = sample.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,20}"), 0)).alias("word"))
+def frequent_words(docs: DataFrame, most: int = WORDS_MOST) -> tuple[str, ...]:
+    """The words of letters of all docs (text), most frequent first; a bounded number of them goes to the driver."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,20}"), 0)).alias("word"))
     top = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy(F.desc("n"), "word").limit(most)
     return tuple(r["word"] for r in top.collect())
 
@@ -327,9 +327,9 @@ def made_findings(spark: SparkSession, places: list[tuple[str, str, str]], words
 
 
 def fit_to_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = "source", n: int = MADE, seed: int = 10) -> Model:
-    """A model whose findings are made in a sample of docs, with its frequent words as the dictionary."""
+    """A model whose findings are made in a bounded number of docs, with the frequent words of all of them as the dictionary."""
     sample = corpus_sample(docs, key, text, path)
-    words = frequent_words(sample)
+    words = frequent_words(docs.select(F.col(text).alias("text")))
     return fit(made_findings(docs.sparkSession, contexts(sample), words, n, seed), words)
 
 
