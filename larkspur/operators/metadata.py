@@ -41,3 +41,10 @@ def filtered(chunks: DataFrame, metadata: str, wanted: Mapping[str, Json], keys:
         if k in keys and isinstance(v, _KINDS[keys[k]]) and not (isinstance(v, bool) and keys[k] != "boolean"):
             out = out.filter(F.col("`" + (PREFIX + k).replace("`", "``") + "`") == F.lit(v))
     return out.filter(holds(F.try_parse_json(metadata), wanted, also, absent))
+
+
+def which(chunks: DataFrame, metadata: str, filters: Mapping[str, tuple[Mapping[str, Json], Mapping[str, Json] | None, str | None]], into: str = "filter") -> DataFrame:
+    """chunks with into: a row for each of filters (name: wanted, also, absent) that its metadata hold; the metadata are read and parsed once for all of them."""
+    parsed = chunks.withColumn("_value", F.try_parse_json(metadata))
+    names = F.array(*(F.when(holds(F.col("_value"), wanted, also, absent), F.lit(name)) for name, (wanted, also, absent) in filters.items()))
+    return parsed.select(*chunks.columns, F.explode(F.array_compact(names)).alias(into))

@@ -185,12 +185,8 @@ def metadata_containment(spark, folder):
     path = shared_folder(spark)
     metadata.shredded(_described(spark, folder), "metadata", {"user_id": "bigint"}).write.parquet(path)
     rows = spark.read.parquet(path)
-    found = [metadata.filtered(rows, "metadata", wanted, {"user_id": "bigint"}).select(F.lit(name).alias("filter"), "o_orderkey") for name, (wanted, _) in _FILTERS.items()]
-    found.append(metadata.filtered(rows, "metadata", {"a.b": "O"}, {}, {"user_id": 5}, "chat_id").select(F.lit("absent").alias("filter"), "o_orderkey"))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionAll(f)
-    return out
+    filters = {name: (wanted, None, None) for name, (wanted, _) in _FILTERS.items()} | {"absent": ({"a.b": "O"}, {"user_id": 5}, "chat_id")}
+    return metadata.which(rows, "metadata", filters).select("filter", "o_orderkey")
 
 
 # limits and alerts

@@ -101,3 +101,10 @@ def test_leaves_of_too_many_levels(spark):
     raw = spark.createDataFrame([("[" * 70 + '"x"' + "]" * 70,)], "j string")
     with pytest.raises(ValueError):
         json_loader.json_strings(raw, "j")
+
+
+def test_filters_share_one_scan(spark):
+    rows = spark.createDataFrame([(1, '{"a":1}'), (2, '{"a":"1","b":null}'), (3, "no json"), (4, None)], "id int, m string")
+    found = metadata.which(rows, "m", {"one": ({"a": 1}, None, None), "null": ({"b": None}, None, None), "either": ({"a": "1"}, {"a": 1}, "b")})
+    assert {(r["id"], r["filter"]) for r in found.collect()} == {(1, "one"), (1, "either"), (2, "null")}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parse_json") + found._jdf.queryExecution().optimizedPlan().toString().count("parseJson") <= 1
