@@ -6,8 +6,8 @@ part once, as a class with a number of copies.
 
 Each of TREES trees is a prefix trie over sequences of MinHash values of eight bits, kept as sorted keys. A tree's sequence begins with
 OWN values of its own and goes on into the next tree's, DEEPEST in all. The matched prefix starts at its deepest and is shortened
-until the target recall is met (``matched_depth``): the share of the links of a sample, verified exactly, that still meet in some
-tree. A sample too small to tell leaves the prefix at the depth where a pair at the threshold, the worst case, meets with the target
+until the target recall is met (``matched_depth``): the share of the links among all pairs of a class and the smallest of its prefix,
+verified exactly, that still meet in some tree. Too few to tell leave the prefix at the depth where a pair at the threshold, the worst case, meets with the target
 probability (``prefix_depth``); it is never shorter, so no corpus is matched worse than that.
 
 Classes that share a prefix are joined to the smallest of them, so a very common prefix gives one row per class and tree and
@@ -44,8 +44,6 @@ THRESHOLD = 0.8
 #: Trees, values of a tree's own (eight bits each, one word), and of its whole sequence.
 TREES, OWN, DEEPEST = 40, 8, 16
 RECALL = 0.999
-#: Documented bound of the sample of candidate pairs that the recall of a prefix is measured on.
-SAMPLE = 6000
 #: Signature values that a candidate pair is compared by, and by how many standard errors it may fall short of the threshold.
 COMPARED, ERRORS = 128, 4.5
 #: Classes of a prefix whose pairs are compared by their signatures.
@@ -199,16 +197,15 @@ def deepest_meeting(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.cumprod(same, axis=1).sum(axis=1).max())
 
 
-def link_depths(docs: DataFrame, key: str, text: str, classes: DataFrame, words: DataFrame, pairs: DataFrame, threshold: float, sample: int = SAMPLE) -> dict[int, int]:
-    """How many of a sample of pairs (a, b) are links, by the longest prefix that they share; ``sample`` pairs, of lowest hash, are verified."""
-    chosen = checkpoint(pairs.orderBy(F.xxhash64("a", "b"), "a", "b").limit(sample))
-    # a bounded number of classes, which their texts are looked up by
-    ids = chosen.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    few = F.broadcast(ids.join(classes, "rep").select("rep", "least", "set1", "set2"))
-    texts = docs.select(F.col(key).cast("bigint").alias("least"), F.col(text).alias("text")).join(few, "least")
-    sets = shingle_sets(texts.select("rep", "set1", "set2", "text")).select("rep", "shingles").join(words.join(F.broadcast(ids), "rep"), "rep")
+def link_depths(docs: DataFrame, key: str, text: str, classes: DataFrame, words: DataFrame, pairs: DataFrame, threshold: float) -> dict[int, int]:
+    """How many of the pairs (a, b) are links, by the longest prefix that they share; all are verified. A class without ``least`` is named by its id."""
+    named = classes if "least" in classes.columns else classes.withColumn("least", F.col("rep"))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    known = ids.join(named, "rep").select("rep", "least", "set1", "set2")
+    texts = docs.select(F.col(key).cast("bigint").alias("least"), F.col(text).alias("text")).join(known, "least")
+    sets = checkpoint(shingle_sets(texts.select("rep", "set1", "set2", "text")).select("rep", "shingles").join(words, "rep"))
     side = lambda s: sets.select(F.col("rep").alias(s), F.col("shingles").alias(f"{s}_set"), F.col("words").alias(f"{s}_words"))
-    both = chosen.join(side("a"), "a").join(side("b"), "b").select("a_set", "b_set", "a_words", "b_words")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a_set", "b_set", "a_words", "b_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,9 +222,9 @@ def link_depths(docs: DataFrame, key: str, text: str, classes: DataFrame, words:
 
 
 def matched_depth(links: dict[int, int], least: int, recall: float) -> int:
-    """The longest prefix, least at the shortest, that loses no more of the sampled links than the target recall lets it.
+    """The longest prefix, least at the shortest, that loses no more of the counted links than the target recall lets it.
 
-    Three links more than were lost are counted (the rule of three), so a small sample does not pass for a sure one.
+    Three links more than were lost are counted (the rule of three), so few links do not pass for a sure recall.
     """
     total = sum(links.values())
     for depth in range(DEEPEST, least, -1):

@@ -649,3 +649,20 @@ def test_license_columns_of_any_name(spark):
     out = licenses.scan(df)
     assert out.columns == ["doc_id", "lang", "_text", "_PASS", "_joined", "_words", "_count", "_base", "_found", "a.b", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     assert {r["doc_id"]: (r["_PASS"], r["n_words"], r["labels"]) for r in out.collect()} == {0: ("own", 4, "mit"), 1: ("own", 0, "")}
+
+
+def test_every_pair_is_counted_and_every_word(spark):
+    import inspect
+
+    assert "sample" not in inspect.signature(ngrams.link_depths).parameters
+    df = docs(spark, [f"rare{i} " + "often often" * (i > 2) for i in range(6)])
+    assert secrets.frequent_words(df, 1) == ("often",)
+    asked = []
+    real, secrets_words = secrets.frequent_words, lambda given, *args: asked.append(given.count()) or real(given, *args)
+    many = spark.range(2500).selectExpr("id AS doc_id", "concat('word', id % 7) AS text", "'s' AS source")
+    secrets.frequent_words, before = secrets_words, secrets.frequent_words
+    try:
+        secrets.fit_to_corpus(many, n=4)
+    finally:
+        secrets.frequent_words = before
+    assert asked == [2500]
