@@ -1,7 +1,9 @@
 """Limits and alerts as streams equal a plain replay, with rows out of order, in any batches and after a restart."""
 
+import json
 from datetime import datetime, timedelta
 from decimal import Decimal
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from larkspur.operators import budget
 from larkspur.streaming.counters import run_available, to_table
-from larkspur.streaming.keyed import fan_out, first_breach_alerts, first_hit_limits, keyed_state
+from larkspur.streaming.keyed import FirstHit, fan_out, first_breach_alerts, first_hit_limits, keyed_state
 
 SCHEMA = "event_id bigint, ts timestamp, user string, route string, amount double"
 START = datetime(2024, 1, 1)
@@ -107,3 +109,58 @@ def test_alert_text(spark):
     got = [r[0] for r in rows.select(budget.alert_text(F.col("c"), F.col("s"), F.col("p"), F.col("d"), {"vision": "Vision"})).collect()]
     assert got[0].endswith("Vision\n<b>Spent:</b> $7.5 (cap $5, +50%)\n<b>Resets:</b> 2025-01-01T00:00:00.000Z")
     assert "embedding\n<b>Spent:</b> $0.1235 (cap $0.1, +23%)\n<b>Resets:</b> 2024-02-29" in got[1]
+
+
+class Counted:
+    """A processor's handle that counts the messages that its state costs."""
+
+    def __init__(self):
+        self.n, self.held = 0, []
+
+    def message(self, *args):
+        self.n += 1
+
+    registerTimer = update = message
+
+    def getListState(self, name, schema):
+        return self
+
+    def getValueState(self, name, schema):
+        return SimpleNamespace(get=self.message, exists=self.message, update=self.message, clear=self.message)
+
+    def appendValue(self, value):
+        self.message()
+        self.held.append(value)
+
+    def get(self):
+        self.message()
+        return self.held
+
+    def clear(self):
+        self.message()
+
+
+def test_messages_to_the_state_do_not_grow_with_rows_and_routes():
+    handle, processor = Counted(), FirstHit(60_000_000)
+    processor.init(handle)
+    rows = [{"row": json.dumps([str(i * 1_000_000), str(i), f"2:r{i % 5}"])} for i in range(100)]
+    assert not list(processor.handleInputRows(("a", ""), iter(rows), None)) and handle.n == 2
+    out = list(processor.handleExpiredTimer(("a", ""), SimpleNamespace(getCurrentWatermarkInMs=lambda: 10**9), None))
+    assert len(out) == 100 and handle.n <= 6
+    assert [(r["id"], r["index"], r["allowed"]) for r in out if r["route"] == "r1"][:4] == [("1", 1, True), ("6", 2, True), ("11", 3, False), ("16", 4, False)]
+    # the next window of a route opens a minute after its last one did
+    assert [r["id"] for r in out if r["index"] == 1] == [*map(str, range(5)), *map(str, range(60, 65))]
+
+
+def test_limits_of_unknown_trackers_and_routes(spark, tmp_path):
+    rows = [(i, START + timedelta(seconds=i), user, route, None) for i, (user, route) in enumerate([(None, "x"), ("unknown", "x"), (None, "y"), (None, None), ("u", None), ("u", "x"), (None, "x")])]
+    rows.append((99, START + timedelta(hours=1), "last", "x", None))
+    run_in_two(spark, str(tmp_path), rows, lambda s: first_hit_limits(s, "user", "route", "ts", "event_id", {"x": 2}, 9, 60, "1 minute"), to_table(str(tmp_path / "out")))
+    got = {(r["tracker"], r["route"], r["id"], r["index"], r["allowed"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {("unknown", "x", "0", 1, True), ("unknown", "x", "1", 2, True), ("unknown", "y", "2", 1, True), ("unknown", "", "3", 1, True), ("u", "", "4", 1, True), ("u", "x", "5", 1, True), ("unknown", "x", "6", 3, False)}
+
+
+def test_alerts_with_null_amounts(spark, tmp_path):
+    rows = [(i, START + timedelta(seconds=i), "a", "search", amount) for i, amount in enumerate([None, 2.0, None, 1.0])] + [(9, START + timedelta(hours=1), "a", "list", 1.0)]
+    run_in_two(spark, str(tmp_path), rows, lambda s: first_breach_alerts(s, "route", "ts", "amount", "event_id", {"search": 2.0}, "1 minute"), to_table(str(tmp_path / "out")))
+    assert [(r["category"], r["id"], r["spent"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("search", "2", 2.0)]
