@@ -112,3 +112,19 @@ def test_stores_are_described_by_a_model(spark):
     rows = spark.createDataFrame([(1, n, f"chunk {n}") for n in range(1, 6)], "store_id int, chunk_no int, chunk string")
     model = ScriptedModel({'"samples":["chunk 1","chunk 2","chunk 3"]': "About filters.", '"empty","samples":[]': "Nothing yet."})
     assert {r["id"]: r["description"] for r in described_stores(stores, rows, model).collect()} == {1: "About filters.", 2: "Nothing yet.", 3: None}
+
+
+def test_grouped_deals_rows_into_tasks_by_their_number(spark, monkeypatch):
+    """A task's rows do not grow with the table, however few partitions the session has."""
+    monkeypatch.setattr(answers, "TASK_ROWS", 10, raising=False)
+    items = spark.range(100).selectExpr("cast(id as string) item_id", "'order' kind")
+    related = spark.range(200).selectExpr("cast(id div 2 as string) item_id", "concat('p', id % 7) related_id", "'part' kind")
+    found = items.filter("item_id < '5'").select("item_id").unionAll(spark.createDataFrame([("7",), ("7",), (None,), ("none",)], "item_id string"))
+    out = answers.grouped(found, items.unionAll(items.limit(3)).unionAll(spark.createDataFrame([(None, "order")], "item_id string, kind string")), related)
+    assert out.rdd.getNumPartitions() >= 30
+    ids = {r[0] for r in found.collect()} - {None, "none"}
+    want = {("order", i): [i] for i in ids}
+    for i in range(200):
+        if str(i // 2) in ids:
+            want.setdefault(("part", f"p{i % 7}"), []).append(str(i // 2))
+    assert {(r["kind"], r["id"]): r["source_ids"] for r in out.collect()} == {k: sorted(set(v)) for k, v in want.items()}
