@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larkspur.session import without_vast_estimate
+
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and read it back, cutting its lineage.
@@ -24,7 +26,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-", dir=os.environ.get("TMPDIR")))
-    return df.checkpoint(eager=True)
+    return without_vast_estimate(df.checkpoint(eager=True))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

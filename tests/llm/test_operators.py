@@ -1,5 +1,7 @@
 """Each operator against a plain version of itself, on odd inputs: nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
 
+import datetime
+import decimal
 import hashlib
 import re
 import unicodedata
@@ -10,8 +12,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from larkspur import session
 from larkspur.llm import audio, bpe, chat, licenses, lines, mixing, ngrams, quality, secrets, vectors
-from larkspur.llm.common import connected_components
+from larkspur.llm.common import checkpoint, connected_components
 from larkspur.llm.queries import word_vocabulary
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -666,3 +669,35 @@ def test_every_pair_is_counted_and_every_word(spark):
     finally:
         secrets.frequent_words = before
     assert asked == [2500]
+
+
+@pytest.mark.parametrize("write", [checkpoint, session.checkpoint])
+def test_checkpoints_in_loops_do_not_multiply_estimates(spark, tmp_path, write):
+    # each node points to the one before it; a step that joins the pointers with themselves squared the estimate of their size
+    spark.range(300).select(F.col("id").alias("node"), F.greatest(F.col("id") - 1, F.lit(0)).alias("up"), F.array("id").alias("own")).write.parquet(f"{tmp_path}/up")
+    up = spark.read.parquet(f"{tmp_path}/up")
+    assert write(up)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 20  # estimates that can be right stay
+    for step in range(1, 11):
+        ends = up.select(F.col("node").alias("up"), F.col("up").alias("end"))
+        up = write(up.join(ends, "up").select("node", F.col("end").alias("up"), "own"))
+        assert up._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 63
+        assert {(r["node"], r["up"], *r["own"]) for r in up.collect()} == {(i, max(i - 2**step, 0), i) for i in range(300)}
+    # tables of unknown size with nulls and nested values are read back as they were written
+    odd = "id bigint, s struct<x: string, m: map<string, array<double>>>, b binary, t timestamp, d decimal(9, 2)"
+    rows = [(1, ("a", {"k": [0.5, None]}), bytearray(b"x"), datetime.datetime(2024, 2, 29, 1, 2, 3, 4), decimal.Decimal("1.25")), (None, None, None, None, None)]
+    known = spark.createDataFrame(rows, odd)
+    vast = write(known.crossJoin(write(up).agg(F.count("*").alias("n")).crossJoin(up.limit(1).select("up"))).crossJoin(up.filter("node < 2").select("node")).crossJoin(up.filter("node = 5").select("own")))
+    assert vast.schema[:5] == known.schema[:5] and sorted(map(repr, vast.select(*known.columns).collect())) == sorted(map(repr, known.collect() * 2))
+
+
+def test_components_of_a_long_path(spark):
+    # without broadcasts every round is a join of shuffled tables, whose estimates had twice the digits each time
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        order = np.random.default_rng(3).permutation(400).tolist()
+        found = connected_components(spark.createDataFrame(list(zip(order, order[1:])) + [(1000, 1001)], "a bigint, b bigint"))
+        assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 63
+        assert {(r["node"], r["component"]) for r in found.collect()} == {(i, 0) for i in range(400)} | {(1000, 1000), (1001, 1000)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
